@@ -100,3 +100,58 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
         (20 + (F.col("idx") * 37) % 600).alias("response_n_tokens"),
         F.floor(F.col("idx") / CHUNK_ROWS).alias("chunk"),
     )
+
+
+def proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puzzle and the bare equation its response proposes, NULL where there is none."""
+    a, b, c = (F.col(x).cast("string") for x in "abc")
+    expr = F.concat(a, F.lit(" + "), b, F.lit(" * "), c)
+    wide = F.concat(a, F.lit("  +  "), b, F.lit(" * "), c)
+    kind = F.col("kind")
+    equation = (
+        F.when(kind.isin(5, 10), None)
+        .when(kind == 2, F.concat(a, F.lit(" - "), b, F.lit(" - "), c))
+        .when((kind == 3) & (F.col("ck") % 2 == 1), wide)
+        .when(
+            kind == 6, F.concat((F.col("a") + 1).cast("string"), F.lit(" + "), b, F.lit(" * "), c)
+        )
+        .when(kind == 7, F.concat(a, F.lit(" + "), b))
+        .when(kind == 9, F.concat(a, F.lit(" / ("), b, F.lit(" - "), b, F.lit(") + "), c))
+        .when(kind == 11, F.concat(a, F.lit(" ** "), b, F.lit(" * "), c))
+        .otherwise(expr)
+    )
+    return _numbers(_orders(spark, sf_dir)).select(
+        "idx",
+        F.array("a", "b", "c").alias("nums"),
+        _target().alias("target"),
+        "kind",
+        equation.alias("equation"),
+    )
+
+
+def template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A submission template: part keys, then supplier keys, which repeat some of them."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.col("p_partkey").alias("id"), F.lit("part").alias("note"), F.col("p_partkey").alias("pos")
+    )
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.col("s_suppkey").alias("id"),
+        F.lit("supplier").alias("note"),
+        (F.col("s_suppkey") + 10**12).alias("pos"),
+    )
+    return part.unionByName(supplier).select(
+        "id", F.lit("1 + 1").alias("equation"), "note", "pos"
+    )
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results keyed by customer: many per id, the last one counts; not every template id has one."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("id")
+    )
+    return proposed(spark, sf_dir).join(orders, "idx")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses seen at training steps 0, 25, 50, 75 and 100."""
+    return answered(spark, sf_dir).withColumn("step", 25 * (F.col("idx") % 5))

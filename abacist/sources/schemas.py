@@ -1,29 +1,28 @@
-"""Declared schemas; nothing is inferred."""
+"""Declared schemas, as DDL; nothing is inferred."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
 MESSAGES = "array<struct<content:string,role:string>>"
 
-PROBLEMS = StructType.fromDDL("idx bigint, nums array<bigint>, target bigint")
-PROBLEMS_WITH_PROMPT = StructType.fromDDL(
+PROBLEMS = "idx bigint, nums array<bigint>, target bigint"
+PROBLEMS_WITH_PROMPT = (
     f"idx bigint, nums array<bigint>, target bigint, prompt {MESSAGES}"
 )
-SPLITS = StructType.fromDDL("idx bigint, nums array<bigint>, target bigint, split string")
-RESPONSES = StructType.fromDDL(
+SPLITS = "idx bigint, nums array<bigint>, target bigint, split string"
+RESPONSES = (
     "idx bigint, nums array<bigint>, target bigint, response string, response_n_tokens bigint"
 )
-TEACHER_CHUNK = StructType.fromDDL(
+TEACHER_CHUNK = (
     "idx bigint, nums array<bigint>, target bigint, response string, response_n_tokens bigint, "
     "equation string, correct boolean, reason string, train_idx bigint"
 )
-SFT_TRAIN = StructType.fromDDL(
+SFT_TRAIN = (
     f"messages {MESSAGES}, completion string, nums array<bigint>, target bigint, "
     "train_idx bigint, prompt_tokens bigint, completion_tokens bigint"
 )
-TEST_CSV = StructType.fromDDL("id bigint, nums string, target bigint")
+TEST_CSV = "id bigint, nums string, target bigint"
 
 
 def require_columns(df: DataFrame, needed: set[str], what: str) -> DataFrame:
