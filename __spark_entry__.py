@@ -367,8 +367,7 @@ def chunk_rollup(spark, sf_dir):
 
 @query
 def metrics_by_step(spark, sf_dir):
-    scored = scoring.score_responses(puzzles.predictions(spark, sf_dir))
-    return metrics.metrics_by_step(scored, eval_steps=50)
+    return jobs.evaluate_steps(puzzles.predictions(spark, sf_dir), eval_steps=50)
 
 
 @query

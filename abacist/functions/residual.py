@@ -139,7 +139,9 @@ def residual_verdict(
     question = F.to_json(
         F.struct(texts.alias("texts"), nums.alias("nums"), target.alias("target"))
     )
-    return verdict(F.when(texts.isNotNull(), question))
+    # Marked non-deterministic only so that the optimizer evaluates it once and
+    # pushes no filter on its result through it; it has no state.
+    return verdict.asNondeterministic()(F.when(texts.isNotNull(), question))
 
 
 def register_sql(spark, name: str = "verify_equation", tolerance: float = 1e-6) -> None:

@@ -95,14 +95,22 @@ def chunk_rollup(df: DataFrame, chunk: str = "chunk", index: str = "idx") -> Dat
     return _with_token_rates(rolled)
 
 
-def metrics_by_step(
+def due_steps(
     df: DataFrame, eval_steps: int, eval_n_quick: int | None = None, index: str = "idx"
 ) -> DataFrame:
-    """Dev metrics at every ``eval_steps``-th step but step 0, over the first quick rows."""
+    """Predictions at every ``eval_steps``-th step but step 0, of the first quick rows.
+
+    Apply it before scoring, so only rows that are reported get scored.
+    """
     due = (F.col("step") > 0) & (F.col("step") % eval_steps == 0)
     if eval_n_quick:
         due = due & (F.col(index) < eval_n_quick)
-    return df.filter(due).groupBy("step").agg(
+    return df.filter(due)
+
+
+def metrics_by_step(scored: DataFrame) -> DataFrame:
+    """Dev metrics of every step present."""
+    return scored.groupBy("step").agg(
         _share(_correct(), _rows()).alias("dev_accuracy"),
         _share(F.count("equation"), _rows()).alias("dev_extracted_rate"),
         _rows().alias("n_dev"),

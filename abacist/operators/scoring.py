@@ -74,42 +74,38 @@ def _with_verdict(df: DataFrame, nums: Column, target: Column, tolerance: float)
     or the reason code to give outright.
     """
     asking = F.col("_rest").isNotNull()
-    judged = df.withColumn(
-        "_asked", residual_verdict(F.col("_rest"), nums, target, tolerance)
-    ).withColumn(
-        "_value",
-        F.when(~asking & (F.col("_status") == A.OK), A.evaluate_native(F.col("_e"))),
-    )
+    settled = ~asking & (F.col("_status") == A.OK)
+    e = F.col("_e")
+    # Costly columns come before the Arrow stage, which nothing is pushed
+    # through: a filter on the verdict must not evaluate them a second time.
+    judged = df.withColumns(
+        {
+            "_value": F.when(settled, A.evaluate_native(e)),
+            "_match": F.when(settled, A.number_match(A.equation_numbers(e), nums)),
+        }
+    ).withColumn("_asked", residual_verdict(F.col("_rest"), nums, target, tolerance))
     value = F.col("_value.value")
     code = (
         F.when(asking, F.col("_asked.code"))
         .when(F.col("_status") == A.BAD, "syntax")
         .when(F.col("_status") != A.OK, F.col("_status"))
         .when(F.col("_value.zero_division"), "processing")
-        .when(
-            ~F.coalesce(A.number_match(A.equation_numbers(F.col("_e")), nums), F.lit(False)),
-            "numbers",
-        )
+        .when(~F.coalesce("_match", F.lit(False)), "numbers")
         .when(A.within_tolerance(value, target, tolerance), "ok")
         .otherwise("value")
     )
-    return (
-        judged.withColumn("reason_code", code)
-        .withColumn("ok", F.col("reason_code") == "ok")
-        .withColumn(
-            "result",
-            F.when(
-                F.col("reason_code").isin("ok", "value"),
-                F.coalesce(F.col("_asked.result"), value),
+    judged = judged.withColumn("reason_code", code)
+    return judged.withColumns(
+        {
+            "ok": F.col("reason_code") == "ok",
+            "result": F.when(
+                F.col("reason_code").isin("ok", "value"), F.coalesce(F.col("_asked.result"), value)
             ),
-        )
-        .withColumn(
-            "_detail",
-            F.coalesce(
+            "_detail": F.coalesce(
                 F.col("_asked.detail"),
                 F.when(F.col("reason_code") == "processing", DIVISION).otherwise("invalid syntax"),
             ),
-        )
+        }
     )
 
 
@@ -152,7 +148,7 @@ def verify_equations(
     staged = staged.withColumn("_rest", F.when(unsettled, F.array(e)))
     judged = _with_verdict(staged, F.col(nums), F.col(target), tolerance)
     return judged.withColumn("reason", _reason(e, F.col(target))).drop(
-        "_e", "_status", "_rest", "_asked", "_value", "_detail"
+        "_e", "_status", "_rest", "_asked", "_value", "_match", "_detail"
     )
 
 
@@ -182,17 +178,17 @@ def score_responses(
     )
     judged = _with_verdict(staged, F.col(nums), F.col(target), tolerance)
     # A residual pick that the host grammar refuses was never an equation.
-    judged = judged.withColumn(
-        "reason_code",
-        F.when(F.col("reason_code") == "syntax", "not_extracted").otherwise(F.col("reason_code")),
-    ).withColumn(
-        "equation",
-        F.when(F.col("_rest").isNotNull(), F.col("_asked.equation")).otherwise(e),
+    refused = F.col("reason_code") == "syntax"
+    judged = judged.withColumns(
+        {
+            "reason_code": F.when(refused, "not_extracted").otherwise(F.col("reason_code")),
+            "equation": F.when(F.col("_rest").isNotNull(), F.col("_asked.equation")).otherwise(e),
+        }
     )
     return (
         judged.withColumn("reason", _reason(F.col("equation"), F.col(target)))
         .withColumnRenamed("ok", "correct")
-        .drop("_pick", "_e", "_status", "_rest", "_asked", "_value", "_detail")
+        .drop("_pick", "_e", "_status", "_rest", "_asked", "_value", "_match", "_detail")
     )
 
 

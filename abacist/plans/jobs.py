@@ -113,6 +113,14 @@ def evaluate(
     return rows, summary
 
 
+def evaluate_steps(
+    predictions: DataFrame, eval_steps: int, eval_n_quick: int | None = None
+) -> DataFrame:
+    """Dev metrics over the course of a training run, from its stored predictions."""
+    due = metrics.due_steps(predictions, eval_steps, eval_n_quick)
+    return metrics.metrics_by_step(score_responses(due))
+
+
 def dev_samples(scored: DataFrame, n: int = 3) -> DataFrame:
     """The first responses, cut for reading."""
     return ordering.first_k(
