@@ -63,9 +63,13 @@ def _balanced(text: Column) -> Column:
 
 
 def grammar_status(text: Column) -> Column:
-    """``ok``: a valid plain expression; ``bad``: valid in no way; ``other``: ask the host grammar."""
+    """``ok``: a valid plain expression; ``bad``: valid in no way; ``other``: ask the host grammar.
+
+    NULL for NULL.
+    """
     return (
-        F.when(~text.rlike(PLAIN), F.when(text.rlike(PROSE), BAD).otherwise(OTHER))
+        F.when(text.isNull(), None)
+        .when(~text.rlike(PLAIN), F.when(text.rlike(PROSE), BAD).otherwise(OTHER))
         .when(text.rlike(UNUSUAL), OTHER)
         .when(text.rlike(MISPLACED), BAD)
         .when(text.contains("(") | text.contains(")"), _balanced(text))

@@ -304,7 +304,8 @@ def statements() -> dict[str, str]:
         "number_match": BASE
         + """SELECT idx, kind NOT IN (6, 7, 9) AS same FROM r WHERE equation IS NOT NULL""",
         "tolerance_check": BASE
-        + """SELECT idx, kind NOT IN (2, 6, 7, 8) AS within FROM r
+        + """SELECT idx, abs(CASE kind WHEN 2 THEN a - b - c WHEN 6 THEN a + 1 + b * c WHEN 7 THEN a + b
+             ELSE t END - target) <= 1e-6 AS within FROM r
              WHERE kind NOT IN (5, 9, 10, 11)""",
         # jobs
         "score_chunk": BASE
