@@ -142,10 +142,10 @@ def roundtrip_results(spark, sf_dir):
 @query
 def results_json(spark, sf_dir):
     path = scratch_path(spark, "results-json")
-    scored = _scored(spark, sf_dir)
-    sinks.write_results_json(scored, metrics.eval_summary_tokens(scored), path)
-    shape = "idx bigint, equation string, correct boolean, reason string"
-    return spark.read.schema(shape).json(f"{path}/per_example")
+    rows, _ = sinks.write_results_json(
+        _scored(spark, sf_dir), metrics.eval_summary_tokens, path
+    )
+    return rows.select("idx", "equation", "correct", "reason")
 
 
 @query
@@ -328,14 +328,14 @@ def dev_metrics(spark, sf_dir):
 
 @query
 def submission_stats(spark, sf_dir):
-    """The whole submission job, from responses keyed by customer."""
+    """Extraction, lookup and statistics, from responses keyed by customer."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("id")
     )
     answered = puzzles.answered(spark, sf_dir).join(orders, "idx")
-    results = jobs.student_records(answered)
     template = puzzles.template(spark, sf_dir)
-    submission.check_inputs(template, results)
+    submission.check_inputs(template, answered, {"id", "idx", "response"})
+    results = jobs.student_records(answered)
     return submission.submission_stats(submission.build_submission(template, results))
 
 

@@ -87,6 +87,21 @@ def curation_funnel(raw: DataFrame) -> DataFrame:
     )
 
 
+def funnel_of(raw: DataFrame, curated_rows: DataFrame) -> DataFrame:
+    """The same funnel where the curated rows are already stored: two counts, no shuffle."""
+    kept = F.col("correct") & F.col("equation").isNotNull()
+    n_kept = F.lit(curated_rows.count()).cast("bigint")
+    counts = raw.agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(kept).alias("n_correct"))
+    share = F.try_divide(F.col("n_correct").cast("double"), F.col("n_raw").cast("double"))
+    return counts.select(
+        "n_raw",
+        "n_correct",
+        n_kept.alias("n_after_dedup"),
+        F.coalesce(share, F.lit(0.0)).alias("correct_share"),
+        (F.col("n_correct") - n_kept).alias("n_removed"),
+    )
+
+
 def budget_flags(df: DataFrame, cap: int = 256, prompt_cap: int = 2048) -> DataFrame:
     """Whether a training row fits the length cap and whether its prompt would be cut."""
     total = F.col("prompt_tokens") + F.col("completion_tokens")

@@ -6,6 +6,8 @@ one Arrow stage that only sees the rows the native columns cannot settle.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,25 +35,43 @@ def _screened(cands: Column) -> Column:
     return F.filter(rated, lambda c: c["status"] != A.BAD)
 
 
+@lru_cache(maxsize=4)
+def _pick_columns(application: str) -> tuple[Column, Column]:
+    """``pick`` and ``rest`` of :func:`_with_pick`; large, so built once per application."""
+    space = F.col("_space")
+    first = F.lit(0)
+    pick = F.coalesce(
+        F.get(_screened(T.tag_candidates(space)), first),
+        F.get(_screened(T.label_candidates(space)), first),
+        F.get(_screened(F.array(T.last_line(space))), first),
+        F.get(_screened(F.array(space)), first),
+    )
+    rest = F.transform(_screened(T.candidates(space)), lambda c: c["text"])
+    return pick, F.when(F.col("_pick.status") == A.OTHER, rest)
+
+
+@lru_cache(maxsize=4)
+def _value_column(application: str) -> Column:
+    return A.evaluate_native(F.col("_e"))
+
+
+def _application(df: DataFrame) -> str:
+    return df.sparkSession.sparkContext.applicationId
+
+
 def _with_pick(df: DataFrame, text_col: str) -> DataFrame:
     """``_pick``: the first candidate that is or may be an expression.
 
     ``_rest``: every candidate left, only where the pick needs the host grammar
-    and might still be refused by it.
+    and might still be refused by it. Later sources of candidates are evaluated
+    only where the earlier ones gave none.
     """
-    staged = df.withColumn("_space", T.search_space(F.col(text_col)))
-    space = F.col("_space")
-    pick = F.coalesce(
-        F.get(_screened(T.tag_candidates(space)), F.lit(0)),
-        F.get(_screened(T.label_candidates(space)), F.lit(0)),
-        F.get(_screened(F.array(T.last_line(space))), F.lit(0)),
-        F.get(_screened(F.array(space)), F.lit(0)),
+    pick, rest = _pick_columns(_application(df))
+    return (
+        df.withColumn("_space", T.search_space(F.col(text_col)))
+        .withColumn("_pick", pick)
+        .withColumn("_rest", rest)
     )
-    staged = staged.withColumn("_pick", pick)
-    rest = F.transform(_screened(T.candidates(space)), lambda c: c["text"])
-    return staged.withColumn(
-        "_rest", F.when(F.col("_pick.status") == A.OTHER, rest)
-    ).drop("_space")
 
 
 def extract_equation(df: DataFrame, text_col: str = "response", out: str = "equation") -> DataFrame:
@@ -63,7 +83,7 @@ def extract_equation(df: DataFrame, text_col: str = "response", out: str = "equa
     return (
         picked.withColumn("_asked", asked)
         .withColumn(out, F.coalesce(native, F.col("_asked.equation")))
-        .drop("_pick", "_rest", "_asked")
+        .drop("_space", "_pick", "_rest", "_asked")
     )
 
 
@@ -80,7 +100,7 @@ def _with_verdict(df: DataFrame, nums: Column, target: Column, tolerance: float)
     # through: a filter on the verdict must not evaluate them a second time.
     judged = df.withColumns(
         {
-            "_value": F.when(settled, A.evaluate_native(e)),
+            "_value": F.when(settled, _value_column(_application(df))),
             "_match": F.when(settled, A.number_match(A.equation_numbers(e), nums)),
         }
     ).withColumn("_asked", residual_verdict(F.col("_rest"), nums, target, tolerance))
@@ -166,9 +186,12 @@ def score_responses(
     picked = _with_pick(df, text_col)
     e = F.col("_e")
     staged = (
-        picked.withColumn("_e", F.col("_pick.text"))
-        .withColumn("_status", F.coalesce(F.col("_pick.status"), F.lit("not_extracted")))
-        .withColumn(
+        picked.withColumns(
+            {
+                "_e": F.col("_pick.text"),
+                "_status": F.coalesce(F.col("_pick.status"), F.lit("not_extracted")),
+            }
+        ).withColumn(
             "_rest",
             F.coalesce(
                 F.col("_rest"),
@@ -188,7 +211,7 @@ def score_responses(
     return (
         judged.withColumn("reason", _reason(F.col("equation"), F.col(target)))
         .withColumnRenamed("ok", "correct")
-        .drop("_pick", "_e", "_status", "_rest", "_asked", "_value", "_match", "_detail")
+        .drop("_space", "_pick", "_e", "_status", "_rest", "_asked", "_value", "_match", "_detail")
     )
 
 

@@ -11,13 +11,18 @@ from abacist.operators.scoring import verify_equations
 from abacist.sources.schemas import require_columns
 
 
-def check_inputs(template: DataFrame, results: DataFrame) -> DataFrame:
+def check_inputs(
+    template: DataFrame,
+    results: DataFrame,
+    needed: set[str] = frozenset({"id", "equation", "nums", "target"}),
+) -> DataFrame:
     """Fail on missing columns or ids; one row of counts otherwise.
 
-    The id check is one pass over one column.
+    The counts take one pass, so give it stored rows, or responses before
+    extraction with ``needed`` naming what they must have.
     """
     require_columns(template, {"id", "equation"}, "the template")
-    require_columns(results, {"id", "equation", "nums", "target"}, "the results")
+    require_columns(results, set(needed), "the results")
     checks = contract_counts(results)
     if checks.first()["n_missing_id"]:
         raise ValueError("some results have no id")
@@ -25,11 +30,10 @@ def check_inputs(template: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def contract_counts(results: DataFrame) -> DataFrame:
-    return results.agg(
-        F.count(F.lit(1)).alias("n_results"),
-        F.count_if(F.col("id").isNull()).alias("n_missing_id"),
-        F.count_if(F.col("equation").isNull()).alias("n_missing_equation"),
-    )
+    counts = [F.count(F.lit(1)).alias("n_results"), F.count_if(F.col("id").isNull()).alias("n_missing_id")]
+    if "equation" in results.columns:
+        counts.append(F.count_if(F.col("equation").isNull()).alias("n_missing_equation"))
+    return results.agg(*counts)
 
 
 def stats_warning(n_fallback: int) -> str | None:

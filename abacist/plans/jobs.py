@@ -107,10 +107,13 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """Score a model's responses; returns (rows, summary in characters)."""
     rows = eval_records(score_responses(join_responses(problems, responses)))
-    summary = metrics.eval_summary_chars(rows, dataset_len, "model_output")
-    if path is not None:
-        sinks.write_results_json(rows, summary, path)
-    return rows, summary
+
+    def summarize(df: DataFrame) -> DataFrame:
+        return metrics.eval_summary_chars(df, dataset_len, "model_output")
+
+    if path is None:
+        return rows, summarize(rows)
+    return sinks.write_results_json(rows, summarize, path)
 
 
 def evaluate_steps(
@@ -150,7 +153,7 @@ def curate(
     full, small = read.parquet(f"{path}/full"), read.parquet(f"{path}/small")
     total = full.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
     stats = metrics.length_stats(total, ["prompt_tokens", "completion_tokens", "total_tokens"])
-    funnel = curation.curation_funnel(chunks)
+    funnel = curation.funnel_of(chunks, full)
     sinks.write_summary(stats, f"{path}/length_stats")
     sinks.write_summary(funnel, f"{path}/funnel")
     return {"full": full, "small": small, "length_stats": stats, "funnel": funnel}
@@ -164,15 +167,16 @@ def make_submission(
     ``test`` and ``responses`` meet on ``id``; ``responses`` has ``idx`` for the
     order of its records.
     """
+    submission.check_inputs(template, responses, {"id", "idx", "response"})
     results = student_records(responses.join(test, "id", "inner"))
-    submission.check_inputs(template, results)
-    built = submission.build_submission(template, results)
     if path is None:
+        built = submission.build_submission(template, results)
         return built, submission.submission_stats(built)
+    read = template.sparkSession.read
     sinks.write_results(results, f"{path}/raw")
-    stored = f"{path}/built"
-    sinks.write_results(built, stored)
-    built = template.sparkSession.read.parquet(stored)
+    built = submission.build_submission(template, read.parquet(f"{path}/raw"))
+    sinks.write_results(built, f"{path}/built")
+    built = read.parquet(f"{path}/built")
     stats = submission.submission_stats(built)
     order = [c for c in readers.FILE_ORDER if c in built.columns] or ["id"]
     sinks.write_submission(built, f"{path}/submission", order)

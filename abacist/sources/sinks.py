@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,25 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_results_json(df: DataFrame, summary: DataFrame, path: str) -> None:
-    """``path/per_example`` as JSON lines and ``path/summary``."""
+def write_results_json(
+    df: DataFrame, summarize: Callable[[DataFrame], DataFrame], path: str
+) -> tuple[DataFrame, DataFrame]:
+    """``path/per_example`` as JSON lines and ``path/summary``; returns both as stored.
+
+    The summary is taken from the stored rows, so they are computed once.
+    """
     df.write.mode("overwrite").json(f"{path}/per_example")
+    rows = df.sparkSession.read.schema(df.schema).json(f"{path}/per_example")
+    summary = summarize(rows)
     write_summary(summary, f"{path}/summary")
+    return rows, summary
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "idx") -> None:
+    """A catalog table bucketed by ``key``. Puzzles and responses stored with the
+    same bucket count are joined without moving either."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(table)
 
 
 def write_submission(df: DataFrame, path: str, order_cols: list[str] = FILE_ORDER) -> None:

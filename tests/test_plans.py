@@ -55,3 +55,21 @@ def test_splits_move_no_rows(spark, sf):
 def test_no_cartesian_products(spark, sf, name):
     plan = _plan(entry.queries()[name](spark, sf))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, sf, tmp_path):
+    from abacist.operators.batchmap import join_responses
+    from abacist.sources import sinks
+
+    sinks.write_bucketed(puzzles.problems(spark, sf), "puzzles_b", f"{tmp_path}/p", 4)
+    sinks.write_bucketed(puzzles.responses(spark, sf), "responses_b", f"{tmp_path}/r", 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = join_responses(spark.table("puzzles_b"), spark.table("responses_b"))
+        assert "Exchange" not in _plan(joined)
+        assert joined.count() == 1500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE puzzles_b")
+        spark.sql("DROP TABLE responses_b")
