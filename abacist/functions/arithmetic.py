@@ -169,7 +169,7 @@ def evaluate_native(text: Column) -> Column:
 
 def number_match(equation_nums: Column, nums: Column) -> Column:
     """Same numbers, each the same number of times."""
-    return F.array_sort(equation_nums) == F.array_sort(nums)
+    return F.sort_array(equation_nums) == F.sort_array(nums)
 
 
 def within_tolerance(value: Column, target: Column, tolerance: float = 1e-6) -> Column:

@@ -63,7 +63,7 @@ def curation_funnel(raw: DataFrame) -> DataFrame:
     """Rows read, kept as correct, and left after dedup, without carrying any row."""
     kept = F.coalesce(F.col("correct") & F.col("equation").isNotNull(), F.lit(False))
     key = F.struct(
-        F.array_sort("nums").alias("nums"),
+        F.sort_array("nums").alias("nums"),
         F.col("target").alias("target"),
         T.normalize_equation(F.col("equation")).alias("equation_norm"),
     )

@@ -24,7 +24,7 @@ def dedup_keep_first(df: DataFrame, order_cols: list[str]) -> DataFrame:
     """First row, in ``order_cols``, of every (numbers as a multiset, target, equation_norm)."""
     return _best_per_key(
         df,
-        [F.array_sort("nums"), F.col("target"), F.col("equation_norm")],
+        [F.sort_array("nums"), F.col("target"), F.col("equation_norm")],
         [F.col(c) for c in order_cols],
     )
 

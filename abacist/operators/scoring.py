@@ -96,20 +96,31 @@ def _with_verdict(df: DataFrame, nums: Column, target: Column, tolerance: float)
     asking = F.col("_rest").isNotNull()
     settled = ~asking & (F.col("_status") == A.OK)
     e = F.col("_e")
-    # Costly columns come before the Arrow stage, which nothing is pushed
-    # through: a filter on the verdict must not evaluate them a second time.
-    judged = df.withColumns(
-        {
-            "_value": F.when(settled, _value_column(_application(df))),
-            "_match": F.when(settled, A.number_match(A.equation_numbers(e), nums)),
-        }
-    ).withColumn("_asked", residual_verdict(F.col("_rest"), nums, target, tolerance))
-    value = F.col("_value.value")
+    # Costly columns come before the Arrow stage, which no filter is pushed
+    # through, so a filter on the verdict does not evaluate them again. Taking
+    # ``_value`` apart keeps their projection from being merged into the next.
+    judged = (
+        df.withColumns(
+            {
+                "_value": F.when(settled, _value_column(_application(df))),
+                "_match": F.when(settled, A.number_match(A.equation_numbers(e), nums)),
+            }
+        )
+        .withColumns(
+            {
+                "_asked": residual_verdict(F.col("_rest"), nums, target, tolerance),
+                "_number": F.col("_value.value"),
+                "_zero": F.col("_value.zero_division"),
+            }
+        )
+        .drop("_value")
+    )
+    value = F.col("_number")
     code = (
         F.when(asking, F.col("_asked.code"))
         .when(F.col("_status") == A.BAD, "syntax")
         .when(F.col("_status") != A.OK, F.col("_status"))
-        .when(F.col("_value.zero_division"), "processing")
+        .when(F.col("_zero"), "processing")
         .when(~F.coalesce("_match", F.lit(False)), "numbers")
         .when(A.within_tolerance(value, target, tolerance), "ok")
         .otherwise("value")
@@ -168,7 +179,7 @@ def verify_equations(
     staged = staged.withColumn("_rest", F.when(unsettled, F.array(e)))
     judged = _with_verdict(staged, F.col(nums), F.col(target), tolerance)
     return judged.withColumn("reason", _reason(e, F.col(target))).drop(
-        "_e", "_status", "_rest", "_asked", "_value", "_match", "_detail"
+        "_e", "_status", "_rest", "_asked", "_number", "_zero", "_match", "_detail"
     )
 
 
@@ -211,7 +222,7 @@ def score_responses(
     return (
         judged.withColumn("reason", _reason(F.col("equation"), F.col(target)))
         .withColumnRenamed("ok", "correct")
-        .drop("_space", "_pick", "_e", "_status", "_rest", "_asked", "_value", "_match", "_detail")
+        .drop("_space", "_pick", "_e", "_status", "_rest", "_asked", "_number", "_zero", "_match", "_detail")
     )
 
 
