@@ -19,6 +19,13 @@ EXACT_DIGITS = 15
 # Nesting up to this depth is checked natively; deeper ones are ``other``.
 NATIVE_DEPTH = 8
 
+# Numbers joined by binary operators, parentheses only where they may stand: one
+# match that settles nearly every real equation but for the balance.
+_NUMBER = r"(?:0|[1-9][0-9]{0,14}+)(?![0-9])"
+COMMON = (
+    rf"^(?=.{{1,256}}$)[ \t(]*+{_NUMBER}[ \t)]*+(?:[-+*/][ \t(]*+{_NUMBER}[ \t)]*+)*+$"
+)
+
 PLAIN = r"^[0-9+*/() \t-]{1,256}$"
 
 # Valid or not for reasons the local rules below do not cover: powers, floor
@@ -38,7 +45,8 @@ MISPLACED = (
 # error wherever it stands:
 #  - two names next to each other, neither of them an operator word;
 #  - a name glued to a quote that is not a string prefix (``Let's``);
-#  - a character that starts no token, or a stray backslash.
+#  - a character that starts no token, or a stray backslash;
+#  - a first or last character that cannot be one.
 # Every character beyond ASCII counts as part of a name: it either is, or is an
 # error itself.
 _OPERATOR_WORD = r"(?:and|or|not|in|is|if|else|lambda|for|async|await|yield|from)\b"
@@ -50,7 +58,9 @@ PROSE = (
     rf"(?<!{_PART})(?={_START})(?!{_OPERATOR_WORD}|{_STRING_PREFIX}){_PART}++"
     rf"(?:[ \t\n]++(?!{_OPERATOR_WORD}){_START}|['\"])"
     r"|[$?`\xD7\xF7\u2010-\u2027\u20AC\u2190-\u22FF]"
-    r"|!(?!=)|\\[^\n\r])"
+    r"|!(?!=)|\\[^\n\r]"
+    r"|[-+*/%@&|^~<>=({\[]$)"
+    r"|^[<>=%&|^,;:)\]}/@]"
 )
 
 
@@ -67,19 +77,23 @@ def grammar_status(text: Column) -> Column:
 
     NULL for NULL.
     """
+    nesting = F.when(text.contains("(") | text.contains(")"), _balanced(text)).otherwise(OK)
     return (
         F.when(text.isNull(), None)
+        .when(text.rlike(COMMON), nesting)
         .when(~text.rlike(PLAIN), F.when(text.rlike(PROSE), BAD).otherwise(OTHER))
         .when(text.rlike(UNUSUAL), OTHER)
         .when(text.rlike(MISPLACED), BAD)
-        .when(text.contains("(") | text.contains(")"), _balanced(text))
-        .otherwise(OK)
+        .otherwise(nesting)
     )
 
 
 def exactly_evaluable(text: Column) -> Column:
-    """Few enough digits that doubles hold every intermediate integer exactly."""
-    return F.length(F.regexp_replace(text, r"[^0-9]+", "")) <= EXACT_DIGITS
+    """Few enough digits that doubles hold every intermediate integer exactly.
+
+    For texts :func:`grammar_status` calls ``ok``.
+    """
+    return F.length(F.translate(text, "+-*/() \t", "")) <= EXACT_DIGITS
 
 
 def equation_numbers(text: Column) -> Column:
@@ -95,14 +109,12 @@ def _operands(text: Column) -> Column:
     Signs that are not binary become part of the operand: ``3 - -(4)`` gives
     ``3``, ``--(``, ``4``, ``)``.
     """
-    compact = F.regexp_replace(text, r"[ \t]+", "")
+    compact = F.translate(text, " \t", "")
     no_plus = F.regexp_replace(compact, r"(?<![0-9)])\+", "")
-    unary = F.regexp_replace(no_plus, r"(?<![0-9)])-", "~")
-    return F.regexp_extract_all(
-        F.translate(F.replace(unary, F.lit("~~"), F.lit("")), "~", "-"),
-        F.lit(r"[-+*/]?-?(?:[0-9]+|[(])|[)]"),
-        F.lit(0),
-    )
+    marked = F.regexp_replace(no_plus, r"(?<![0-9)])-", "~")
+    signed = F.translate(F.replace(marked, F.lit("~~"), F.lit("")), "~", "-")
+    plain = F.when(compact.rlike(r"(?<![0-9)])[-+]"), signed).otherwise(compact)
+    return F.regexp_extract_all(plain, F.lit(r"[-+*/]?-?(?:[0-9]+|[(])|[)]"), F.lit(0))
 
 
 _FRAME = "struct<s:double,t:double,op:string,sign:double>"

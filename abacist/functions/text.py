@@ -64,6 +64,17 @@ def tag_candidates(text: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def first_tag(text: Column) -> Column:
+    """The first of :func:`tag_candidates`, or NULL, without building the others.
+
+    The group up to the first opening tag is atomic: if that tag is never
+    closed, no later one is, and the search ends.
+    """
+    closed = rf"(?s)^(?>.*?{ANSWER_OPEN})(.*?){ANSWER_CLOSE}"
+    body = strip(F.regexp_extract(text, closed, 1))
+    return F.when(text.contains("nswer>") & (body != ""), body)
+
+
 def label_candidates(text: Column) -> Column:
     """Rest of the line after every ``answer:`` label."""
     return F.when(

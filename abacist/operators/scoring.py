@@ -29,8 +29,11 @@ GOOD = "All good"
 def _screened(cands: Column) -> Column:
     """Cleaned candidates with their status, hopeless ones dropped."""
     rated = F.transform(
-        F.filter(F.transform(cands, T.lhs_of_equals), T.is_candidate),
-        lambda c: F.struct(c.alias("text"), A.grammar_status(c).alias("status")),
+        F.transform(cands, T.lhs_of_equals),
+        lambda c: F.struct(
+            c.alias("text"),
+            F.when(T.is_candidate(c), A.grammar_status(c)).otherwise(A.BAD).alias("status"),
+        ),
     )
     return F.filter(rated, lambda c: c["status"] != A.BAD)
 
@@ -41,6 +44,7 @@ def _pick_columns(application: str) -> tuple[Column, Column]:
     space = F.col("_space")
     first = F.lit(0)
     pick = F.coalesce(
+        F.get(_screened(F.array(T.first_tag(space))), first),
         F.get(_screened(T.tag_candidates(space)), first),
         F.get(_screened(T.label_candidates(space)), first),
         F.get(_screened(F.array(T.last_line(space))), first),
