@@ -54,13 +54,12 @@ _STRING_PREFIX = r"(?i:[rbutf]|br|rb|fr|rf)['\"]"
 _START = r"[A-Za-z_\x80-\uFFFF]"
 _PART = r"[A-Za-z0-9_\x80-\uFFFF]"
 PROSE = (
-    r"^[^'\"#]*?(?:"
+    r"^(?:[<>=%&|^,;:)\]}/@]|[^'\"#]*?(?:"
     rf"(?<!{_PART})(?={_START})(?!{_OPERATOR_WORD}|{_STRING_PREFIX}){_PART}++"
     rf"(?:[ \t\n]++(?!{_OPERATOR_WORD}){_START}|['\"])"
     r"|[$?`\xD7\xF7\u2010-\u2027\u20AC\u2190-\u22FF]"
     r"|!(?!=)|\\[^\n\r]"
-    r"|[-+*/%@&|^~<>=({\[]$)"
-    r"|^[<>=%&|^,;:)\]}/@]"
+    r"|[-+*/%@&|^~<>=({\[]$))"
 )
 
 
