@@ -616,14 +616,28 @@ def map_batches(spark, sf_dir):
     return jobs.generate(puzzles.problems(spark, sf_dir), _length_responder)
 
 
+# Operators for training corpora; the rest works without them.
+try:
+    import corpus_pipeline
+    from abacist.llm import oracle as llm_oracle
+    from abacist.llm import queries as llm_queries
+except ImportError:
+    LLM_QUERIES, LLM_STATEMENTS = {}, {}
+else:
+    LLM_QUERIES = llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    LLM_STATEMENTS = dict(llm_oracle.STATEMENTS)
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_STATEMENTS["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Extraction, verification and accuracy over all responses."""
     return eval_summary_tokens(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:
-    return dict(REGISTERED)
+    return REGISTERED | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.statements()
+    return oracle_queries.statements() | LLM_STATEMENTS
