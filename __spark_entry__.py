@@ -46,9 +46,10 @@ def _documents(spark, sf_dir) -> DataFrame:
 
 
 def _chunk_files(spark, df: DataFrame, name: str) -> str:
-    """Write ``df`` as a handful of chunk files in index order."""
+    """Write ``df`` as chunk files in index order."""
     path = scratch_path(spark, name)
-    df.repartitionByRange(8, "idx").sortWithinPartitions("idx").write.parquet(path)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(files, "idx").sortWithinPartitions("idx").write.parquet(path)
     return path
 
 
@@ -112,16 +113,20 @@ def scan_chunks(spark, sf_dir):
 
 @query
 def scan_test_csv(spark, sf_dir):
+    """Columns in an order of their own, and one more."""
     path = scratch_path(spark, "test-csv")
-    test = _nums_text(puzzles.problems(spark, sf_dir)).withColumnRenamed("idx", "id")
-    test.write.option("header", True).csv(path)
-    return _nums_text(readers.read_test_csv(spark, path))
+    test = _nums_text(puzzles.problems(spark, sf_dir))
+    note = F.concat(F.lit(' say "'), F.col("idx").cast("string"), F.lit('", then, ')).alias("note")
+    key = F.concat(F.lit("test_"), F.col("idx").cast("string")).alias("id")
+    sinks.write_csv(test.select("target", note, "nums", key), path)
+    return _nums_text(readers.read_test_csv(spark, path)).select("id", "nums", "target", "note")
 
 
 @query
 def scan_template(spark, sf_dir):
     path = scratch_path(spark, "template")
-    puzzles.template(spark, sf_dir).orderBy("pos").drop("pos").write.option("header", True).csv(path)
+    ordered = puzzles.template(spark, sf_dir).orderBy("pos")
+    sinks.write_csv(ordered.select("note", F.concat(F.lit("test_"), "id").alias("id"), "equation"), path)
     return readers.read_template(spark, path).select("id", "equation", "note")
 
 
@@ -163,7 +168,7 @@ def roundtrip_submission(spark, sf_dir):
         puzzles.template(spark, sf_dir), puzzles.results(spark, sf_dir)
     )
     sinks.write_submission(built, path, ["pos"])
-    back = readers.read_template(spark, path)
+    back = readers.read_template(spark, path, id_type="bigint")
     return ordering.global_index(back, readers.FILE_ORDER, out="position").select(
         "position", "id", "equation", "note"
     )
@@ -194,13 +199,7 @@ def build_prompt(spark, sf_dir):
 
 @query
 def prompt_passthrough(spark, sf_dir):
-    own = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.col("o_orderkey").alias("idx"),
-        F.when(
-            F.col("o_orderstatus") == "P", F.array(P.message(F.col("o_orderpriority"), "user"))
-        ).alias("prompt"),
-    )
-    df = puzzles.problems(spark, sf_dir).join(own, "idx")
+    df = puzzles.problems_with_prompt(spark, sf_dir)
     return df.withColumn("m", P.build_prompt(df)).select(
         "idx",
         F.element_at("m", -1)["content"].alias("user_text"),
@@ -211,8 +210,16 @@ def prompt_passthrough(spark, sf_dir):
 @query
 def render_chat(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    one = F.array(P.message(F.col("text"), F.col("role")))
-    return turns.select("conv_id", "turn", P.render_chat(one).alias("rendered"))
+    return P.conversations(turns).select("conv_id", P.render_chat(F.col("messages")).alias("rendered"))
+
+
+@query
+def render_chat_folded(spark, sf_dir):
+    """The same by a template without system turns."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return P.conversations(turns).select(
+        "conv_id", P.render_chat(F.col("messages"), P.FOLDED).alias("rendered")
+    )
 
 
 @query
@@ -329,10 +336,7 @@ def dev_metrics(spark, sf_dir):
 @query
 def submission_stats(spark, sf_dir):
     """Extraction, lookup and statistics, from responses keyed by customer."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("id")
-    )
-    answered = puzzles.answered(spark, sf_dir).join(orders, "idx")
+    answered = puzzles.answered(spark, sf_dir)
     template = puzzles.template(spark, sf_dir)
     submission.check_inputs(template, answered, {"id", "idx", "response"})
     results = jobs.student_records(answered)
@@ -367,7 +371,10 @@ def chunk_rollup(spark, sf_dir):
 
 @query
 def metrics_by_step(spark, sf_dir):
-    return jobs.evaluate_steps(puzzles.predictions(spark, sf_dir), eval_steps=50)
+    """Over the dev part of a split, the first hundred of its rows."""
+    split = ordering.make_splits(puzzles.predictions(spark, sf_dir))
+    dev = split.filter("split = 'dev'").drop("split")
+    return jobs.evaluate_steps(dev, eval_steps=50, eval_n_quick=100)
 
 
 @query
@@ -577,11 +584,74 @@ def score_chunk(spark, sf_dir):
     return rows.select("idx", "train_idx", "equation", "correct", "reason")
 
 
+@query
+def score_chunk_summary(spark, sf_dir):
+    """The summary a chunk's job writes, as read back."""
+    path = scratch_path(spark, "chunk")
+    inputs = puzzles.problems(spark, sf_dir), puzzles.responses(spark, sf_dir)
+    _, summary = jobs.score_chunk(*inputs, 1000, 5000, path, elapsed_s=12.5, model_id="teacher")
+    stored = spark.read.schema(summary.schema).json(f"{path}/summary")
+    return stored.select(*summary.columns)
+
+
+@query
+def generate_chunk(spark, sf_dir):
+    """A stand-in model answers, its responses are stored and scored."""
+    rows, _ = jobs.generate_chunk(
+        puzzles.problems(spark, sf_dir), _first_number_responder, 1000, ALL_ROWS, scratch_path(spark, "run")
+    )
+    return rows.select("idx", "train_idx", "response", "equation", "correct", "reason")
+
+
 @query
 def curate_sft(spark, sf_dir):
     return _rounded(_curate(spark, sf_dir)["length_stats"])
 
 
+@query
+def curate_summary(spark, sf_dir):
+    return _curate(spark, sf_dir)["funnel"].drop("chunks_used")
+
+
+@query
+def render_training_set(spark, sf_dir):
+    """A training set is written, and read with the columns a trainer needs."""
+    path = scratch_path(spark, "sft")
+    sinks.write_sft(_curated_rows(spark, sf_dir), path)
+    return jobs.render_training_set(spark, f"{path}/full", P.FOLDED, eos="<eos>")
+
+
+def _submission(spark, sf_dir) -> tuple[str, DataFrame]:
+    """The whole job, from a test table and a template in CSV; ids are text, one in 17 has no response."""
+    path = scratch_path(spark, "submission-job")
+    last = puzzles.test_puzzles(spark, sf_dir).withColumn("id", F.concat(F.lit("c"), "id"))
+    note = F.lit('a prompt, "quoted"').alias("prompt")
+    sinks.write_csv(last.select(note, "target", "id", F.col("nums").cast("string")), f"{path}/test")
+    ordered = puzzles.template(spark, sf_dir).orderBy("pos")
+    sinks.write_csv(ordered.select(F.concat(F.lit("c"), "id").alias("id"), "note", "equation"), f"{path}/template")
+    answers = last.filter("idx % 17 <> 0").select("id", "idx", "response", "response_n_tokens")
+    _, stats = jobs.make_submission(
+        readers.read_test_csv(spark, f"{path}/test"),
+        answers,
+        readers.read_template(spark, f"{path}/template"),
+        f"{path}/out",
+        model_path="student",
+    )
+    return f"{path}/out", stats
+
+
+@query
+def make_submission(spark, sf_dir):
+    path, _ = _submission(spark, sf_dir)
+    return readers.read_template(spark, f"{path}/submission").select("id", "equation", "note")
+
+
+@query
+def make_submission_stats(spark, sf_dir):
+    path, stats = _submission(spark, sf_dir)
+    return spark.read.schema(stats.schema).json(f"{path}/stats").select(*stats.columns)
+
+
 @query
 def evaluate_responses(spark, sf_dir):
     rows, _ = jobs.evaluate(puzzles.problems(spark, sf_dir), puzzles.responses(spark, sf_dir))
@@ -606,6 +676,16 @@ def stream_counters(spark, sf_dir):
     return streaming.read_counters(spark, table)
 
 
+def _first_number_responder():
+    """A stand-in for a model: answers with the first number of the prompt's list, twice."""
+
+    def respond(prompts):
+        firsts = [p.split("numbers [")[1].split(",")[0] for p in prompts]
+        return [f"<answer>{n} + {n}</answer>" for n in firsts]
+
+    return respond
+
+
 def _length_responder():
     """A stand-in for a model: answers every prompt with its length."""
     return lambda prompts: [str(len(p)) for p in prompts]

@@ -102,27 +102,65 @@ def equation_numbers(text: Column) -> Column:
     )
 
 
+def _signed(text: Column) -> Column:
+    """The expression without blanks, signs folded: ``3 - -(4)`` gives ``3--(4)``, ``3 - -+-4`` gives ``3-4``."""
+    compact = F.translate(text, " \t", "")
+    no_plus = F.regexp_replace(compact, r"(?<![0-9)])\+", "")
+    marked = F.regexp_replace(no_plus, r"(?<![0-9)])-", "~")
+    signed = F.translate(F.replace(marked, F.lit("~~"), F.lit("")), "~", "-")
+    return F.when(compact.rlike(r"(?<![0-9)])[-+]"), signed).otherwise(compact)
+
+
 def _operands(text: Column) -> Column:
     """Tokens of a valid expression, each operand with the operator before it.
 
     Signs that are not binary become part of the operand: ``3 - -(4)`` gives
     ``3``, ``--(``, ``4``, ``)``.
     """
-    compact = F.translate(text, " \t", "")
-    no_plus = F.regexp_replace(compact, r"(?<![0-9)])\+", "")
-    marked = F.regexp_replace(no_plus, r"(?<![0-9)])-", "~")
-    signed = F.translate(F.replace(marked, F.lit("~~"), F.lit("")), "~", "-")
-    plain = F.when(compact.rlike(r"(?<![0-9)])[-+]"), signed).otherwise(compact)
-    return F.regexp_extract_all(plain, F.lit(r"[-+*/]?-?(?:[0-9]+|[(])|[)]"), F.lit(0))
+    return F.regexp_extract_all(_signed(text), F.lit(r"[-+*/]?-?(?:[0-9]+|[(])|[)]"), F.lit(0))
+
+
+def _evaluate_flat(text: Column) -> Column:
+    """:func:`evaluate_native` of an expression without parentheses: a running sum and an open product."""
+
+    def state(s, t, zero):
+        return F.struct(s.alias("s"), t.alias("t"), zero.alias("zero"))
+
+    def step(acc, token):
+        op = F.substring(token, 1, 1)
+        s, t, zero = acc["s"], acc["t"], acc["zero"]
+        v = F.when(op.isin("+", "-", "*", "/"), F.substring(token, 2, 20)).otherwise(token).cast("double")
+        return (
+            F.when(op == "*", state(s, t * v, zero))
+            .when(op == "/", state(s, F.try_divide(t, v), zero | (v == 0)))
+            .when(op == "-", state(s + t, -v, zero))
+            .otherwise(state(s + t, v, zero))
+        )
+
+    # The first operand has no operator; a sign of its own would pass for one.
+    tokens = F.regexp_extract_all(
+        F.concat(F.lit("+"), _signed(text)), F.lit(r"[-+*/]-?[0-9]+"), F.lit(0)
+    )
+    start = state(F.lit(0.0), F.lit(0.0), F.lit(False))
+    return F.aggregate(tokens, start, step, _finished)
+
+
+def _finished(acc: Column) -> Column:
+    return F.struct(
+        F.when(~acc["zero"], acc["s"] + acc["t"] + 0.0).alias("value"), acc["zero"].alias("zero_division")
+    )
 
 
 _FRAME = "struct<s:double,t:double,op:string,sign:double>"
 
 
 def evaluate_native(text: Column) -> Column:
-    """struct<value, zero_division> of an expression :func:`grammar_status` calls ``ok``.
+    """struct<value, zero_division> of an expression :func:`grammar_status` calls ``ok``."""
+    return F.when(text.contains("("), _evaluate_nested(text)).otherwise(_evaluate_flat(text))
 
-    One left-to-right fold. ``s`` is the finished part of the running sum and
+
+def _evaluate_nested(text: Column) -> Column:
+    """One left-to-right fold. ``s`` is the finished part of the running sum and
     ``t`` the open product, so no precedence pass is needed and rounding follows
     the written order. An open parenthesis sets both aside on ``stack``.
     """
@@ -169,13 +207,7 @@ def evaluate_native(text: Column) -> Column:
         F.array().cast(f"array<{_FRAME}>"), F.lit(0.0), F.lit(0.0), F.lit(False)
     )
 
-    def finish(acc):
-        return F.struct(
-            F.when(~acc["zero"], acc["s"] + acc["t"] + 0.0).alias("value"),
-            acc["zero"].alias("zero_division"),
-        )
-
-    return F.aggregate(_operands(text), start, step, finish)
+    return F.aggregate(_operands(text), start, step, _finished)
 
 
 def number_match(equation_nums: Column, nums: Column) -> Column:

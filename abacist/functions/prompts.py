@@ -28,7 +28,9 @@ class ChatTemplate:
 
     ``turn_start`` and ``turn_end`` surround a turn, ``role_end`` stands between
     role and text, ``answer_start`` opens the turn the model is to write.
-    ``no_thinking`` is added to it when thinking is switched off.
+    ``no_thinking`` is added to it when thinking is switched off. ``roles`` pairs
+    role names with what the template calls them. With ``fold_system`` system
+    texts have no turn; they open the first user turn, ``system_end`` behind each.
     """
 
     start: str = ""
@@ -37,6 +39,21 @@ class ChatTemplate:
     turn_end: str = "<|im_end|>\n"
     answer_start: str = "<|im_start|>assistant\n"
     no_thinking: str = "<think>\n\n</think>\n\n"
+    roles: tuple[tuple[str, str], ...] = ()
+    fold_system: bool = False
+    system_end: str = "\n\n"
+
+
+# A template without system turns, in which the assistant is called the model.
+FOLDED = ChatTemplate(
+    start="<bos>",
+    turn_start="<start_of_turn>",
+    turn_end="<end_of_turn>\n",
+    answer_start="<start_of_turn>model\n",
+    no_thinking="",
+    roles=(("assistant", "model"),),
+    fold_system=True,
+)
 
 
 def message(content: Column, role: str | Column) -> Column:
@@ -62,11 +79,20 @@ def render_chat(
     add_generation_prompt: bool = True,
     enable_thinking: bool = True,
 ) -> Column:
+    """One string for a list of messages. Where system texts fold but no user turn follows, they are left out."""
+    if template.fold_system:
+        messages = _folded(messages, template.system_end)
+
+    def name(role: Column) -> Column:
+        for own, called in template.roles:
+            role = F.when(role == own, called).otherwise(role)
+        return role
+
     turns = F.transform(
         messages,
         lambda m: F.concat(
             F.lit(template.turn_start),
-            m["role"],
+            name(m["role"]),
             F.lit(template.role_end),
             m["content"],
             F.lit(template.turn_end),
@@ -78,6 +104,25 @@ def render_chat(
     return F.concat(F.lit(template.start), F.array_join(turns, ""), F.lit(tail))
 
 
+def _folded(messages: Column, end: str) -> Column:
+    """Messages without system turns; their texts open the first user turn."""
+    system = F.filter(messages, lambda m: m["role"] == "system")
+    opening = F.array_join(F.transform(system, lambda m: F.concat(m["content"], F.lit(end))), "")
+    rest = F.filter(messages, lambda m: m["role"] != "system")
+    first_user = F.array_position(F.transform(rest, lambda m: m["role"]), "user") - 1
+    return F.transform(
+        rest,
+        lambda m, i: message(F.when(i == first_user, F.concat(opening, m["content"])).otherwise(m["content"]), m["role"]),
+    )
+
+
+def conversations(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """``key, messages``: the turns of each conversation in order, from columns ``role`` and ``text``."""
+    placed = F.struct(F.col(order), F.col("text").alias("content"), "role")
+    listed = turns.groupBy(key).agg(F.array_sort(F.collect_list(placed)).alias("placed"))
+    return listed.select(key, F.transform("placed", lambda m: message(m["content"], m["role"])).alias("messages"))
+
+
 def completion(equation_norm: Column) -> Column:
     return F.format_string(COMPLETION_TEXT, equation_norm)
 

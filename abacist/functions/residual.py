@@ -17,6 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# --- fixed values: texts of verdicts ---
+SYNTAX_DETAIL = "invalid syntax"
+DIVISION = "Division by zero"
+OVERFLOW = "overflow"
+BAD_CONSTANT = "Invalid constant type"
+BAD_OPERATOR = "Unsupported operator"
+BAD_NODE = "Unsupported ast node"
+# --- end of fixed values ---
+
 VERDICT = "struct<equation:string, code:string, detail:string, result:double>"
 
 _PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
@@ -41,7 +50,7 @@ def _literals(tree: ast.AST) -> list:
     ]
     for v in found:
         if isinstance(v, float) and not v.is_integer():
-            raise _Refused(f"Invalid constant type (float) {v}")
+            raise _Refused(f"{BAD_CONSTANT} (float) {v}")
     return found
 
 
@@ -54,7 +63,7 @@ def _value(tree: ast.Expression):
             case ast.Constant(value=int() | float() as v):
                 values.append(v)
             case ast.Constant(value=v):
-                raise _Refused(f"Invalid constant type {v}")
+                raise _Refused(f"{BAD_CONSTANT} {v}")
             case ast.BinOp(left=left, right=right) if not ready:
                 work += [(node, True), (right, False), (left, False)]
             case ast.BinOp(op=op):
@@ -67,11 +76,11 @@ def _value(tree: ast.Expression):
                     case ast.Mult():
                         values.append(a * b)
                     case ast.Div() if b == 0:
-                        raise _Refused("Division by zero")
+                        raise _Refused(DIVISION)
                     case ast.Div():
                         values.append(a / b)
                     case _:
-                        raise _Refused(f"Unsupported operator {type(op)}")
+                        raise _Refused(f"{BAD_OPERATOR} {type(op)}")
             case ast.UnaryOp(op=ast.UAdd() | ast.USub(), operand=inner) if not ready:
                 work += [(node, True), (inner, False)]
             case ast.UnaryOp(op=ast.USub()) if ready:
@@ -79,9 +88,9 @@ def _value(tree: ast.Expression):
             case ast.UnaryOp(op=ast.UAdd()) if ready:
                 values.append(+values.pop())
             case ast.UnaryOp(op=op):
-                raise _Refused(f"Unsupported operator {type(op)}")
+                raise _Refused(f"{BAD_OPERATOR} {type(op)}")
             case _:
-                raise _Refused(f"Unsupported ast node {type(node)}")
+                raise _Refused(f"{BAD_NODE} {type(node)}")
     return values.pop()
 
 
@@ -94,23 +103,25 @@ def _judge(tree: ast.Expression, text: str, nums, target: int | None, tolerance:
     except _Refused as e:
         return text, "processing", str(e), None
     except OverflowError:
-        return text, "processing", "overflow", None
+        return text, "processing", OVERFLOW, None
     if nums is None or sorted(literals) != sorted(nums):
         return text, "numbers", None, None
     return text, ("ok" if gap <= tolerance else "value"), None, shown
 
 
 def judge_first(texts, nums, target: int, tolerance: float = 1e-6):
-    """Verdict on the first text that parses; if none does, why the last did not."""
-    detail = "invalid syntax"
+    """Verdict on the first text that parses.
+
+    If none does, the detail is the same that the native path gives, so a verdict
+    does not depend on which path a text took.
+    """
     for text in texts:
         try:
             tree = ast.parse(text, mode="eval")
-        except _PARSE_ERRORS as e:
-            detail = str(e)
+        except _PARSE_ERRORS:
             continue
         return _judge(tree, text, nums, target, tolerance)
-    return None, "syntax", detail, None
+    return None, "syntax", SYNTAX_DETAIL, None
 
 
 def residual_verdict(

@@ -147,15 +147,19 @@ def sample_text(response: Column, chars: int = SAMPLE_CHARS) -> Column:
     return F.substring(response, 1, chars)
 
 
+WORD_CHARACTER = r"[\p{L}\p{M}\p{N}_]"
+BLANK_CHARACTER = r"[\s\p{Z}\x{85}]"
+
+
 def char_count(text: Column) -> Column:
     return F.length(text).cast("bigint")
 
 
 def word_count(text: Column) -> Column:
-    r"""Stand-in token counter: runs of word characters and single symbols.
+    r"""Stand-in token counter: runs of word characters and single symbols, of any script.
 
-    As many as ``\w+|[^\w\s]`` matches, but without an array of all matches:
-    every run becomes one character, white space goes, the rest is counted.
+    Word characters are letters, marks, digits and ``_``. Nothing but lengths is
+    kept: every run becomes one character, white space goes, the rest is counted.
     """
-    runs = F.regexp_replace(text, r"\w+", "w")
-    return F.length(F.regexp_replace(runs, r"\s+", "")).cast("bigint")
+    runs = F.regexp_replace(text, f"{WORD_CHARACTER}+", "w")
+    return F.length(F.regexp_replace(runs, f"{BLANK_CHARACTER}+", "")).cast("bigint")

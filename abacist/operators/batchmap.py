@@ -27,12 +27,14 @@ def map_batches(
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         respond = make_responder()
         for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size]
-                answers = respond(part[prompt].tolist())
-                if len(answers) != len(part):
-                    raise ValueError(f"{len(answers)} responses to {len(part)} prompts")
-                yield pd.DataFrame({key: part[key].to_numpy(), out: answers})
+            prompts, answers = frame[prompt].tolist(), []
+            for at in range(0, len(prompts), batch_size):
+                part = prompts[at : at + batch_size]
+                given = respond(part)
+                if len(given) != len(part):
+                    raise ValueError(f"{len(given)} responses to {len(part)} prompts")
+                answers += given
+            yield pd.DataFrame({key: frame[key].to_numpy(), out: answers})
 
     schema = StructType().add(key, key_type).add(out, "string")
     return df.select(key, prompt).mapInPandas(answer, schema)

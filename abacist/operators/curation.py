@@ -12,6 +12,7 @@ from abacist.functions import text as T
 from abacist.operators.dedup import dedup_keep_first
 from abacist.operators.ordering import global_index
 
+# Fixed value: the columns of a saved training set.
 SAVED = [
     "messages",
     "completion",

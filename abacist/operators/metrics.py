@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from abacist.operators.ordering import first_by_index
+
 PROJECTED = [1000, 5000, 10000, 20000]
 
 
@@ -98,14 +100,15 @@ def chunk_rollup(df: DataFrame, chunk: str = "chunk", index: str = "idx") -> Dat
 def due_steps(
     df: DataFrame, eval_steps: int, eval_n_quick: int | None = None, index: str = "idx"
 ) -> DataFrame:
-    """Predictions at every ``eval_steps``-th step but step 0, of the first quick rows.
+    """Predictions at every ``eval_steps``-th step but step 0, of the first ``eval_n_quick`` dev rows.
 
-    Apply it before scoring, so only rows that are reported get scored.
+    ``df`` holds dev rows only. Which of them are first goes by their place among
+    the dev rows, in the order of ``index``, whatever their indices are. Apply it
+    before scoring, so only rows that are reported get scored.
     """
-    due = (F.col("step") > 0) & (F.col("step") % eval_steps == 0)
     if eval_n_quick:
-        due = due & (F.col(index) < eval_n_quick)
-    return df.filter(due)
+        df = first_by_index(df, eval_n_quick, index)
+    return df.filter((F.col("step") > 0) & (F.col("step") % eval_steps == 0))
 
 
 def metrics_by_step(scored: DataFrame) -> DataFrame:

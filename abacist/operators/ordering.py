@@ -7,8 +7,6 @@ of offsets whose length is a constant or the number of partitions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,40 +23,41 @@ def seeded_key(seed: int, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
-def _boundary(df: DataFrame, n: int, seed: int, key: str):
-    """The n-th smallest (seeded key, key) as a row; None when there are at most n rows.
+def _bucket_of(key: Column) -> Column:
+    return F.substring(key, 1, _BUCKET_DIGITS)
+
+
+def _boundary(df: DataFrame, n: int, seed: int, keys: list[str]):
+    """``last``, the n-th smallest (seeded key, keys), with how many rows are ``tied`` there and ``need`` to be
+    taken of them; None when there are at most n rows.
 
-    md5 values are spread evenly, so a cut slightly above n / rows leaves few
-    more than n of them; only those are ordered. Should too few survive, the
-    cut is dropped, so the result never depends on the estimate.
+    Rows are counted by the first digits of the key, which are spread evenly; the
+    counts name the bucket that holds the n-th row and its place there, and only
+    that bucket, one part in 65,536 of the table, is ordered.
     """
-    total = df.count()
-    if total <= n:
-        return None
-    keyed = df.select(F.col(key), seeded_key(seed, key).alias(_KEY))
-    share = (n + 6 * math.sqrt(n) + 16) / total
-
-    def nth(rows: DataFrame):
-        top = rows.orderBy(_KEY, key).limit(n)
-        return top.agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.struct(_KEY, key)).alias("last")
-        ).first()
-
-    found = None
-    if share < 0.5:
-        cut = f"{int(share * 16**12):012x}"
-        found = nth(keyed.filter(F.col(_KEY) < cut))
-    if found is None or found["n"] < n:
-        found = nth(keyed)
-    return found["last"]
-
-
-def _up_to(last, seed: int, key: str) -> Column:
-    """Whether a row stands at or before the boundary."""
-    mine = seeded_key(seed, key)
-    return (mine < F.lit(last[_KEY])) | (
-        (mine == F.lit(last[_KEY])) & (F.col(key) <= F.lit(last[key]))
+    keyed = df.select(*keys, seeded_key(seed, keys[0]).alias(_KEY))
+    counts = keyed.groupBy(_bucket_of(F.col(_KEY)).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per bucket, never the data.
+    upto = F.sum("_n").over(Window.orderBy("_bucket"))
+    found = (
+        counts.select("_bucket", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"))
+        .filter((F.col("_before") < n) & (F.col("_upto") >= n))
+        .first()
     )
+    if found is None:
+        return None
+    inside = keyed.filter(_bucket_of(F.col(_KEY)) == found["_bucket"])
+    place = n - found["_before"]
+    per_key = inside.groupBy(F.struct(_KEY, *keys).alias("last")).agg(F.count(F.lit(1)).alias("tied"))
+    upto = F.sum("tied").over(Window.orderBy("last"))
+    at = per_key.select("*", upto.alias("_upto")).filter(F.col("_upto") >= place).orderBy("last").first()
+    return {"last": at["last"], "tied": at["tied"], "need": place - at["_upto"] + at["tied"]}
+
+
+def _place(df: DataFrame, last, seed: int, keys: list[str]) -> tuple[Column, Column]:
+    """Where a row of ``df`` stands, and where the boundary does."""
+    mine = F.struct(seeded_key(seed, keys[0]), *keys)
+    return mine, F.struct(F.lit(last[_KEY]), *[F.lit(last[k]).cast(df.schema[k].dataType) for k in keys])
 
 
 def make_splits(df: DataFrame, dev_size: int = 200, seed: int = 42, key: str = "idx") -> DataFrame:
@@ -69,19 +68,40 @@ def make_splits(df: DataFrame, dev_size: int = 200, seed: int = 42, key: str = "
     """
     if dev_size <= 0:
         return df.withColumn("split", F.lit("train"))
-    last = _boundary(df, dev_size, seed, key)
-    if last is None:
+    found = _boundary(df, dev_size, seed, [key])
+    if found is None:
         return df.withColumn("split", F.lit("dev"))
-    return df.withColumn(
-        "split", F.when(_up_to(last, seed, key), "dev").otherwise("train")
-    )
+    mine, last = _place(df, found["last"], seed, [key])
+    return df.withColumn("split", F.when(mine <= last, "dev").otherwise("train"))
 
 
-def sample_exact_n(df: DataFrame, n: int, seed: int = 42, key: str = "idx") -> DataFrame:
-    """Exactly min(n, rows) rows without replacement, the same ones for the same seed."""
-    last = _boundary(df, n, seed, key)
-    near = df if last is None else df.filter(_up_to(last, seed, key))
-    return near.orderBy(seeded_key(seed, key), key).limit(n)
+def sample_exact_n(
+    df: DataFrame, n: int, seed: int = 42, key: str = "idx", ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """Exactly min(n, rows) rows without replacement, the same ones for the same seed, in seeded order.
+
+    ``key`` gives the order; where it is not unique, ``ties`` names columns that
+    tell its rows apart. Membership is a filter on each row and the order a
+    distributed sort, so no task sees the sample, whatever ``n``. Only where rows
+    that nothing tells apart stand at the end, some of those are taken by a limit.
+    """
+    if n <= 0:
+        return df.limit(0)
+    keys = [key, *ties]
+    found = _boundary(df, n, seed, keys)
+    taken = df
+    if found is not None:
+        mine, last = _place(df, found["last"], seed, keys)
+        taken = df.filter(mine <= last)
+        if found["need"] < found["tied"]:
+            taken = df.filter(mine < last).union(df.filter(mine == last).limit(found["need"]))
+    return taken.orderBy(seeded_key(seed, key), *keys)
+
+
+def first_by_index(df: DataFrame, n: int, index: str = "idx") -> DataFrame:
+    """Rows whose ``index`` is among the ``n`` smallest different ones of the table."""
+    last = df.select(index).distinct().orderBy(index).limit(n).agg(F.max(index)).first()[0]
+    return df.filter(F.col(index) <= F.lit(last))
 
 
 def seeded_shuffle(

@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 
 from abacist.functions import arithmetic as A
 from abacist.functions import text as T
-from abacist.functions.residual import residual_verdict
+from abacist.functions.residual import DIVISION, SYNTAX_DETAIL, residual_verdict
 
 # --- fixed values: reason texts ---
 NOT_EXTRACTED = "Failed to extract equation from response"
 INVALID = "Invalid equation"
 SYNTAX = "SyntaxError="
 PROCESSING = "While ast processing raised Error="
-DIVISION = "Division by zero"
 NUMBERS = "Numbers in equation do not match nums list"
 GOOD = "All good"
 # --- end of fixed values ---
@@ -138,7 +137,7 @@ def _with_verdict(df: DataFrame, nums: Column, target: Column, tolerance: float)
             ),
             "_detail": F.coalesce(
                 F.col("_asked.detail"),
-                F.when(F.col("reason_code") == "processing", DIVISION).otherwise("invalid syntax"),
+                F.when(F.col("reason_code") == "processing", DIVISION).otherwise(SYNTAX_DETAIL),
             ),
         }
     )
@@ -148,7 +147,7 @@ def _reason(equation: Column, target: Column) -> Column:
     code = F.col("reason_code")
     return (
         F.when(code == "ok", GOOD)
-        .when(code == "value", F.concat(F.lit("Equation "), equation, F.lit(" != "), target.cast("string")))
+        .when(code == "value", F.concat(F.lit("Equation "), equation, F.lit(" != "), F.coalesce(target.cast("string"), F.lit("None"))))
         .when(code == "numbers", NUMBERS)
         .when(code == "processing", F.concat(F.lit(PROCESSING), F.col("_detail")))
         .when(code == "syntax", F.concat(F.lit(SYNTAX), F.col("_detail")))

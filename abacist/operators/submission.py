@@ -18,15 +18,16 @@ def check_inputs(
 ) -> DataFrame:
     """Fail on missing columns or ids; one row of counts otherwise.
 
-    The counts take one pass, so give it stored rows, or responses before
-    extraction with ``needed`` naming what they must have.
+    The counts take one pass here and now, so give it stored rows, or responses
+    before extraction with ``needed`` naming what they must have.
     """
     require_columns(template, {"id", "equation"}, "the template")
     require_columns(results, set(needed), "the results")
-    checks = contract_counts(results)
-    if checks.first()["n_missing_id"]:
+    counts = contract_counts(results)
+    row = counts.first()
+    if row["n_missing_id"]:
         raise ValueError("some results have no id")
-    return checks
+    return results.sparkSession.createDataFrame([row], counts.schema)
 
 
 def contract_counts(results: DataFrame) -> DataFrame:
@@ -60,13 +61,15 @@ def build_submission(
 
     Each result is verified once, before the join, as it will be emitted. The
     right side has one row per id, so a frequent template id cannot multiply
-    rows and adaptive execution may split it. Adds ``matched``, ``extracted``
+    rows and adaptive execution may split it. Results of ids the template lacks
+    go before anything is computed for them. Adds ``matched``, ``extracted``
     and ``valid`` for :func:`submission_stats`.
     """
     require_columns(template, {"id", "equation"}, "the template")
-    latest = last_wins(
-        results.select("id", "equation", "nums", "target", order_col), "id", order_col
+    wanted = results.select("id", "equation", "nums", "target", order_col).join(
+        template.select("id").distinct(), "id", "left_semi"
     )
+    latest = last_wins(wanted, "id", order_col)
     emitted = latest.select(
         "id",
         "nums",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,7 @@ from abacist.operators import curation, metrics, ordering, submission
 from abacist.operators.batchmap import join_responses, map_batches
 from abacist.operators.scoring import extract_equation, score_responses
 from abacist.sources import readers, sinks
-from abacist.sources.schemas import require_columns
+from abacist.sources.schemas import SFT_TRAIN, TEACHER_CHUNK, require_columns
 
 RESULT = ["idx", "nums", "target", "response", "response_n_tokens", "equation"]
 TEACHER = [*RESULT, "correct", "reason"]
@@ -82,26 +84,69 @@ def eval_records(scored: DataFrame) -> DataFrame:
     )
 
 
+def _with_run(summary: DataFrame, **fields) -> DataFrame:
+    """What is known of a run beside its rows; fields that are None are left out."""
+    return summary.withColumns({k: F.lit(v) for k, v in fields.items() if v is not None})
+
+
 def score_chunk(
-    problems: DataFrame, responses: DataFrame, start: int, n: int, path: str | None = None
+    problems: DataFrame,
+    responses: DataFrame,
+    start: int,
+    n: int,
+    path: str | None = None,
+    elapsed_s: float | None = None,
+    model_id: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Score responses to puzzles ``[start, start + n)``; returns (rows, summary).
 
     Both inputs are cut by index before they meet. With ``path`` the rows are
-    written once and the summary is computed from what was written.
+    written once and the summary is computed from what was written. The summary
+    names the range, and the run's time and model where they are given.
     """
     cut = ordering.chunk_slice(problems, start, n)
     scored = score_responses(join_responses(cut, ordering.chunk_slice(responses, start, n)))
     rows = teacher_records(scored, start)
     if path is not None:
         sinks.write_results(rows.drop("reason_code"), f"{path}/rows")
-        rows = problems.sparkSession.read.parquet(f"{path}/rows")
-    summary = metrics.eval_summary_tokens(rows)
+        rows = problems.sparkSession.read.schema(TEACHER_CHUNK).parquet(f"{path}/rows")
+    summary = _with_run(
+        metrics.eval_summary_tokens(rows),
+        start_idx=start,
+        end_idx=start + n,
+        elapsed_s=elapsed_s,
+        model_id=model_id,
+    )
     if path is not None:
         sinks.write_summary(summary, f"{path}/summary")
     return rows, summary
 
 
+def generate_chunk(
+    problems: DataFrame,
+    make_responder,
+    start: int,
+    n: int,
+    path: str,
+    count_tokens: Callable[[Column], Column] = T.word_count,
+    model_id: str | None = None,
+    **how,
+) -> tuple[DataFrame, DataFrame]:
+    """Responses of a model to puzzles ``[start, start + n)``, stored, then scored; returns (rows, summary).
+
+    Responses are stored before anything reads them, so a model that samples
+    runs once and rows and summary agree. ``how`` is passed to :func:`generate`.
+    """
+    began = time.time()
+    cut = ordering.chunk_slice(problems, start, n)
+    answers = generate(cut, make_responder, **how)
+    answers = answers.withColumn("response_n_tokens", count_tokens(F.col("response")))
+    sinks.write_results(answers, f"{path}/responses")
+    elapsed = time.time() - began
+    stored = problems.sparkSession.read.schema(answers.schema).parquet(f"{path}/responses")
+    return score_chunk(problems, stored, start, n, path, elapsed, model_id)
+
+
 def evaluate(
     problems: DataFrame, responses: DataFrame, path: str | None = None, dataset_len: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -141,43 +186,69 @@ def curate(
     seed: int = 42,
     template: P.ChatTemplate = P.ChatTemplate(),
     order_cols: list[str] = readers.CHUNK_ORDER,
+    tokenizer: str = "words",
+    counter: Callable[[Column], Column] = T.word_count,
 ) -> dict[str, DataFrame]:
     """Build the training set from scored chunks and write it, sample and summaries.
 
     The response text is never read. Statistics come from the written set.
+    ``tokenizer`` names ``counter`` in the summary.
     """
     require_columns(chunks, {"nums", "target", "equation", "correct", *order_cols}, "the chunks")
-    rows = curation.build_sft_rows(curation.curated(chunks, order_cols), order_cols, template)
+    rows = curation.build_sft_rows(curation.curated(chunks, order_cols), order_cols, template, counter)
     sinks.write_sft(rows, path, small_n, seed)
     read = chunks.sparkSession.read
-    full, small = read.parquet(f"{path}/full"), read.parquet(f"{path}/small")
+    full, small = (read.schema(SFT_TRAIN).parquet(f"{path}/{part}") for part in ("full", "small"))
     total = full.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
     stats = metrics.length_stats(total, ["prompt_tokens", "completion_tokens", "total_tokens"])
-    funnel = curation.funnel_of(chunks, full)
+    example = full.orderBy("train_idx", "completion").select("completion").first()
+    used = chunks.select("chunk_path").distinct().count() if "chunk_path" in chunks.columns else None
+    funnel = _with_run(
+        curation.funnel_of(chunks, full),
+        chunks_used=used,
+        tokenizer=tokenizer,
+        example_completion=example and example[0],
+    )
     sinks.write_summary(stats, f"{path}/length_stats")
     sinks.write_summary(funnel, f"{path}/funnel")
     return {"full": full, "small": small, "length_stats": stats, "funnel": funnel}
 
 
+def _stats_of(built: DataFrame, model_path: str | None, inference_time_s: float | None) -> DataFrame:
+    """Statistics of a submission, and a warning where rows had to fall back."""
+    stats = submission.submission_stats(built)
+    warning = submission.stats_warning(stats.first()["n_fallback"])
+    if warning:
+        warnings.warn(warning, stacklevel=3)
+    return _with_run(stats, model_path=model_path, inference_time_s=inference_time_s)
+
+
 def make_submission(
-    test: DataFrame, responses: DataFrame, template: DataFrame, path: str | None = None
+    test: DataFrame,
+    responses: DataFrame,
+    template: DataFrame,
+    path: str | None = None,
+    model_path: str | None = None,
+    inference_time_s: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Submission rows and their statistics from test puzzles and model responses.
 
     ``test`` and ``responses`` meet on ``id``; ``responses`` has ``idx`` for the
-    order of its records.
+    order of its records. Columns of ``test`` beside the puzzle are left out.
     """
+    test = test.select("id", "nums", "target")
     submission.check_inputs(template, responses, {"id", "idx", "response"})
     results = student_records(responses.join(test, "id", "inner"))
     if path is None:
         built = submission.build_submission(template, results)
-        return built, submission.submission_stats(built)
+        return built, _stats_of(built, model_path, inference_time_s)
     read = template.sparkSession.read
     sinks.write_results(results, f"{path}/raw")
-    built = submission.build_submission(template, read.parquet(f"{path}/raw"))
+    raw = read.schema(results.schema).parquet(f"{path}/raw")
+    built = submission.build_submission(template, raw)
     sinks.write_results(built, f"{path}/built")
-    built = read.parquet(f"{path}/built")
-    stats = submission.submission_stats(built)
+    built = read.schema(built.schema).parquet(f"{path}/built")
+    stats = _stats_of(built, model_path, inference_time_s)
     order = [c for c in readers.FILE_ORDER if c in built.columns] or ["id"]
     sinks.write_submission(built, f"{path}/submission", order)
     sinks.write_summary(stats, f"{path}/stats")
@@ -188,4 +259,4 @@ def render_training_set(
     spark: SparkSession, path: str, template: P.ChatTemplate = P.ChatTemplate(), eos: str = ""
 ) -> DataFrame:
     """Prompt and completion strings of a written training set; other columns stay unread."""
-    return curation.render_sft(spark.read.parquet(path), template, eos)
+    return curation.render_sft(spark.read.schema(SFT_TRAIN).parquet(path), template, eos)

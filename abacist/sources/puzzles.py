@@ -16,14 +16,14 @@ KINDS = 13
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of the orders; spread by key where the table has fewer files than there are cores.
-
-    A table of any size has many files and is read as it lies.
-    """
-    raw = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    df = raw.select(F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("ck"))
-    cores = spark.sparkContext.defaultParallelism
-    return df if len(raw.inputFiles()) >= cores else df.repartition(cores, "idx")
+    """Keys of the orders, dealt out by key: puzzles are much larger than the keys they are made of."""
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("idx"),
+        F.col("o_custkey").alias("ck"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "idx")
 
 
 def _numbers(df: DataFrame) -> DataFrame:
@@ -47,6 +47,17 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def problems_with_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puzzles; those of orders with status P bring a prompt of their own."""
+    own = F.array(F.struct(F.col("priority").alias("content"), F.lit("user").alias("role")))
+    return _numbers(_orders(spark, sf_dir)).select(
+        "idx",
+        F.array("a", "b", "c").alias("nums"),
+        _target().alias("target"),
+        F.when(F.col("status") == "P", own).alias("prompt"),
+    )
+
+
 def _response() -> Column:
     a, b, c = (F.col(x).cast("string") for x in "abc")
     expr = F.concat(a, F.lit(" + "), b, F.lit(" * "), c)
@@ -91,9 +102,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Puzzle and response side by side."""
+    """Puzzle and response side by side, with the customer as the ``id`` they are asked under."""
     return _numbers(_orders(spark, sf_dir)).select(
         "idx",
+        F.col("ck").alias("id"),
         F.array("a", "b", "c").alias("nums"),
         _target().alias("target"),
         _response().alias("response"),
@@ -122,6 +134,7 @@ def proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return _numbers(_orders(spark, sf_dir)).select(
         "idx",
+        F.col("ck").alias("id"),
         F.array("a", "b", "c").alias("nums"),
         _target().alias("target"),
         "kind",
@@ -129,14 +142,25 @@ def proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _note(kind: str, key: str) -> Column:
+    """Text with what CSV has trouble with: blanks at the ends, quotes, a separator."""
+    return F.concat(F.lit(f'  {kind} "'), F.col(key).cast("string"), F.lit('", so ')).alias("note")
+
+
+def test_puzzles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One puzzle for each customer, the one of the last order, as a test table asks them."""
+    last = F.max_by(F.struct("nums", "target", "idx", "response", "response_n_tokens"), "idx")
+    return answered(spark, sf_dir).groupBy("id").agg(last.alias("last")).select("id", "last.*")
+
+
 def template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A submission template: part keys, then supplier keys, which repeat some of them."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(
-        F.col("p_partkey").alias("id"), F.lit("part").alias("note"), F.col("p_partkey").alias("pos")
+        F.col("p_partkey").alias("id"), _note("part", "p_partkey"), F.col("p_partkey").alias("pos")
     )
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         F.col("s_suppkey").alias("id"),
-        F.lit("supplier").alias("note"),
+        _note("supplier", "s_suppkey"),
         (F.col("s_suppkey") + 10**12).alias("pos"),
     )
     return part.unionByName(supplier).select(
@@ -146,10 +170,7 @@ def template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results keyed by customer: many per id, the last one counts; not every template id has one."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("id")
-    )
-    return proposed(spark, sf_dir).join(orders, "idx")
+    return proposed(spark, sf_dir)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

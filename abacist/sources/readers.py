@@ -1,4 +1,5 @@
-"""Scans. Every schema is declared, so no file is read to infer one."""
+"""Scans. Schemas are declared; of CSV only the header is read first, and of chunks
+without a schema the footers."""
 
 from __future__ import annotations
 
@@ -13,9 +14,6 @@ FILE_ORDER = ["_file", "_block", "_line"]
 # Where a row of a parquet chunk stands.
 CHUNK_ORDER = ["chunk_path", "chunk_row"]
 
-# One offset row per file is broadcast up to this many files.
-_BROADCAST_FILES = 100_000
-
 
 def read_problems(
     spark: SparkSession,
@@ -59,8 +57,6 @@ def read_chunks(
     offsets = files.select(
         "chunk_path", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    if len(table.inputFiles()) <= _BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
     return (
         df.join(offsets, "chunk_path")
         .withColumn(index, (F.col("_before") + F.col("chunk_row")).cast("bigint"))
@@ -86,24 +82,45 @@ def _with_file_order(df: DataFrame) -> DataFrame:
     )
 
 
-def read_test_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``id, nums, target`` with the numbers as text like ``[75, 80]``."""
-    raw = spark.read.schema(schemas.TEST_CSV).option("header", True).csv(path)
-    return raw.withColumn("nums", F.from_json("nums", "array<bigint>"))
+def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """All columns by the names in the header, as strings, to the blank.
+
+    ``multi_line`` allows line breaks inside quotes; a file is then one task's work.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    return reader.csv(path)
 
 
-def read_template(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """A submission template: at least ``id`` and ``equation``, other columns pass.
+def read_test_csv(
+    spark: SparkSession, path: str, id_type: str = "string", multi_line: bool = False
+) -> DataFrame:
+    """``id, nums, target`` by name, in any order, and all further columns as strings.
 
-    Without ``schema`` every column is a string, except ``id``. The columns of
+    The numbers are text like ``[75, 80]``; text that is no such list is an error.
+    """
+    raw = schemas.require_columns(
+        _read_csv(spark, path, multi_line), {"id", "nums", "target"}, "the test table"
+    )
+    nums = F.from_json("nums", "array<bigint>")
+    wrong = F.raise_error(F.concat(F.lit("not a list of numbers: "), F.col("nums"))).cast("array<bigint>")
+    return raw.withColumns(
+        {
+            "id": F.col("id").cast(id_type),
+            "nums": F.when(nums.isNull() & (F.trim("nums") != ""), wrong).otherwise(nums),
+            "target": F.col("target").cast("bigint"),
+        }
+    )
+
+
+def read_template(
+    spark: SparkSession, path: str, id_type: str = "string", multi_line: bool = False
+) -> DataFrame:
+    """A submission template: at least ``id`` and ``equation``, other columns pass as they are.
+
+    Every column is a string, ``id`` of ``id_type``. The columns of
     ``FILE_ORDER`` record the order of its lines.
     """
-    reader = spark.read.option("header", True)
-    if schema is not None:
-        table = reader.schema(schema).option("enforceSchema", False).csv(path)
-    else:
-        table = reader.csv(path)
-    schemas.require_columns(table, {"id", "equation"}, "the template")
-    if schema is None:
-        table = table.withColumn("id", F.col("id").cast("bigint"))
-    return _with_file_order(table)
+    table = schemas.require_columns(
+        _read_csv(spark, path, multi_line), {"id", "equation"}, "the template"
+    )
+    return _with_file_order(table.withColumn("id", F.col("id").cast(id_type)))

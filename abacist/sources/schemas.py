@@ -7,13 +7,7 @@ from pyspark.sql import DataFrame
 MESSAGES = "array<struct<content:string,role:string>>"
 
 PROBLEMS = "idx bigint, nums array<bigint>, target bigint"
-PROBLEMS_WITH_PROMPT = (
-    f"idx bigint, nums array<bigint>, target bigint, prompt {MESSAGES}"
-)
 SPLITS = "idx bigint, nums array<bigint>, target bigint, split string"
-RESPONSES = (
-    "idx bigint, nums array<bigint>, target bigint, response string, response_n_tokens bigint"
-)
 TEACHER_CHUNK = (
     "idx bigint, nums array<bigint>, target bigint, response string, response_n_tokens bigint, "
     "equation string, correct boolean, reason string, train_idx bigint"
@@ -22,7 +16,6 @@ SFT_TRAIN = (
     f"messages {MESSAGES}, completion string, nums array<bigint>, target bigint, "
     "train_idx bigint, prompt_tokens bigint, completion_tokens bigint"
 )
-TEST_CSV = "id bigint, nums string, target bigint"
 
 
 def require_columns(df: DataFrame, needed: set[str], what: str) -> DataFrame:

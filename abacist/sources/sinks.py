@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from abacist.operators.curation import SAVED
 from abacist.operators.ordering import sample_exact_n
@@ -49,10 +48,19 @@ def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str
 
 
 def write_submission(df: DataFrame, path: str, order_cols: list[str] = FILE_ORDER) -> None:
-    """CSV with a header. Part files in name order hold the rows in template order."""
+    """CSV with a header. Part files in name order hold the rows in template order.
+
+    Quotes are doubled and blanks stay, so columns that pass through do not change.
+    """
     helpers = {*order_cols, "matched", "extracted", "valid"}
     out = df.orderBy(*order_cols).select(*[c for c in df.columns if c not in helpers])
-    out.write.mode("overwrite").option("header", True).csv(path)
+    write_csv(out, path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    writer.options(**blanks).csv(path)
 
 
 def write_sft(df: DataFrame, path: str, small_n: int = 2000, seed: int = 42) -> None:
@@ -63,10 +71,6 @@ def write_sft(df: DataFrame, path: str, small_n: int = 2000, seed: int = 42) ->
     full = f"{path}/full"
     df.select(*SAVED).write.mode("overwrite").parquet(full)
     stored = df.sparkSession.read.schema(SFT_TRAIN).parquet(full)
-    small = sample_exact_n(stored, small_n, seed, key="train_idx")
+    # One puzzle may keep several equations, which the completion tells apart.
+    small = sample_exact_n(stored, small_n, seed, key="train_idx", ties=("completion",))
     small.write.mode("overwrite").parquet(f"{path}/small")
-
-
-def as_json(df: DataFrame, column: str = "json") -> DataFrame:
-    """Every row as one JSON text."""
-    return df.select(F.to_json(F.struct("*")).alias(column))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -38,8 +38,10 @@ def stream_counters(
 ) -> StreamingQuery:
     """Running counts per chunk. State is one row per chunk.
 
-    A batch writes the chunks it changed to a folder of its own, so repeating a
-    batch after a failure replaces that folder and counts nothing twice.
+    Every batch writes the counts of all chunks, with as many tasks as hold the
+    state, in place of the batch before the last: two folders at any time, one of
+    them whole. Repeating a batch after a failure replaces its folder and counts
+    nothing twice.
     """
     counters = (
         score_responses(_arriving(spark, in_dir, schema))
@@ -52,10 +54,11 @@ def stream_counters(
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        whole = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        whole.write.mode("overwrite").parquet(f"{table}/half={batch_id % 2}")
 
     return (
-        counters.writeStream.outputMode("update")
+        counters.writeStream.outputMode("complete")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -63,12 +66,8 @@ def stream_counters(
     )
 
 
-def read_counters(spark: SparkSession, table: str, chunk: str = "chunk") -> DataFrame:
-    """The latest counts of every chunk."""
-    newest = Window.partitionBy(chunk).orderBy(F.col("batch").desc())
-    return (
-        spark.read.parquet(table)
-        .withColumn("_rank", F.row_number().over(newest))
-        .filter("_rank = 1")
-        .drop("_rank", "batch")
-    )
+def read_counters(spark: SparkSession, table: str) -> DataFrame:
+    """The counts of every chunk after the last batch."""
+    stored = spark.read.parquet(table)
+    last = stored.agg(F.max("batch")).first()[0]
+    return stored.filter(F.col("batch") == F.lit(last)).drop("batch", "half")

@@ -85,7 +85,9 @@ _PROMPT = (
     f"'<|im_start|>user' || chr(10) || {_USER} || '<|im_end|>' || chr(10) || "
     "'<|im_start|>assistant' || chr(10)"
 )
-_WORDS = r"CAST(len(regexp_extract_all({}, '\w+|[^\w\s]')) AS BIGINT)"
+_WORDS = (
+    r"CAST(len(regexp_extract_all({}, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s\p{{Z}}\x{{85}}]')) AS BIGINT)"
+)
 
 SFT = (
     CURATED
@@ -130,8 +132,8 @@ SUBMISSION = (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY idx DESC) AS rn FROM r)
   WHERE rn = 1),
 t AS (
-  SELECT p_partkey AS id, 'part' AS note, p_partkey AS pos FROM part UNION ALL
-  SELECT s_suppkey, 'supplier', s_suppkey + 1000000000000 FROM supplier),
+  SELECT p_partkey AS id, '  part "' || p_partkey || '", so ' AS note, p_partkey AS pos FROM part UNION ALL
+  SELECT s_suppkey, '  supplier "' || s_suppkey || '", so ', s_suppkey + 1000000000000 FROM supplier),
 b AS (
   SELECT t.id, t.note, t.pos, coalesce(l.equation, '0') AS equation, l.ck IS NOT NULL AS matched,
          l.equation IS NOT NULL AS extracted, coalesce(l.correct, FALSE) AS valid
@@ -156,13 +158,18 @@ def statements() -> dict[str, str]:
         "SELECT train_idx, '{0}' AS system_text, user_text, completion, nums, target, "
         "prompt_tokens, completion_tokens FROM w".format(SYSTEM_TEXT)
     )
-    template = SUBMISSION + "SELECT id, '1 + 1' AS equation, note FROM t"
+    template = SUBMISSION + "SELECT 'test_' || id AS id, '1 + 1' AS equation, note FROM t"
+    job = """, j AS (
+      SELECT 'c' || t.id AS id, t.note, l.ck IS NOT NULL AND l.idx % 17 <> 0 AS answered, l.*
+      FROM t LEFT JOIN l ON t.id = l.ck)
+    """
     return {
         # sources and sinks
         "scan_problems": problems,
         "scan_splits": splits,
         "scan_chunks": BASE + "SELECT idx AS position, idx, response FROM r",
-        "scan_test_csv": BASE + "SELECT idx AS id, nums, target FROM r",
+        "scan_test_csv": BASE
+        + """SELECT 'test_' || idx AS id, nums, target, ' say "' || idx || '", then, ' AS note FROM r""",
         "scan_template": template,
         "roundtrip_splits": splits,
         "roundtrip_results": scored,
@@ -179,8 +186,18 @@ def statements() -> dict[str, str]:
             SELECT r.idx, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE {_USER} END AS user_text,
                    CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 2 END AS n_messages
             FROM r JOIN orders ON o_orderkey = r.idx""",
-        "render_chat": """SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text ||
-            '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS rendered FROM conversations""",
+        "render_chat": """SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text ||
+            '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS rendered
+            FROM conversations GROUP BY conv_id""",
+        "render_chat_folded": """WITH s AS (
+              SELECT conv_id, coalesce(string_agg(text || chr(10) || chr(10), '' ORDER BY turn)
+                FILTER (WHERE role = 'system'), '') AS opening,
+                min(turn) FILTER (WHERE role = 'user') AS first_user FROM conversations GROUP BY conv_id)
+            SELECT conv_id, '<bos>' || coalesce(string_agg('<start_of_turn>' ||
+              CASE role WHEN 'assistant' THEN 'model' ELSE role END || chr(10) ||
+              CASE WHEN turn = first_user THEN opening ELSE '' END || text || '<end_of_turn>' || chr(10),
+              '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') || '<start_of_turn>model' || chr(10) AS rendered
+            FROM conversations JOIN s USING (conv_id) GROUP BY conv_id""",
         "build_sft_rows": SFT
         + "SELECT train_idx, equation_norm, completion, prompt_tokens, completion_tokens FROM w",
         "render_sft": SFT + "SELECT prompt, completion || '<eos>' AS completion FROM w",
@@ -237,7 +254,8 @@ def statements() -> dict[str, str]:
         + f"""SELECT chunk, {_TOKENS}, min(idx) AS start_idx, max(idx) + 1 AS end_idx,
               CAST(grouping(chunk) AS BIGINT) AS is_total FROM r GROUP BY ROLLUP (chunk)""",
         "metrics_by_step": BASE
-        + f"""SELECT step, {_DEV} FROM (SELECT *, 25 * (idx % 5) AS step FROM r)
+        + f""", d AS (SELECT * FROM (SELECT *, {_SPLIT} FROM r) WHERE split = 'dev' ORDER BY idx LIMIT 100)
+              SELECT step, {_DEV} FROM (SELECT *, 25 * (idx % 5) AS step FROM d)
               WHERE step IN (50, 100) GROUP BY step""",
         "reason_histogram": BASE
         + """SELECT reason_code, CAST(count(*) AS BIGINT) AS n,
@@ -311,6 +329,34 @@ def statements() -> dict[str, str]:
         "score_chunk": BASE
         + """SELECT idx - 1000 AS idx, idx AS train_idx, equation, correct, reason FROM r
              WHERE idx >= 1000""",
+        "score_chunk_summary": BASE
+        + f"""SELECT {_TOKENS}, 1000 AS start_idx, 6000 AS end_idx, CAST(12.5 AS DOUBLE) AS elapsed_s,
+              'teacher' AS model_id FROM r WHERE idx >= 1000 AND idx < 6000""",
+        "generate_chunk": BASE
+        + """SELECT idx - 1000 AS idx, idx AS train_idx, '<answer>' || sa || ' + ' || sa || '</answer>' AS response,
+             sa || ' + ' || sa AS equation, FALSE AS correct,
+             'Numbers in equation do not match nums list' AS reason FROM r WHERE idx >= 1000""",
+        "curate_summary": SFT
+        + """SELECT n_raw, n_correct, n_after_dedup, CAST(n_correct AS DOUBLE) / n_raw AS correct_share,
+             n_correct - n_after_dedup AS n_removed, 'words' AS tokenizer,
+             (SELECT completion FROM w ORDER BY train_idx, completion LIMIT 1) AS example_completion FROM (SELECT
+             (SELECT count(*) FROM r) AS n_raw, (SELECT count(*) FROM k) AS n_correct,
+             (SELECT count(*) FROM f) AS n_after_dedup)""",
+        "render_training_set": SFT
+        + f"""SELECT '<bos><start_of_turn>user' || chr(10) || '{SYSTEM_TEXT}' || chr(10) || chr(10) || user_text
+             || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS prompt,
+             completion || '<eos>' AS completion FROM w""",
+        "make_submission": SUBMISSION
+        + job
+        + "SELECT id, note, CASE WHEN answered THEN coalesce(equation, '0') ELSE '0' END AS equation FROM j",
+        "make_submission_stats": SUBMISSION
+        + job
+        + """, k AS (SELECT *, answered AND equation IS NOT NULL AS found, answered AND correct AS good FROM j)
+             SELECT CAST(count(*) AS BIGINT) AS n_total, CAST(count_if(found) AS BIGINT) AS n_extracted,
+             CAST(count_if(NOT found) AS BIGINT) AS n_fallback,
+             CAST(count_if(found) AS DOUBLE) / count(*) AS extracted_rate,
+             CAST(count_if(good) AS BIGINT) AS n_valid_by_local_validator,
+             CAST(count_if(good) AS DOUBLE) / count(*) AS expected_accuracy, 'student' AS model_path FROM k""",
         "curate_sft": SFT
         + ", v AS (SELECT *, prompt_tokens + completion_tokens AS total_tokens FROM w) "
         + _stats("v", ["prompt_tokens", "completion_tokens", "total_tokens"]),
