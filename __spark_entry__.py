@@ -502,12 +502,29 @@ def verify_equations(spark, sf_dir):
 
 @query
 def verify_residual(spark, sf_dir):
-    """Every equation through the host grammar, as a check on the native path."""
-    return scoring.verify_equations(puzzles.proposed(spark, sf_dir), native=False).select(
+    """What the native path leaves to the host grammar."""
+    residual = puzzles.proposed(spark, sf_dir).filter(A.grammar_status(F.col("equation")) == A.OTHER)
+    return scoring.verify_equations(residual, native=False).select(
         "idx", "reason_code", "ok", "reason", "result"
     )
 
 
+@query
+def verify_hard(spark, sf_dir):
+    return scoring.verify_equations(puzzles.hard(spark, sf_dir)).select(
+        "idx", "reason_code", "ok", "reason", F.round("result", 9).alias("result")
+    )
+
+
+@query
+def extract_documents(spark, sf_dir):
+    """Whole documents, each with an answer at its end."""
+    key = F.col("doc_id").cast("string")
+    tail = F.concat(F.lit("\n<answer>"), key, F.lit(" + 7 = "), (F.col("doc_id") + 7).cast("string"), F.lit("</answer>"))
+    asked = _documents(spark, sf_dir).withColumn("text", F.concat(F.coalesce("text", F.lit("")), tail))
+    return scoring.extract_equation(asked, "text").select("doc_id", "equation")
+
+
 @query
 def sql_verify(spark, sf_dir):
     register_sql(spark)

@@ -142,6 +142,47 @@ def proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HARD_KINDS = 15
+
+
+def hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equations that the plain kinds leave out, with their puzzle: quotients that are not whole, values just
+    inside and outside the tolerance, signs, nesting, floats, names, blanks beyond ASCII, long broken texts."""
+    df = _numbers(_orders(spark, sf_dir)).withColumn("kind", F.col("idx") % HARD_KINDS)
+    a, b, c = (F.col(x) for x in "abc")
+    sa, sb, sc = (x.cast("string") for x in (a, b, c))
+
+    def text(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def nums(*values):
+        return F.array(*[(F.lit(v) if isinstance(v, int) else v).cast("bigint") for v in values])
+
+    cases = [
+        (text(sa, " / ", sb, " / ", sc), nums(a, b, c), F.floor(a / (b * c))),
+        (text("(", sa, " / ", sb, ") * ", sb), nums(a, b, b), a),
+        (text("2.0 * ", sa), nums(2, a), 2 * a),
+        (text("2.5 * ", sa), nums(2, a), 2 * a),
+        (text("-(", sa, " - ", sb, ") + -", sc), nums(a, b, c), b - a - c),
+        (text("(" * 12, sa, ")" * 12, " + ", sc), nums(a, c), a + c),
+        (text("x + ", sa), nums(a), a),
+        (text(sa, "\u00a0+ ", sb), nums(a, b), a + b),
+        (text("(", F.repeat(text(sa, " + "), 130), sb), nums(a, b), a + b),
+        (text(sa, " / 3"), nums(a, 3), F.floor(a / 3)),
+        (text("True + ", sa), nums(1, a), a + 1),
+        (text(sa, " // ", sb), nums(a, b), a),
+        (text("0", sa, " + ", sb), nums(a, b), a + b),
+        (text(sa, " + 1 / 2000000"), nums(a, 1, 2000000), a),
+        (text(sa, " + 1 / 500000"), nums(a, 1, 500000), a),
+    ]
+    chosen = [F.when(F.col("kind") == 0, cases[0][i]) for i in range(3)]
+    for kind, case in enumerate(cases[1:], start=1):
+        chosen = [was.when(F.col("kind") == kind, now) for was, now in zip(chosen, case)]
+    return df.select(
+        "idx", chosen[0].alias("equation"), chosen[1].alias("nums"), chosen[2].cast("bigint").alias("target")
+    )
+
+
 def _note(kind: str, key: str) -> Column:
     """Text with what CSV has trouble with: blanks at the ends, quotes, a separator."""
     return F.concat(F.lit(f'  {kind} "'), F.col(key).cast("string"), F.lit('", so ')).alias("note")

@@ -149,6 +149,34 @@ _VERIFIED = BASE + _VERDICT.format(
 )
 
 
+# Verdicts by kind of the equations that parsing and rounding make hard.
+_HARD = """
+WITH o AS (
+  SELECT o_orderkey AS idx, o_orderkey % 15 AS kind, 1 + o_custkey % 50 AS a, 1 + o_orderkey % 11 AS b,
+         1 + o_orderkey % 7 AS c FROM orders),
+v AS (
+  SELECT *, CASE kind WHEN 0 THEN a::DOUBLE / b / c WHEN 1 THEN a::DOUBLE / b * b WHEN 2 THEN 2.0 * a
+      WHEN 4 THEN b - a - c WHEN 5 THEN a + c WHEN 9 THEN a::DOUBLE / 3 WHEN 10 THEN a + 1
+      WHEN 13 THEN a + 1 / 2000000.0::DOUBLE WHEN 14 THEN a + 1 / 500000.0::DOUBLE END AS value,
+    CASE kind WHEN 0 THEN a // (b * c) WHEN 1 THEN a WHEN 2 THEN 2 * a WHEN 4 THEN b - a - c WHEN 5 THEN a + c
+      WHEN 9 THEN a // 3 WHEN 10 THEN a + 1 ELSE a END AS target,
+    CASE kind WHEN 0 THEN a || ' / ' || b || ' / ' || c WHEN 9 THEN a || ' / 3'
+      WHEN 14 THEN a || ' + 1 / 500000' END AS equation
+  FROM o),
+w AS (
+  SELECT *, CASE WHEN kind IN (3, 6, 11) THEN 'processing' WHEN kind IN (7, 8, 12) THEN 'syntax'
+      WHEN abs(value - target) <= 1e-6 THEN 'ok' ELSE 'value' END AS reason_code FROM v)
+SELECT idx, reason_code, reason_code = 'ok' AS ok,
+  CASE reason_code WHEN 'ok' THEN 'All good' WHEN 'syntax' THEN 'SyntaxError=invalid syntax'
+    WHEN 'value' THEN 'Equation ' || equation || ' != ' || target
+    ELSE 'While ast processing raised Error=' || CASE kind WHEN 3 THEN 'Invalid constant type (float) 2.5'
+      WHEN 6 THEN 'Unsupported ast node <class ''ast.Name''>'
+      ELSE 'Unsupported operator <class ''ast.FloorDiv''>' END END AS reason,
+  round(value, 9) AS result
+FROM w
+"""
+
+
 def statements() -> dict[str, str]:
     problems = BASE + "SELECT idx, nums, target FROM r"
     splits = BASE + f"SELECT idx, nums, target, {_SPLIT} FROM r"
@@ -307,7 +335,9 @@ def statements() -> dict[str, str]:
         + " AS words FROM documents",
         # verification
         "verify_equations": _VERIFIED,
-        "verify_residual": _VERIFIED,
+        "verify_residual": _VERIFIED + " WHERE kind = 11",
+        "verify_hard": _HARD,
+        "extract_documents": "SELECT doc_id, doc_id || ' + 7' AS equation FROM documents",
         "sql_verify": BASE
         + """SELECT idx, CASE WHEN equation IS NULL THEN 'invalid' ELSE reason_code END AS code,
              correct AS ok, result FROM r""",
