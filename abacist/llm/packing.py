@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from abacist.llm.batches import pieces
-from abacist.llm.tokens import word_encoder
+from abacist.llm.tokens import slices, word_encoder
 from abacist.session import settle
 
 # Pieces that one task packs together. Each task leaves at most about one
@@ -37,17 +36,20 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, ids: b
     step = 4 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = make()
+        encoder = make()
         for batch in batches:
             own = batch["doc_id"]
-            for at, texts in pieces(batch["text"]):
+            for at, texts in slices(batch["text"]):
+                found, bounds = encoder.texts(texts)
+                raw, bounds = found.tobytes(), (4 * bounds).tolist()
                 row, number, size, crc, parts = [], [], [], [], []
-                for i, found in enumerate(encode(texts)):
-                    found += end
-                    for n, begin in enumerate(range(0, len(found), step)):
-                        part = found[begin : begin + step]
+                for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    whole = raw[a:b] + end
+                    for n, begin in enumerate(range(0, len(whole), step)):
+                        part = whole[begin : begin + step]
                         row.append(at + i), number.append(n), size.append(len(part) // 4), crc.append(zlib.crc32(part))
-                        parts.append(part)
+                        if ids:
+                            parts.append(part)
                 columns = [
                     own.take(pa.array(row)),
                     pa.array(number, pa.int32()),

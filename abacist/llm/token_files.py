@@ -20,8 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from abacist.llm.batches import pieces
-from abacist.llm.tokens import word_encoder
+from abacist.llm.tokens import slices, word_encoder
 from abacist.session import scratch_path, settle
 
 SEQUENCE = 2048
@@ -51,8 +50,8 @@ class _Writer:
         self.rest = np.zeros(0, self.dtype)
         self.first_id = self.last_id = None
 
-    def add(self, ids: pa.Array, texts: list[np.ndarray]) -> None:
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    def add(self, ids: pa.Array, tokens: np.ndarray, sizes: np.ndarray) -> None:
+        """Append documents: their ids, all their tokens, and how many each has."""
         starts = self.tokens + np.cumsum(sizes) - sizes
         self.files[1].write_batch(
             pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(sizes)], schema=self.index_schema)
@@ -60,9 +59,9 @@ class _Writer:
         if self.documents == 0:
             self.first_id = ids[0].as_py()
         self.last_id = ids[-1].as_py()
-        self.documents += len(texts)
+        self.documents += len(sizes)
         self.tokens += int(sizes.sum())
-        all_ids = np.concatenate([self.rest, *texts]).astype(self.dtype)
+        all_ids = np.concatenate([self.rest, tokens.astype(self.dtype)])
         block = self.length * ROWS
         whole = len(all_ids) // block * block
         for at in range(0, whole, block):
@@ -104,13 +103,17 @@ def write_tokens(
     kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer = make(), None
+        encoder, writer = make(), None
         for batch in batches:
-            for at, texts in pieces(batch["text"]):
+            for at, texts in slices(batch["text"]):
                 if writer is None:
                     writer = _Writer(folder, uuid.uuid4().hex, kind, length)
-                found = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in encode(texts)]
-                writer.add(batch["doc_id"][at : at + len(texts)], found)
+                found, bounds = encoder.texts(texts)
+                writer.add(
+                    batch["doc_id"][at : at + len(texts)],
+                    np.insert(found, bounds[1:], end_id),
+                    np.diff(bounds) + 1,
+                )
         columns = [[x] for x in writer.close()] if writer else [()] * 5
         names = [c.split() for c in _WRITTEN.split(", ")]
         kinds = {"string": pa.string(), "long": pa.int64()}
