@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abacist.functions import arithmetic as A
@@ -38,8 +38,8 @@ def _screened(cands: Column) -> Column:
 
 
 @lru_cache(maxsize=4)
-def _pick_columns(application: str) -> tuple[Column, Column]:
-    """``pick`` and ``rest`` of :func:`_with_pick`; large, so built once per application."""
+def _pick_columns(session: SparkSession) -> tuple[Column, Column]:
+    """``pick`` and ``rest`` of :func:`_with_pick`; large, so built once per session."""
     space = F.col("_space")
     first = F.lit(0)
     pick = F.coalesce(
@@ -54,14 +54,10 @@ def _pick_columns(application: str) -> tuple[Column, Column]:
 
 
 @lru_cache(maxsize=4)
-def _value_column(application: str) -> Column:
+def _value_column(session: SparkSession) -> Column:
     return A.evaluate_native(F.col("_e"))
 
 
-def _application(df: DataFrame) -> str:
-    return df.sparkSession.sparkContext.applicationId
-
-
 def _with_pick(df: DataFrame, text_col: str) -> DataFrame:
     """``_pick``: the first candidate that is or may be an expression.
 
@@ -69,7 +65,7 @@ def _with_pick(df: DataFrame, text_col: str) -> DataFrame:
     and might still be refused by it. Later sources of candidates are evaluated
     only where the earlier ones gave none.
     """
-    pick, rest = _pick_columns(_application(df))
+    pick, rest = _pick_columns(df.sparkSession)
     return (
         df.withColumn("_space", T.search_space(F.col(text_col)))
         .withColumn("_pick", pick)
@@ -105,7 +101,7 @@ def _with_verdict(df: DataFrame, nums: Column, target: Column, tolerance: float)
     judged = (
         df.withColumns(
             {
-                "_value": F.when(settled, _value_column(_application(df))),
+                "_value": F.when(settled, _value_column(df.sparkSession)),
                 "_match": F.when(settled, A.number_match(A.equation_numbers(e), nums)),
             }
         )

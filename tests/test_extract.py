@@ -1,9 +1,6 @@
 """Extraction against fixed cases and an independent per-row check."""
 
-import ast
 import random
-import re
-import warnings
 
 from pyspark.sql import functions as F
 
@@ -12,11 +9,10 @@ from abacist.operators.scoring import extract_equation, score_responses
 
 FIXED = [
     (
-        "The correct combination is:\n93 - (78 - 46) = 93 - 32 = 61\n\nDone\n</think>\n"
-        "<answer>\n93 - (78 - 46) = 61\n</answer>",
-        "93 - (78 - 46)",
+        "Let me see: 12 + 5 * (9 - 6) = 12 + 15 = 27, which works.\n</think>\n<answer>\n12 + 5 * (9 - 6) = 27\n</answer>",
+        "12 + 5 * (9 - 6)",
     ),
-    ("<answer>61 = 93 - 32</answer>", None),
+    ("<answer>27 = 12 + 15</answer>", None),
     ("<Answer>4*5</answer>", "4*5"),
     ("ANSWER: 3+4\ndone", None),
     (None, None),
@@ -36,59 +32,51 @@ FIXED = [
 ]
 
 
-def _expected(text):
-    """Straight reading of the rules, one row at a time, for comparison only."""
-    whole = (text or "").strip()
-    space = whole.rpartition("</think>")[2].strip() or whole
-    found, at = [], 0
-    while True:
-        begin = re.compile("<[aA]nswer>").search(space, at)
-        end = begin and re.compile("</[aA]nswer>").search(space, begin.end())
-        if not end:
-            break
-        found.append(space[begin.end() : end.start()])
-        at = end.end()
-    found += re.findall(r"[aA]nswer\s*:\s*([^\n]+)", space)
-    found += [line for line in space.split("\n") if line.strip()][-1:] + [space]
-    for c in (f.partition("=")[0].strip() for f in found):
-        if re.search(r"\d", c) and set(c) & set("+-*/"):
-            try:
-                ast.parse(c, mode="eval")
-            except SyntaxError:
-                continue
-            return c
-    return None
-
-
-def _compare(spark, texts):
-    rows = spark.createDataFrame(list(enumerate(texts)), "id int, response string")
-    got = {r.id: r.equation for r in extract_equation(rows).collect()}
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        for i, t in enumerate(texts):
-            assert got[i] == _expected(t), repr(t)
+# Parts a response is put together from, with the equation that each offers when it is the first to offer one.
+TAGS = [
+    ("<answer>3 + 4 = 7</answer>", "3 + 4"),
+    ("<Answer> (1+2)*3 </answer>", "(1+2)*3"),
+    ("<answer>\n2**3\n</Answer>", "2**3"),
+    ("<answer>1 +</answer>", None),
+    ("<answer>word word</answer>", None),
+    ("<answer>7 = 3 + 4</answer>", None),
+]
+LABELS = [("answer: 5 - 2 = 3", "5 - 2"), ("Answer :x+1", "x+1"), ("answer:\n 8/4", "8/4"), ("Answer: nothing", None)]
+LINES = [("6 * 7", "6 * 7"), ("10 - 2.5 = 7.5", "10 - 2.5"), ("So that is it.", None), ("1 + 'a", None)]
+FILLERS = ["", "Let's see.", "words and more words", "\\frac", "× 3"]
+
+
+def _assembled(rng):
+    """A response and its equation: tags come before labels, labels before the last line; a think block hides what it closes."""
+    tags, labels = ([rng.choice(x) for _ in range(rng.randint(0, 3))] for x in (TAGS, LABELS))
+    line = rng.choice(LINES)
+    placed = tags + labels
+    rng.shuffle(placed)
+    shown = [p for p in placed if p in tags] + [p for p in placed if p in labels] + [line]
+    body = "\n".join(x for text, _ in placed for x in (rng.choice(FILLERS), text)) + "\n" + line[0] + "\n"
+    hidden = rng.choice(["", "<think>9 + 9</think>\n", "<answer>9 * 9</answer> no\n</think>\n"])
+    return hidden + body, next((equation for _, equation in shown if equation), None)
 
 
 def test_fixed(spark):
     rows = spark.createDataFrame(FIXED, "response string, want string")
     assert extract_equation(rows).filter("NOT (want <=> equation)").collect() == []
-    assert [_expected(t) for t, _ in FIXED] == [w for _, w in FIXED]
 
 
-def test_random_texts(spark):
+def test_assembled_texts(spark):
     rng = random.Random(3)
-    bits = (
-        "<answer>|</answer>|<Answer>|</Answer>|</think>|<think>|answer:|Answer :|3 + 4|(1+2)*3|"
-        "= 7|\n| |x|2**3|Let's see|so 5 - 2|1 +|'|#|×|2.5|word word|()|\t| |\\frac"
-    ).split("|")
-    texts = {"".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(6000)}
-    _compare(spark, sorted(texts))
+    cases = sorted({_assembled(rng) for _ in range(5000)}, key=str)
+    rows = spark.createDataFrame(cases, "response string, want string")
+    wrong = extract_equation(rows).filter("NOT (want <=> equation)").take(3)
+    assert wrong == []
 
 
 def test_whole_documents(spark, sf):
-    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    mixed = [t + "\n" + tail for t in texts for tail in ("", "3 + 4 = 7", "answer: 5*6")]
-    _compare(spark, mixed)
+    """Prose offers no equation, so what follows it is found."""
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    for tail, want in (("3 + 4 = 7", "3 + 4"), ("answer: 5*6", "5*6"), ("<answer>8-1</answer>", "8-1")):
+        rows = texts.select(F.concat("text", F.lit("\n" + tail)).alias("response"))
+        assert [r.equation for r in extract_equation(rows).select("equation").distinct().collect()] == [want]
 
 
 def test_unclosed_tags_take_linear_time(spark):
