@@ -186,8 +186,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, bucket
     joined = values.join(parts, values["fp"] == parts["node"]).select("fp", "component", "first_id")
     least = joined.groupBy("component").agg(F.min("first_id").alias("least_id"))
     linked = joined.join(least, "component").select("fp", "least_id")
-    ids = values.join(linked, "fp", "left").select(
-        "fp", F.coalesce("least_id", "first_id").alias("least_id")
+    # Stored, so that the last join is of two plain tables and a hot fingerprint can be split in it.
+    ids = settle(
+        values.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("least_id")),
+        "fingerprint-ids",
     )
     return known.join(ids, "fp").select(
         "doc_id",
