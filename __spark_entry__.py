@@ -527,11 +527,19 @@ def extract_documents(spark, sf_dir):
 
 @query
 def sql_verify(spark, sf_dir):
+    puzzles.proposed(spark, sf_dir).createOrReplaceTempView("proposed_equations")
+    scoring.register_view(spark, "proposed_equations", "verified_equations")
+    return spark.sql("SELECT idx, reason_code AS code, ok, result FROM verified_equations")
+
+
+@query
+def sql_function(spark, sf_dir):
+    """The function itself, for what the native path leaves undecided."""
     register_sql(spark)
     return spark.sql(
         "SELECT idx, v.code, v.ok, v.result FROM "
-        "(SELECT idx, verify_equation(equation, nums, target) AS v FROM {proposed})",
-        proposed=puzzles.proposed(spark, sf_dir),
+        "(SELECT idx, verify_equation(equation, nums, target) AS v FROM {residual})",
+        residual=puzzles.proposed(spark, sf_dir).filter(A.grammar_status(F.col("equation")) == A.OTHER),
     )
 
 

@@ -341,6 +341,8 @@ def statements() -> dict[str, str]:
         "sql_verify": BASE
         + """SELECT idx, CASE WHEN equation IS NULL THEN 'invalid' ELSE reason_code END AS code,
              correct AS ok, result FROM r""",
+        "sql_function": BASE
+        + "SELECT idx, reason_code AS code, correct AS ok, result FROM r WHERE kind = 11",
         "parse_status": BASE + "SELECT idx, kind NOT IN (1, 4, 5, 10, 12) AS parses FROM r",
         "equation_numbers": BASE
         + """SELECT idx, '[' || array_to_string(regexp_extract_all(equation, '[0-9]+'), ', ') || ']'
