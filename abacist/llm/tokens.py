@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
 # Words that are letters of these and up to three closing marks are read as those two parts.
 _LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 _LOWERED = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
