@@ -17,21 +17,25 @@ would be another cut than the one the model's users expect.)
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from abacist.llm.batches import pieces
+from abacist.llm.tokens import slices
 
 MARK = "▁"
-CACHED_WORDS = 400_000
-CACHED_PAIRS = 1_000_000
+PIECE_BYTES = 8 << 20
+CACHED_PAIRS = 300_000
+DECODED_ROWS = 1000
 UNIGRAM, BPE = 1, 2
+NO_PIECE = -(1 << 30)
 _UNKNOWN_PENALTY = 10.0  # fixed value of the library's unigram models
 
 
@@ -68,7 +72,8 @@ def _fields(message: bytes) -> Iterator[tuple[int, object]]:
 class Vocabulary:
     """Pieces of a model file, and how its texts are cut."""
 
-    def __init__(self, message: bytes):
+    def __init__(self, message: bytes, decoding: bool = False):
+        """``decoding``: only what :func:`decode` needs."""
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_proto=message)
@@ -94,12 +99,17 @@ class Vocabulary:
                 self.texts.append(piece.replace(MARK, " ").encode())
                 if not library.is_unused(i):
                     self.ids[piece], self.scores[piece] = i, library.get_score(i)
+        if decoding:
+            return
         if any(MARK in piece.lstrip(MARK) for piece in self.ids):
             raise ValueError("a piece crosses a mark")
-        self.longest = max(map(len, self.ids), default=1)
         self.missing = min(self.scores.values(), default=0.0) - _UNKNOWN_PENALTY
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.stable: dict[str, bool] = {}
+        # Every ending of a piece, with the piece's id where it is a whole one.
+        self.endings = {piece[i:]: NO_PIECE for piece in self.ids for i in range(1, len(piece))}
+        self.endings |= self.ids
+        self.pieces = {i: piece for piece, i in self.ids.items()}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """``text`` after all merges of a BPE model, each time of the pair with the best score, the first of equal ones."""
@@ -116,67 +126,87 @@ class Vocabulary:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
-    def follows(self, left: str, right: str) -> bool:
-        """Whether merging leaves ``left`` and ``right`` side by side."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+    def _name(self, number: int) -> str:
+        """A piece, or the character that stands for itself, by its number in a state."""
+        return self.pieces[number] if number >= 0 else chr(-1 - number)
+
+    def follows(self, left: int, right: int) -> bool:
+        """Whether merging leaves the pieces ``left`` and ``right`` side by side, and makes ``right`` at all."""
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.pairs.clear()
+        a, b = self._name(left), self._name(right)
+        known = self.pairs[left, right] = self.reached(right) and self.merged(a + b) == [a, b]
         return known
 
-    def reached(self, piece: str) -> bool:
-        """Whether merging makes ``piece`` of its characters."""
-        known = self.stable.get(piece)
+    def reached(self, number: int) -> bool:
+        """Whether merging makes a piece of its characters."""
+        known = self.stable.get(number)
         if known is None:
-            known = self.stable[piece] = self.merged(piece) == [piece]
+            piece = self._name(number)
+            known = self.stable[number] = self.merged(piece) == [piece]
         return known
 
-    def walk(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """The best cut of each of ``words``, which are sorted and distinct."""
-        ids, scores, bpe, longest = self.ids, self.scores, self.kind == BPE, self.longest
-        states: list[tuple[float, str, int]] = [(0.0, "", 0)]
+    def walk(self, words: Iterable[str]) -> Iterator[list[int]]:
+        """The best cut of each of ``words``, which are sorted: ids, or ``-1 - code`` for a character without one."""
+        bpe, endings, scores = self.kind == BPE, self.endings, self.scores
+        pairs, reached, follows, missing = self.pairs, self.reached, self.follows, self.missing
+        # For each prefix of the word at hand: score, last piece, where it starts.
+        score, last, begin = [0.0], [0], [0]
         before = ""
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :]
+            del score[shared + 1 :], last[shared + 1 :], begin[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                best = None
-                for start in range(max(0, end - longest), end):
+                best, chosen, start = None, 0, end
+                while start:
+                    start -= 1
                     piece = word[start:end]
-                    if piece not in ids:
+                    number = endings.get(piece)
+                    if number is None or number == NO_PIECE:
                         if start < end - 1:
+                            if number is None:
+                                break
                             continue
-                        score = self.missing
+                        own = -1 - ord(piece)
                     else:
-                        score = scores[piece]
-                    state = states[start]
+                        own = number
                     if bpe:
-                        if not self.reached(piece) or start and not self.follows(state[1], piece):
-                            continue
-                        best = (state[0] + score, piece, start)
+                        if start:
+                            fits = pairs.get((last[start], own))
+                            if fits is None:
+                                fits = follows(last[start], own)
+                        else:
+                            fits = reached(own)
+                        if fits:
+                            best, chosen, at = score[start] + scores.get(piece, missing), own, start
+                            break
+                    else:
+                        total = score[start] + scores.get(piece, missing)
+                        if best is None or total > best:
+                            best, chosen, at = total, own, start
+                    if number is None:
                         break
-                    if best is None or state[0] + score > best[0]:
-                        best = (state[0] + score, piece, start)
-                states.append(best)
-            cut, at = [], len(word)
-            while at:
-                _, piece, at = states[at]
-                cut.append(piece)
+                score.append(best), last.append(chosen), begin.append(at)
+            cut, end = [], len(word)
+            while end:
+                cut.append(last[end])
+                end = begin[end]
             before = word
-            yield word, cut[::-1]
+            cut.reverse()
+            yield cut
 
-    def numbers(self, cut: list[str]) -> list[int]:
-        """Ids of pieces; a character without one gives the ids of its bytes, or one unknown id for a run of such."""
+    def numbers(self, cut: list[int]) -> list[int]:
+        """Ids of a cut; a character without one gives the ids of its bytes, or one unknown id for a run of such."""
+        if min(cut) >= 0:
+            return cut
         found = []
-        for piece in cut:
-            number = self.ids.get(piece)
-            if number is not None:
+        for number in cut:
+            if number >= 0:
                 found.append(number)
             elif self.bytes:
-                found += [self.bytes[b] for b in piece.encode()]
+                found += [self.bytes[b] for b in chr(-1 - number).encode()]
             elif not found or found[-1] != self.unknown:
                 found.append(self.unknown)
         return found
@@ -190,6 +220,28 @@ def marked_words(text: str) -> list[str]:
     return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def _ids_of(texts: pa.StringArray, vocabulary: Vocabulary) -> pa.ListArray:
+    """Ids of each text; every distinct word is cut once."""
+    counts, parts = [], []
+    for _, some in slices(texts, 1 << 20):
+        split = [marked_words(t or "") for t in some.to_pylist()]
+        counts += map(len, split)
+        parts.append(pa.array(list(chain.from_iterable(split)), pa.string()))
+    words = pa.concat_arrays(parts).dictionary_encode()
+    order = pc.sort_indices(words.dictionary)
+    flat, ends = array("i"), [0]
+    # By bytes of UTF-8, which is the order of code points: words with a common prefix are neighbours.
+    for cut in vocabulary.walk(words.dictionary.take(order).to_pylist()):
+        flat.extend(vocabulary.numbers(cut))
+        ends.append(len(flat))
+    known = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, "<i4")))
+    place = np.argsort(order.to_numpy())
+    at = pa.array(place[words.indices.to_numpy()])
+    sizes = np.diff(ends)[at.to_numpy()]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), known.take(at).flatten())
+
+
 def _shared(spark: SparkSession, model: str):
     """The model file as a broadcast; its size is that of the vocabulary."""
     with open(model, "rb") as file:
@@ -208,44 +260,32 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value)
-        cache: dict[str, bytes] = {}
         for batch in batches:
-            for at, texts in pieces(batch["text"], 4 << 20):
-                split = [marked_words(t.decode()) for t in texts]
-                missing = sorted(set(chain.from_iterable(split)).difference(cache))
-                fresh = {
-                    word: np.array(vocabulary.numbers(cut), "<i4").tobytes() for word, cut in vocabulary.walk(missing)
-                }
-                if len(cache) + len(fresh) > CACHED_WORDS:
-                    used = set(chain.from_iterable(split))
-                    cache = {w: i for w, i in cache.items() if w in used}
-                cache.update(fresh)
-                found = [b"".join(map(cache.__getitem__, words)) for words in split]
-                ends = np.cumsum([0] + [len(f) // 4 for f in found])
-                ids = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"))
-                )
-                columns = [batch[c][at : at + len(texts)] for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, ids], [*kept, "ids"])
+            for at, texts in slices(batch["text"], PIECE_BYTES):
+                columns = [batch[c].slice(at, len(texts)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, _ids_of(texts, vocabulary)], [*kept, "ids"])
 
     schema = docs.drop("text").schema.add("ids", ArrayType(IntegerType()))
     return docs.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """``text`` of each row's ``ids``, in their place; NULL ids give an empty text."""
+    """Add the ``text`` of each row's ``ids``; NULL ids give an empty text. A ``text`` there already is replaced."""
     shared = _shared(encoded.sparkSession, model)
-    kept = [c for c in encoded.columns if c not in ("ids", "text")]
-    encoded = encoded.select(*[F.col(f"`{c}`") for c in kept], "ids")
+    kept = [c for c in encoded.columns if c != "text"]
+    encoded = encoded.select(*[F.col(f"`{c}`") for c in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Vocabulary(shared.value).texts
+        table = Vocabulary(shared.value, decoding=True).texts
         for batch in batches:
-            out = []
-            for ids in batch["ids"]:
-                values = ids.values
-                text = b"".join([table[i] for i in values.to_numpy().tolist()]) if values else b""
-                out.append(text.removeprefix(b" ").decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(out, pa.string())], [*kept, "text"])
-
-    return encoded.mapInArrow(run, encoded.drop("ids").schema.add("text", "string"))
+            for at in range(0, len(batch), DECODED_ROWS):
+                part = batch.slice(at, DECODED_ROWS)
+                out = []
+                for ids in part["ids"]:
+                    values = ids.values
+                    text = b"".join([table[i] for i in values.to_numpy().tolist()]) if values else b""
+                    out.append(text.removeprefix(b" ").decode("utf-8", "replace"))
+                columns = [*[part[c] for c in kept], pa.array(out, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "text"])
+
+    return encoded.mapInArrow(run, StructType(list(encoded.schema)).add("text", "string"))
