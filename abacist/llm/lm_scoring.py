@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ from abacist.llm import batches as B
 from abacist.session import settle
 
 # Words with a place of their own, by count over all texts; the others share one.
-# Bounds each model to VOCABULARY**2 pairs of 12 bytes (0.2 GB), far from reached.
-VOCABULARY = 4096
+# Bounds each model to VOCABULARY**2 pairs of 8 bytes (34 MB).
+VOCABULARY = 2048
 DISCOUNT = 0.75
 
 
@@ -58,32 +59,45 @@ def _word_ids(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == hashes, at + 1, 0)
 
 
-def _pairs(words: B.Words, ids: np.ndarray, base: int) -> np.ndarray:
+def _pairs(ids: np.ndarray, bounds: np.ndarray, base: int) -> np.ndarray:
     """Code of each word with the one before it; the first of a text follows ``base - 1``, the text's edge."""
     before = np.concatenate([[0], ids[:-1]])[: len(ids)]
-    first = words.bounds[:-1][np.diff(words.bounds) > 0]
+    first = bounds[:-1][np.diff(bounds) > 0]
     before[first] = base - 1
     return before * base + ids
 
 
-def count_pairs(docs: DataFrame, known, base: int) -> DataFrame:
-    """``code, n, n_target`` over ``docs (text, target)``: pairs in all texts, and in those of the target."""
+def _encoded(docs: DataFrame, known) -> DataFrame:
+    """``doc_id, words``: each text as places in the vocabulary, two bytes a word."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank, fold, hasher = B.table(B.BLANKS), B.ascii_lower(), B.Hasher()
         for batch in parts:
-            target, held = batch["target"].to_numpy(zero_copy_only=False), []
             for at, texts in B.pieces(batch["text"]):
                 words, hashes = _word_hashes(texts, blank, fold, hasher)
-                code = _pairs(words, _word_ids(hashes, known.value), base)
-                wanted = np.repeat(target[at : at + len(texts)], np.diff(words.bounds))
-                held.append(code * 2 + wanted)
-            both, n = np.unique(np.concatenate(held or [np.zeros(0, np.int64)]), return_counts=True)
+                raw = _word_ids(hashes, known.value).astype("<u2").tobytes()
+                ends = pa.array(2 * words.bounds, pa.int32())
+                coded = pa.Array.from_buffers(pa.binary(), len(texts), [None, ends.buffers()[1], pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][at : at + len(texts)], coded], ["doc_id", "words"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary")
+
+
+def count_pairs(docs: DataFrame, base: int) -> DataFrame:
+    """``code, n, n_target`` over ``docs (words, target)``: pairs in all texts, and in those of the target."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            target = batch["target"].to_numpy(zero_copy_only=False)
+            sizes = pc.binary_length(batch["words"]).to_numpy().astype(np.int64) // 2
+            ids = np.frombuffer(b"".join(batch["words"].to_pylist()), "<u2").astype(np.int64)
+            code = _pairs(ids, np.concatenate([[0], np.cumsum(sizes)]), base)
+            both, n = np.unique(code * 2 + np.repeat(target, sizes), return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(both // 2), pa.array(n), pa.array(n * (both % 2))], ["code", "n", "n_target"]
             )
 
-    rows = docs.select("text", "target").mapInArrow(run, "code long, n long, n_target long")
+    rows = docs.select("words", "target").mapInArrow(run, "code long, n long, n_target long")
     return rows.groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
@@ -131,7 +145,7 @@ def _score(docs: DataFrame, known, models, base: int) -> DataFrame:
         for batch in parts:
             for at, texts in B.pieces(batch["text"]):
                 words, hashes = _word_hashes(texts, blank, fold, hasher)
-                code = _pairs(words, _word_ids(hashes, known.value), base).astype(np.int32)
+                code = _pairs(_word_ids(hashes, known.value), words.bounds, base).astype(np.int32)
                 n = np.diff(words.bounds)
                 means = []
                 for model in (target, background):
@@ -157,17 +171,18 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULA
     What goes through the driver is the vocabulary and two models of pairs of its
     words; ``size`` bounds both.
     """
-    if not 1 < size < 46_000:
+    if not 1 < size <= 1 << 15:
         raise ValueError("pairs of words have codes of 31 bits")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = spark.sparkContext.broadcast(vocabulary(docs, size))
     base = size + 1  # 0 is any other word, `size` the edge of a text
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("target_id")).dropna().distinct()
-    marked = docs.join(wanted, docs["doc_id"] == wanted["target_id"], "left").select(
-        "text", F.col("target_id").isNotNull().alias("target")
-    )
-    pairs = settle(count_pairs(marked, known, base), "word-pairs").toPandas().sort_values("code")
-    made = [PairModel.of(pairs["code"].to_numpy(), pairs[c].to_numpy(), base) for c in ("n_target", "n")]
+    # What is shuffled to meet the ids is two bytes a word, not the texts.
+    marked = _encoded(docs, known).join(wanted.hint("merge"), F.col("doc_id") == F.col("target_id"), "left")
+    marked = marked.select("words", F.col("target_id").isNotNull().alias("target"))
+    pairs = settle(count_pairs(marked, base), "word-pairs").orderBy("code").toArrow()
+    code, n_target, n = (pairs[c].to_numpy() for c in ("code", "n_target", "n"))
+    made = [PairModel.of(code, counts, base) for counts in (n_target, n)]
     arrays = [(m.code, m.p, m.left, m.single) for m in made]
     return _score(docs, known, spark.sparkContext.broadcast(arrays), base)
