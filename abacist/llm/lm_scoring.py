@@ -1,28 +1,40 @@
 """Cross-entropy difference: how much likelier a text is under a target model than under a background one.
 
-Both models are interpolated bigram models over one vocabulary, smoothed alike
-(absolute discounting down to an even spread), so a text's score compares only
-what the two corpora say about its words.
+Both models are interpolated bigram models over all words of the corpus, smoothed
+alike (absolute discounting down to an even spread), so a text's score compares
+only what the two corpora say about its words.
+
+Neither model is ever in one place. Texts are packed into blocks of some megabytes;
+a block sends each of its different pairs once to the bucket of the pair's hash,
+where counts are summed over all blocks, and gets them back in the order it sent
+them. Words go the same way. A block and a bucket have a bounded size; their number
+grows with the input.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.llm import batches as B
 from abacist.session import settle
 
-# Words with a place of their own, by count over all texts; the others share one.
-# Bounds each model to VOCABULARY**2 pairs of 8 bytes (34 MB).
-VOCABULARY = 2048
+# The even spread is over so many words, or over all different ones where there are more.
+VOCABULARY = 1 << 20
 DISCOUNT = 0.75
+BLOCK_BYTES = 1 << 21
+# Words of all texts for each bucket, which bounds the rows it gets.
+BUCKET = 1 << 20
+
+_EDGE = np.array([0x5DEECE66D], np.uint64)  # stands for what precedes a text's first word
+_ROWS = "block long, kind int, bucket int, data binary, counts binary"
+_BLOCK, _PAIRS, _WORDS = range(3)
 
 
 def _word_hashes(texts: list[bytes], blank: np.ndarray, fold: np.ndarray, hasher: B.Hasher):
@@ -30,133 +42,218 @@ def _word_hashes(texts: list[bytes], blank: np.ndarray, fold: np.ndarray, hasher
     return words, hasher.words(words)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """``word, n``: hash and number of every lowered word of all texts."""
+def vocabulary(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of all different words; for looking at small tables, scores are made without it."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank, fold, hasher = B.table(B.BLANKS), B.ascii_lower(), B.Hasher()
         for batch in parts:
-            held = [_word_hashes(texts, blank, fold, hasher)[1] for _, texts in B.pieces(batch["text"])]
-            word, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "word long, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
-
+            for _, texts in B.pieces(batch["text"]):
+                word = np.unique(_word_hashes(texts, blank, fold, hasher)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64))], ["word"])
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all texts, ``size - 1`` at most."""
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(size - 1)
-    found = np.array([r["word"] for r in top.select("word").collect()], np.int64)
+    found = docs.select("text").mapInArrow(run, "word long").distinct().toArrow()["word"].to_numpy()
     return np.sort(found.view(np.uint64))
 
 
-def _word_ids(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Place of each word in the vocabulary, counted from one; 0 for the others."""
-    if not len(known):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, at + 1, 0)
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values, first bytes first, so that what small ones have in common lies together."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _pairs(ids: np.ndarray, bounds: np.ndarray, base: int) -> np.ndarray:
-    """Code of each word with the one before it; the first of a text follows ``base - 1``, the text's edge."""
-    before = np.concatenate([[0], ids[:-1]])[: len(ids)]
-    first = bounds[:-1][np.diff(bounds) > 0]
-    before[first] = base - 1
-    return before * base + ids
+def _of_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _encoded(docs: DataFrame, known) -> DataFrame:
-    """``doc_id, words``: each text as places in the vocabulary, two bytes a word."""
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of ``docs (doc_id, text, target)`` and the number of words in each."""
+
+    def packed(ids: list, target: list, sizes: list, hashes: list) -> pa.RecordBatch:
+        known, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        data = pickle.dumps((ids, np.concatenate(target), bounds, known, place.astype(np.uint32)))
+        row = ((uuid.uuid4().int >> 65, pa.int64()), (data, pa.binary()), (len(place), pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], ["block", "data", "n"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank, fold, hasher = B.table(B.BLANKS), B.ascii_lower(), B.Hasher()
+        held, used = ([], [], [], []), 0
         for batch in parts:
+            flags = batch["target"].to_numpy(zero_copy_only=False)
             for at, texts in B.pieces(batch["text"]):
                 words, hashes = _word_hashes(texts, blank, fold, hasher)
-                raw = _word_ids(hashes, known.value).astype("<u2").tobytes()
-                ends = pa.array(2 * words.bounds, pa.int32())
-                coded = pa.Array.from_buffers(pa.binary(), len(texts), [None, ends.buffers()[1], pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][at : at + len(texts)], coded], ["doc_id", "words"])
+                held[0].extend(batch["doc_id"][at : at + len(texts)].to_pylist())
+                for x, found in zip(held[1:], (flags[at : at + len(texts)], np.diff(words.bounds), hashes)):
+                    x.append(found)
+                used += len(words.buffer)
+                if used >= BLOCK_BYTES:
+                    yield packed(*held)
+                    held, used = ([], [], [], []), 0
+        if held[0]:
+            yield packed(*held)
+
+    return docs.mapInArrow(run, "block long, data binary, n long")
+
+
+class _Block:
+    """A block's texts as places in its own sorted words, and its different pairs ordered by their hash."""
+
+    def __init__(self, data: bytes):
+        self.ids, target, self.bounds, known, place = pickle.loads(data)
+        self.place, self.known = place.astype(np.int64), np.concatenate([known, _EDGE])
+        edge, sizes = len(known), np.diff(self.bounds)
+        before = np.concatenate([[edge], self.place[:-1]])[: len(self.place)]
+        before[self.bounds[:-1][sizes > 0]] = edge
+        self.before, self.target = before, np.repeat(target, sizes)
+        code, which = np.unique(before * (edge + 1) + self.place, return_inverse=True)
+        context, word = code // (edge + 1), code % (edge + 1)
+        hashes = B.mix(B.mix(self.known[context]) * np.uint64(B._ODD) + self.known[word])
+        order = np.argsort(hashes, kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        self.hashes, self.context, self.which = hashes[order], context[order], back[which]
+
+    def sums(self, at: np.ndarray, weights: np.ndarray | None = None, size: int | None = None) -> np.ndarray:
+        return np.bincount(at, weights, len(self.known) if size is None else size).astype(np.int64)
+
+    def pairs(self) -> list[np.ndarray]:
+        n = len(self.hashes)
+        return [self.sums(self.which, None, n), self.sums(self.which, self.target, n)]
+
+    def words(self, counts: list[np.ndarray]) -> list[np.ndarray]:
+        """Of each word and the edge: number, number before another, kinds that follow; each in all texts and the target."""
+        owned = counts[2]
+        return [
+            self.sums(self.place), self.sums(self.place, self.target),
+            self.sums(self.before), self.sums(self.before, self.target),
+            self.sums(self.context, owned & 1), self.sums(self.context, owned >> 1),
+        ]
+
+
+def _sent(block: int, kind: int, hashes: np.ndarray, counts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Rows for the buckets of ``hashes``, which are sorted."""
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    to, starts = np.unique(bucket, return_index=True)
+    cuts = list(zip(starts, [*starts[1:], len(hashes)]))
+    return _rows(
+        [block] * len(to), kind, to.astype(np.int32), [_planes(hashes[a:b]) for a, b in cuts],
+        [_planes(np.concatenate([c[a:b] for c in counts])) for a, b in cuts],
+    )
+
+
+def _rows(block, kind: int, bucket, data, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block, pa.int64()), pa.array([kind] * len(block), pa.int32()), pa.array(bucket, pa.int32()),
+         pa.array(data, pa.binary()), pa.array(counts, pa.binary())],
+        ["block", "kind", "bucket", "data", "counts"],
+    )
+
+
+def _counts(rows: pa.Table, columns: int) -> tuple[list[int], list[np.ndarray]]:
+    """Number of entries of each row, and the columns of all rows one after the other."""
+    found = [_of_planes(c).reshape(columns, -1) for c in rows["counts"].to_pylist()]
+    return [f.shape[1] for f in found], list(np.concatenate([np.zeros((columns, 0), np.int64), *found], axis=1))
+
+
+def _pairs_sent(blocks: DataFrame, buckets: int) -> DataFrame:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for block, data in zip(batch["block"].to_pylist(), batch["data"]):
+                x = _Block(data.as_py())
+                yield _sent(block, _PAIRS, x.hashes, x.pairs(), buckets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary")
+    return blocks.select("block", "data").mapInArrow(run, _ROWS)
 
 
-def count_pairs(docs: DataFrame, base: int) -> DataFrame:
-    """``code, n, n_target`` over ``docs (words, target)``: pairs in all texts, and in those of the target."""
+def _summed(sent: DataFrame, columns: int) -> DataFrame:
+    """Counts of all blocks for each entry that was sent, in that order.
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            target = batch["target"].to_numpy(zero_copy_only=False)
-            sizes = pc.binary_length(batch["words"]).to_numpy().astype(np.int64) // 2
-            ids = np.frombuffer(b"".join(batch["words"].to_pylist()), "<u2").astype(np.int64)
-            code = _pairs(ids, np.concatenate([[0], np.cumsum(sizes)]), base)
-            both, n = np.unique(code * 2 + np.repeat(target, sizes), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(both // 2), pa.array(n), pa.array(n * (both % 2))], ["code", "n", "n_target"]
-            )
-
-    rows = docs.select("words", "target").mapInArrow(run, "code long, n long, n_target long")
-    return rows.groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-@dataclass
-class PairModel:
-    """Pairs sorted by code with their log probability; for words, what they leave to single words, and those."""
-
-    code: np.ndarray
-    p: np.ndarray
-    left: np.ndarray
-    single: np.ndarray
-
-    @staticmethod
-    def of(code: np.ndarray, n: np.ndarray, base: int) -> PairModel:
-        seen = n > 0
-        code, n = code[seen], n[seen].astype(float)
-        word = np.bincount(code % base, n, base)
-        total = word.sum()
-        kinds = np.count_nonzero(word)
-        spread = DISCOUNT * kinds / total if total else 1.0
-        single = np.maximum(word - DISCOUNT, 0) / max(total, 1) + spread / base
-        context = code // base
-        per = np.bincount(context, n, base)
-        left = np.ones(base)
-        has = per > 0
-        left[has] = DISCOUNT * np.bincount(context, minlength=base)[has] / per[has]
-        p = (n - DISCOUNT) / per[context] + left[context] * single[code % base]
-        return PairModel(code.astype(np.int32), np.log(p).astype(np.float32), np.log(left), np.log(single))
-
-    def losses(self, code: np.ndarray, base: int) -> np.ndarray:
-        """Negative log probability of each pair's second word after its first."""
-        low = self.left[code // base] + self.single[code % base]
-        if len(self.code):
-            at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-            low = np.where(self.code[at] == code, self.p[at], low)
-        return -low
-
-
-def _score(docs: DataFrame, known, models, base: int) -> DataFrame:
-    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    Pairs have a further column: 1 in one of the rows with a pair, plus 2 in one of
+    those whose block has it in the target, so blocks can count kinds. The first row
+    of a bucket has in ``totals`` words and different words of it, in all and in the target.
+    """
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blank, fold, hasher = B.table(B.BLANKS), B.ascii_lower(), B.Hasher()
-        target, background = (PairModel(*arrays) for arrays in models.value)
-        for batch in parts:
-            for at, texts in B.pieces(batch["text"]):
-                words, hashes = _word_hashes(texts, blank, fold, hasher)
-                code = _pairs(_word_ids(hashes, known.value), words.bounds, base).astype(np.int32)
-                n = np.diff(words.bounds)
-                means = []
-                for model in (target, background):
-                    sums = np.concatenate([[0.0], np.cumsum(model.losses(code, base))])
-                    means.append((sums[words.bounds[1:]] - sums[words.bounds[:-1]]) / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"][at : at + len(texts)], pa.array(n), *map(pa.array, means), pa.array(means[0] - means[1])],
-                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
+    def run(rows: pa.Table) -> pa.Table:
+        sizes, counts = _counts(rows, columns)
+        hashes = np.concatenate([_of_planes(d) for d in rows["data"].to_pylist()])
+        _, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        sums = [np.bincount(at, c, len(first)).astype(np.int64) for c in counts]
+        totals = [int(f(s)) for f in (np.sum, np.count_nonzero) for s in sums[:2]]
+        out = [s[at] for s in sums]
+        kind = rows["kind"][0].as_py()
+        if kind == _PAIRS:
+            owned = np.zeros(len(hashes), np.int64)
+            owned[first] = 1
+            inside = np.flatnonzero(counts[1])
+            owned[inside[np.unique(at[inside], return_index=True)[1]]] += 2
+            out.append(owned)
+        ends = np.cumsum(sizes)
+        packed = [_planes(np.concatenate([c[b - n : b] for c in out])) for n, b in zip(sizes, ends)]
+        back = _rows(rows["block"].to_pylist(), kind, rows["bucket"].to_pylist(), [None] * len(sizes), packed)
+        held = pa.array([totals] + [None] * (len(sizes) - 1), pa.list_(pa.int64()))
+        return pa.table({**{c: back[c] for c in back.schema.names}, "totals": held})
+
+    return sent.groupBy("bucket").applyInArrow(run, f"{_ROWS}, totals array<long>")
+
+
+def _gathered(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
+    """A block's own row and all answers to it, in groups by ``block``."""
+    rows = blocks.select(
+        "block", F.lit(_BLOCK).alias("kind"), F.lit(0).alias("bucket"), "data", F.lit(None).cast("binary").alias("counts")
+    )
+    for found in answers:
+        rows = rows.union(found.select(*rows.columns))
+    return rows.groupBy("block")
+
+
+def _opened(rows: pa.Table) -> tuple[_Block, list[np.ndarray], list[np.ndarray]]:
+    """A block, the counts of its pairs and those of its words in the order they were sent."""
+    rows = rows.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    kind = rows["kind"].to_numpy()
+    pairs, words = (_counts(rows.filter(pa.array(kind == k)), n)[1] for k, n in ((_PAIRS, 3), (_WORDS, 6)))
+    return _Block(rows["data"][0].as_py()), pairs, words
+
+
+def _words_sent(blocks: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
+        block, counts, _ = _opened(rows)
+        order = np.argsort(block.known)
+        found = [c[order] for c in block.words(counts)]
+        return pa.Table.from_batches([_sent(rows["block"][0].as_py(), _WORDS, block.known[order], found, buckets)])
+
+    return _gathered(blocks, pairs).applyInArrow(run, _ROWS)
+
+
+def _losses(x: _Block, n, word, context, kinds, total: int, different: int, size: int) -> np.ndarray:
+    """Negative log probability of each word of a block after the one before it."""
+    spread = DISCOUNT * different / total if total else 1.0
+    single = np.maximum(word - DISCOUNT, 0) / max(total, 1) + spread / size
+    per = np.maximum(context, 1)
+    left = np.where(context > 0, DISCOUNT * kinds / per, 1.0)
+    seen = np.maximum(n[x.which] - DISCOUNT, 0) / per[x.before]
+    return -np.log(seen + left[x.before] * single[x.place])
+
+
+def _score(blocks: DataFrame, pairs: DataFrame, words: DataFrame, totals: list[int], size: int) -> DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
+        x, n, found = _opened(rows)
+        back = np.empty(len(x.known), np.int64)
+        back[np.argsort(x.known)] = np.arange(len(x.known))
+        found = [c[back] for c in found]
+        sizes, means = np.diff(x.bounds), []
+        for k in (1, 0):  # the target, then all
+            loss = _losses(x, n[k], found[k], found[2 + k], found[4 + k], totals[k], totals[2 + k], size)
+            # Summed text by text, so equal texts score the same wherever they stand.
+            sums = np.zeros(len(sizes))
+            sums[sizes > 0] = np.add.reduceat(loss, x.bounds[:-1][sizes > 0]) if len(loss) else 0.0
+            means.append(sums / np.maximum(sizes, 1))
+        return pa.table(
+            [pa.array(x.ids, pa.int64()), pa.array(sizes), *map(pa.array, means), pa.array(means[0] - means[1])],
+            ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+        )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    return _gathered(blocks, pairs, words).applyInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY) -> DataFrame:
@@ -168,21 +265,16 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULA
     text has no words and scores 0. With no target document its model is an even
     spread. Ids that repeat or are NULL in ``target_ids`` count once or not at all.
 
-    What goes through the driver is the vocabulary and two models of pairs of its
-    words; ``size`` bounds both.
+    Every word and every pair counts, however rare; the even spread is over ``size``
+    words at least. What goes through the driver are four sums.
     """
-    if not 1 < size <= 1 << 15:
-        raise ValueError("pairs of words have codes of 31 bits")
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    known = spark.sparkContext.broadcast(vocabulary(docs, size))
-    base = size + 1  # 0 is any other word, `size` the edge of a text
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("target_id")).dropna().distinct()
-    # What is shuffled to meet the ids is two bytes a word, not the texts.
-    marked = _encoded(docs, known).join(wanted.hint("merge"), F.col("doc_id") == F.col("target_id"), "left")
-    marked = marked.select("words", F.col("target_id").isNotNull().alias("target"))
-    pairs = settle(count_pairs(marked, base), "word-pairs").orderBy("code").toArrow()
-    code, n_target, n = (pairs[c].to_numpy() for c in ("code", "n_target", "n"))
-    made = [PairModel.of(code, counts, base) for counts in (n_target, n)]
-    arrays = [(m.code, m.p, m.left, m.single) for m in made]
-    return _score(docs, known, spark.sparkContext.broadcast(arrays), base)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    marked = docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("target_id"), "left")
+    blocks = settle(_blocks(marked.select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))), "word-blocks")
+    buckets = max(1, (blocks.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    pairs = settle(_summed(_pairs_sent(blocks, buckets), 2), "word-pairs")
+    words = settle(_summed(_words_sent(blocks, pairs, buckets), 6), "words")
+    sums = words.agg(*[F.sum(F.col("totals")[k]) for k in range(4)]).first()
+    totals = [x or 0 for x in sums]
+    return _score(blocks, pairs, words, totals, max(size, totals[2]) + 1)

@@ -199,3 +199,15 @@ def test_bands_reject_words_of_unusual_make_up(spark):
     got = {r.doc_id: r for r in quality.judge_quality(docs).collect()}
     assert not any(got[i].kept for i, _, _ in odd)
     assert sum(got[i].kept for i, _, _ in rows) > 0.8 * len(rows)
+
+
+def test_rare_words_tell_documents_apart(spark):
+    """Words far down the list of frequencies count: the target's and the others' own ones are all rare."""
+    common = [f"common{k}" for k in range(3000)]
+    filler = [(i, " ".join(common) + " " + " ".join(common[::-1])) for i in range(4)]
+    mine = [(10 + i, " ".join(f"mine{(i + k) % 12}" for k in range(12))) for i in range(8)]
+    other = [(20 + i, " ".join(f"other{(i + k) % 12}" for k in range(12))) for i in range(8)]
+    docs = spark.createDataFrame(filler + mine + other, "doc_id long, text string")
+    ids = spark.createDataFrame([(10 + i,) for i in range(4)], "doc_id long")
+    score = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, ids).collect()}
+    assert max(score[10 + i] for i in range(8)) < min(score[20 + i] for i in range(8)) - 1
