@@ -211,3 +211,17 @@ def test_rare_words_tell_documents_apart(spark):
     ids = spark.createDataFrame([(10 + i,) for i in range(4)], "doc_id long")
     score = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, ids).collect()}
     assert max(score[10 + i] for i in range(8)) < min(score[20 + i] for i in range(8)) - 1
+
+
+def test_copies_of_one_text_do_not_narrow_a_band(spark):
+    """A third of all rows are copies of one text of a language that has fewer rows besides."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.filter("n_chars > 500").collect()]
+    german = {i: text for i, text, lang in rows if lang == "de"}
+    copied = sorted(german)[len(german) // 2]
+    copies = [(100_000 + k, german[copied], "de") for k in range(len(rows) // 2)]
+    assert len(german) < len(copies)
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge_quality(docs).collect()}
+    passed = [i for i in german if not got[i].base_failed]
+    assert sum(got[i].kept for i in passed) > 0.8 * len(passed) > 0
