@@ -135,14 +135,52 @@ class Matcher:
                 found[name] = score
         return found
 
+    def windows(self, words: list[str]) -> dict[str, float]:
+        """Licences of which a template stands anywhere in ``words``, whatever is before and after it.
+
+        A window of a template's length slides over its bigrams. Only where all
+        of the text has enough of them, which no window can exceed.
+        """
+        pairs = list(zip(words, words[1:]))
+        hits = [(at, pair) for at, pair in enumerate(pairs) if pair in self.having]
+        common: Counter = Counter()
+        for pair, n in Counter(pair for _, pair in hits).items():
+            for i in self.having[pair]:
+                common[i] += min(n, self.bags[i][1][pair])
+        found: dict[str, float] = {}
+        for i, most in common.items():
+            name, bag = self.bags[i]
+            size = bag.total()
+            if most / size >= self.threshold and size <= len(pairs):
+                score = self._slide([h for h in hits if h[1] in bag], bag, size) / size
+                if score >= self.threshold and score > found.get(name, 0.0):
+                    found[name] = score
+        return found
+
+    @staticmethod
+    def _slide(hits: list[tuple[int, tuple[str, str]]], bag: Counter, size: int) -> int:
+        """The most bigrams that any ``size`` neighbouring ones have in common with ``bag``."""
+        held: Counter = Counter()
+        most = now = first = 0
+        for at, pair in hits:
+            while hits[first][0] <= at - size:
+                gone = hits[first][1]
+                now -= held[gone] <= bag[gone]
+                held[gone] -= 1
+                first += 1
+            held[pair] += 1
+            now += held[pair] <= bag[pair]
+            most = max(most, now)
+        return most
+
     def scan(self, text: str) -> dict[str, float]:
-        """Licences of a text: of its lines, of their sentences, of its paragraphs, and of the whole.
+        """Licences of a text: of its lines, of their sentences, of its paragraphs, of the whole, and of windows.
 
         Longer units are looked at only where a line of theirs has a bigram of a
         template, or a template's bigram may stand across a line break.
         """
         found: dict[str, float] = {}
-        touched, paragraph = False, []
+        touched, paragraph, every = False, [], []
 
         def take(words: list[str]) -> None:
             for name, score in self.best(words).items():
@@ -158,6 +196,7 @@ class Matcher:
                 paragraph = []
                 continue
             paragraph.append(words)
+            every += words
             edge = len(paragraph) > 1 and (paragraph[-2][-1], words[0]) in having
             if edge or any(pair in having for pair in zip(words, words[1:])):
                 touched = True
@@ -168,6 +207,8 @@ class Matcher:
                         take(normal_words(sentence))
         if touched and sum(map(len, whole)) <= self.most + 1:
             take([w for part in whole for w in part])
+        for name, score in self.windows(every).items():
+            found[name] = max(score, found.get(name, 0.0))
         return found
 
 
@@ -179,9 +220,10 @@ def scan_licenses(
     ``licenses`` are the names found, in order; ``license`` and ``dice`` the one
     with the highest coefficient, of equal ones the first name. Empty and NULL for
     a text without notice, a NULL text among them. Units of a text that are
-    compared: lines, sentences of lines, paragraphs, the whole; a notice that
-    fills a good part of none of these is not found. Rows without ``doc_id`` and
-    rows that repeat one are scanned like any other.
+    compared: lines, sentences of lines, paragraphs, the whole, and windows of
+    each template's length over all words, so a notice inside prose is found
+    however its lines break. Rows without ``doc_id`` and rows that repeat one are
+    scanned like any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

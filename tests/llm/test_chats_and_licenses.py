@@ -108,3 +108,13 @@ def test_notices_in_odd_texts(spark, odd_docs, no_docs):
     assert found[6].license is None and found[7].license is None
     notices(odd_docs)
     assert licenses.scan_licenses(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("name, k", [("GPL-2.0", 1), ("GPL-3.0", 1), ("MPL-2.0", 0), ("CC-BY-4.0", 1)])
+@pytest.mark.parametrize("width", [0, 6])
+def test_notices_inside_prose(spark, name, k, width):
+    prose = " ".join(f"word{i} other{i % 7}" for i in range(30))
+    words = f"{prose} {licenses.TEMPLATES[name][k]} {prose}".split()
+    text = "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width)) if width else " ".join(words)
+    row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.license == name and row.dice == 1.0
