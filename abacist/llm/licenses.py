@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,8 +55,18 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version.",
     ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -84,6 +95,13 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
+
+def full_texts() -> dict[str, str]:
+    """Whole licence texts, by licence; under 200 kB together, so they travel with the job."""
+    found = resources.files("abacist.llm").joinpath("license_texts").iterdir()
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in found if f.name.endswith(".txt")}
+
+
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.;:!?])\s+")
 
@@ -104,15 +122,20 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Matcher:
-    """Templates by size and by bigram."""
+    """Templates by size and by bigram; whole licence texts are compared with whole texts and windows only."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float):
+    def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float, texts: dict[str, str]):
         self.threshold = threshold
         self.bags = [(name, bigrams(normal_words(t))) for name, texts in templates.items() for t in texts]
         self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
         for i, (_, bag) in enumerate(self.bags):
             for pair in bag:
                 self.having[pair].append(i)
+        self.all_bags = self.bags + [(name, bigrams(normal_words(t))) for name, t in texts.items()]
+        self.all_having: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for i, (_, bag) in enumerate(self.all_bags):
+            for pair in bag:
+                self.all_having[pair].append(i)
         # Bags of sizes a and b reach the threshold only if the smaller is at least this share of the larger.
         self.ratio = threshold / (2 - threshold)
         sizes = [bag.total() for _, bag in self.bags]
@@ -136,21 +159,24 @@ class Matcher:
         return found
 
     def windows(self, words: list[str]) -> dict[str, float]:
-        """Licences of which a template stands anywhere in ``words``, whatever is before and after it.
+        """Licences of which a template or text stands anywhere in ``words``, or fills them.
 
         A window of a template's length slides over its bigrams. Only where all
         of the text has enough of them, which no window can exceed.
         """
         pairs = list(zip(words, words[1:]))
-        hits = [(at, pair) for at, pair in enumerate(pairs) if pair in self.having]
+        hits = [(at, pair) for at, pair in enumerate(pairs) if pair in self.all_having]
         common: Counter = Counter()
         for pair, n in Counter(pair for _, pair in hits).items():
-            for i in self.having[pair]:
-                common[i] += min(n, self.bags[i][1][pair])
+            for i in self.all_having[pair]:
+                common[i] += min(n, self.all_bags[i][1][pair])
         found: dict[str, float] = {}
         for i, most in common.items():
-            name, bag = self.bags[i]
+            name, bag = self.all_bags[i]
             size = bag.total()
+            whole = 2 * most / (size + len(pairs))
+            if whole >= self.threshold and whole > found.get(name, 0.0):
+                found[name] = whole
             if most / size >= self.threshold and size <= len(pairs):
                 score = self._slide([h for h in hits if h[1] in bag], bag, size) / size
                 if score >= self.threshold and score > found.get(name, 0.0):
@@ -226,15 +252,17 @@ def scan_licenses(
     scanned like any other.
     """
 
+    texts = full_texts()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(templates, threshold)
+        matcher = Matcher(templates, threshold, texts)
         for batch in batches:
-            for at, texts in pieces(batch["text"]):
-                found = [sorted(matcher.scan(t.decode()).items()) for t in texts]
+            for at, held in pieces(batch["text"]):
+                found = [sorted(matcher.scan(t.decode()).items()) for t in held]
                 best = [max(f, key=lambda x: x[1]) if f else (None, None) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["doc_id"][at : at + len(texts)],
+                        batch["doc_id"][at : at + len(held)],
                         pa.array([[name for name, _ in f] for f in found], pa.list_(pa.string())),
                         pa.array([b[0] for b in best], pa.string()),
                         pa.array([b[1] for b in best], pa.float64()),

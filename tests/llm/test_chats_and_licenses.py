@@ -118,3 +118,17 @@ def test_notices_inside_prose(spark, name, k, width):
     text = "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width)) if width else " ".join(words)
     row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.license == name and row.dice == 1.0
+
+
+def test_whole_licence_texts_and_headers(spark):
+    prose = " ".join(f"word{i} other{i % 7}" for i in range(30))
+    texts = licenses.full_texts()
+    header = licenses.TEMPLATES["LGPL-3.0"][1]
+    given = {name: f"{prose}\n\n{text}\n\n{prose}" for name, text in texts.items()}
+    given |= {"LGPL-3.0 header": header, "AGPL-3.0 header": header.replace("Lesser", "Affero")}
+    rows = [(i, text) for i, text in enumerate(given.values())]
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(given):
+        name = name.removesuffix(" header")
+        assert name in found[i].licenses and found[i].dice == 1.0
+    assert [found[len(texts) + k].license for k in (0, 1)] == ["LGPL-3.0", "AGPL-3.0"]
