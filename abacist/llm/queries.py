@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from abacist.llm import (
     chats,
+    first_fit,
     hnsw,
     licenses,
     lm_scoring,
@@ -92,6 +93,12 @@ def op10_license_scans(spark, sf_dir):
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
+def op12_first_fit_packing(spark, sf_dir):
+    """Pieces with their checksums in place of their ids."""
+    packed = first_fit.pack_documents(_documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"))
+    return first_fit.with_crc(packed)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -105,5 +112,6 @@ QUERIES: dict[str, Query] = {
         op8_token_files,
         op9_best_fit_packing,
         op10_license_scans,
+        op12_first_fit_packing,
     )
 }
