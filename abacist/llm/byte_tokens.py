@@ -3,7 +3,7 @@
 Such a tokenizer first cuts a text into runs of letters, digits, marks and blanks,
 where one space may lead a run. Before a space there is a cut unless blanks stand on
 both its sides; between a letter and one of ``.,;:!?`` there always is. Texts are cut
-at these places, so equal stretches of a batch share one encoding.
+at these places, so equal stretches share one encoding, for some time also over batches.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ _LETTERS = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _LED, _SPACE = "^ [A-Za-zÀ-ÖØ-öø-ÿ]+$", "Ġ"
 _TAIL, _LONGEST_TAIL = ".,;:!?", 3
 _AT_ONCE = 512
+# Stretches whose ids an encoder keeps from one call to the next.
+_KEPT = 1 << 18
 
 
 def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -45,6 +47,7 @@ class ByteEncoder:
         steps.append({"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False})
         self.led = Tokenizer.from_str(json.dumps(parts | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}))
         self.leads = np.zeros(self.whole.get_vocab_size(), bool)
+        self.kept, self.kept_ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
         self.leads[[i for piece, i in parts["model"]["vocab"].items() if piece.startswith(_SPACE)]] = True
 
     @staticmethod
@@ -66,6 +69,21 @@ class ByteEncoder:
         both = _lists(sizes, np.concatenate([words, np.delete(found, ends)]))
         return both.take(pa.array(np.argsort(np.concatenate(kinds))))
 
+    def _remembered(self, stretches: pa.StringArray) -> pa.ListArray:
+        """Ids of each of ``stretches``, which are distinct; what earlier calls met is not encoded again."""
+        at = pc.index_in(stretches, value_set=self.kept)
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        fresh = stretches.filter(pa.array(missing))
+        ids = pa.concat_arrays([self.kept_ids, self._distinct(fresh)])
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[missing] = len(self.kept) + np.arange(len(fresh))
+        found = ids.take(pa.array(place))
+        if len(ids) <= _KEPT:
+            self.kept, self.kept_ids = pa.concat_arrays([self.kept, fresh]), ids
+        else:
+            self.kept, self.kept_ids = stretches, found
+        return found
+
     def _stretches(self, stretches: pa.StringArray) -> pa.ListArray:
         """Ids of each of ``stretches``, which are distinct; closing marks apart from the letters before them."""
         core = pc.utf8_rtrim(stretches, _TAIL)
@@ -75,7 +93,7 @@ class ByteEncoder:
         for n in range(1, _LONGEST_TAIL + 1):
             marks = pc.if_else(pc.and_(plain, pc.equal(tail, n)), pc.utf8_slice_codeunits(stretches, -n), marks)
         both = pa.concat_arrays([pc.if_else(plain, core, stretches), marks]).dictionary_encode()
-        known = self._distinct(both.dictionary)
+        known = self._remembered(both.dictionary)
         at = both.indices.to_numpy().reshape(2, -1)
         sizes = known.value_lengths().to_numpy().astype(np.int64)
         return _lists(sizes[at].sum(axis=0), known.take(pa.array(at.T.ravel())).flatten().to_numpy())

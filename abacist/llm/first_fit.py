@@ -23,6 +23,8 @@ from abacist.session import settle
 
 # Pieces in a group, each shorter than a sequence: at most 2 bytes x 2048 x 8192 = 32 MB.
 GROUP_PIECES = 8192
+# Bytes of text that are encoded at once.
+SLICE_BYTES = 2 << 20
 _PIECE = "doc_id long, doc_tokens long, start long, length long, ids binary"
 _PLACE = "sequence_id long, offset long"
 
@@ -43,7 +45,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048) ->
         encoder = make()
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            for at, texts in slices(batch["text"]):
+            for at, texts in slices(batch["text"], SLICE_BYTES):
                 found, bounds = encoder.texts(texts)
                 raw, bounds = found.astype(kind).tobytes(), (bounds * width).tolist()
                 row, whole, start, parts = [], [], [], []

@@ -9,8 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from abacist.llm import first_fit, queries
-from abacist.llm.byte_tokens import ByteEncoder
+from abacist.llm import byte_tokens, first_fit, queries
 
 BYTES = queries.vocabulary_file("byte_bpe_50k.json")
 PARTS = [
@@ -24,12 +23,18 @@ def library():
     return Tokenizer.from_file(BYTES)
 
 
-def test_ids_are_the_library_s(library):
+@pytest.mark.parametrize("kept", [1 << 18, 60])
+def test_ids_are_the_library_s(library, monkeypatch, kept):
+    monkeypatch.setattr(byte_tokens, "_KEPT", kept)
     rng = random.Random(3)
     texts = [None, ""] + ["".join(rng.choices(PARTS, k=rng.randint(0, 14))) for _ in range(4000)]
-    ids, bounds = ByteEncoder(open(BYTES, encoding="utf-8").read()).texts(pa.array(texts))
-    for text, a, b in zip(texts, bounds, bounds[1:]):
-        assert ids[a:b].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    encoder = byte_tokens.ByteEncoder(open(BYTES, encoding="utf-8").read())
+    found = []
+    for i in range(0, len(texts), 500):
+        ids, bounds = encoder.texts(pa.array(texts[i : i + 500], pa.string()))
+        found += [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+    for text, ids in zip(texts, found):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
 @pytest.mark.parametrize("seed", range(5))
