@@ -15,7 +15,7 @@ import oracle_queries
 from abacist.functions import arithmetic as A
 from abacist.functions import prompts as P
 from abacist.functions import text as T
-from abacist.functions.residual import register_sql
+from abacist.functions.sql import register_sql
 from abacist.operators import curation, dedup, metrics, ordering, scoring, submission
 from abacist.operators.batchmap import join_responses
 from abacist.plans import jobs
@@ -527,11 +527,34 @@ def extract_documents(spark, sf_dir):
 
 @query
 def sql_verify(spark, sf_dir):
+    """Through the function with an inlined body; undecided texts alone leave the JVM."""
+    register_sql(spark)
+    return spark.sql(
+        "SELECT idx, v.code, v.ok, v.result FROM "
+        "(SELECT idx, verify_equation(equation, nums, target) AS v FROM {proposed})",
+        proposed=puzzles.proposed(spark, sf_dir),
+    )
+
+
+@query
+def sql_view(spark, sf_dir):
+    """The same as a view with the verdicts of a table."""
     puzzles.proposed(spark, sf_dir).createOrReplaceTempView("proposed_equations")
     scoring.register_view(spark, "proposed_equations", "verified_equations")
     return spark.sql("SELECT idx, reason_code AS code, ok, result FROM verified_equations")
 
 
+@query
+def sql_verify_plain(spark, sf_dir):
+    """The function that never leaves the JVM, over equations of harder kinds; undecided ones say so."""
+    register_sql(spark)
+    return spark.sql(
+        "SELECT idx, v.code, v.ok, round(v.result, 9) AS result FROM "
+        "(SELECT idx, verify_plain_equation(equation, nums, target) AS v FROM {hard})",
+        hard=puzzles.hard(spark, sf_dir),
+    )
+
+
 @query
 def sql_function(spark, sf_dir):
     """The function itself, for what the native path leaves undecided."""

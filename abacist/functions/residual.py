@@ -31,10 +31,9 @@ VERDICT = "struct<equation:string, code:string, detail:string, result:double>"
 _PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 
-def _arrow_type(first: str, kind: pa.DataType = pa.string()) -> pa.StructType:
-    return pa.struct(
-        [(first, kind), ("code", pa.string()), ("detail", pa.string()), ("result", pa.float64())]
-    )
+_SHAPE = pa.struct(
+    [("equation", pa.string()), ("code", pa.string()), ("detail", pa.string()), ("result", pa.float64())]
+)
 
 
 class _Refused(Exception):
@@ -132,8 +131,6 @@ def residual_verdict(
     The question travels as one JSON string: a column that is NULL nearly
     everywhere is far cheaper to hand over as a string than as arrays.
     """
-    shape = _arrow_type("equation")
-
     @F.arrow_udf(VERDICT)
     def verdict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with warnings.catch_warnings():
@@ -144,8 +141,8 @@ def residual_verdict(
                 for i, question in zip(asked.to_pylist(), questions.take(asked).to_pylist()):
                     q = json.loads(question)
                     answer = judge_first(q["texts"], q.get("nums"), q.get("target"), tolerance)
-                    rows[i] = dict(zip(shape.names, answer))
-                yield pa.array(rows, type=shape)
+                    rows[i] = dict(zip(_SHAPE.names, answer))
+                yield pa.array(rows, type=_SHAPE)
 
     question = F.to_json(
         F.struct(texts.alias("texts"), nums.alias("nums"), target.alias("target"))
@@ -153,24 +150,3 @@ def residual_verdict(
     # Marked non-deterministic only so that the optimizer evaluates it once and
     # pushes no filter on its result through it; it has no state.
     return verdict.asNondeterministic()(F.when(texts.isNotNull(), question))
-
-
-def register_sql(spark, name: str = "verify_equation", tolerance: float = 1e-6) -> None:
-    """Make ``name(equation, nums, target)`` callable from SQL, returning a struct."""
-    shape = _arrow_type("ok", pa.bool_())
-
-    def judge(e, n, g):
-        e = (e or "").strip()
-        if not e:
-            return {"ok": False, "code": "invalid"}
-        _, code, detail, result = judge_first([e], n, g, tolerance)
-        return {"ok": code == "ok", "code": code, "detail": detail, "result": result}
-
-    @F.arrow_udf("struct<ok:boolean, code:string, detail:string, result:double>")
-    def verify(equation: pa.Array, nums: pa.Array, target: pa.Array) -> pa.Array:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            rows = zip(equation.to_pylist(), nums.to_pylist(), target.to_pylist())
-            return pa.array([judge(*r) for r in rows], type=shape)
-
-    spark.udf.register(name, verify)

@@ -186,8 +186,7 @@ def register_view(spark: SparkSession, source: str, name: str, **how) -> None:
     """Make ``name`` a view of the table or view ``source`` with the verdict on its equations, for use from SQL.
 
     ``how`` is passed to :func:`verify_equations`. Plain equations are settled by
-    column expressions, as there; the function ``verify_equation`` (see
-    :mod:`abacist.functions.residual`) takes every row through the host grammar.
+    column expressions, as there; :mod:`abacist.functions.sql` has the same as a function.
     """
     verify_equations(spark.table(source), **how).createOrReplaceTempView(name)
 

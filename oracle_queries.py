@@ -341,6 +341,14 @@ def statements() -> dict[str, str]:
         "sql_verify": BASE
         + """SELECT idx, CASE WHEN equation IS NULL THEN 'invalid' ELSE reason_code END AS code,
              correct AS ok, result FROM r""",
+        "sql_view": BASE
+        + """SELECT idx, CASE WHEN equation IS NULL THEN 'invalid' ELSE reason_code END AS code,
+             correct AS ok, result FROM r""",
+        # Left to the host grammar: floats, nesting beyond eight, names, blanks beyond ASCII, long texts, // and 01.
+        "sql_verify_plain": _HARD.rsplit("SELECT idx", 1)[0]
+        + """SELECT idx, CASE WHEN kind IN (2, 3, 5, 6, 7, 8, 10, 11, 12) THEN 'other' ELSE reason_code END AS code,
+             kind NOT IN (2, 3, 5, 6, 7, 8, 10, 11, 12) AND reason_code = 'ok' AS ok,
+             CASE WHEN kind NOT IN (2, 3, 5, 6, 7, 8, 10, 11, 12) THEN round(value, 9) END AS result FROM w""",
         "sql_function": BASE
         + "SELECT idx, reason_code AS code, correct AS ok, result FROM r WHERE kind = 11",
         "parse_status": BASE + "SELECT idx, kind NOT IN (1, 4, 5, 10, 12) AS parses FROM r",

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from abacist.functions import arithmetic as A
-from abacist.functions.residual import judge_first, register_sql
+from abacist.functions.residual import judge_first
+from abacist.functions.sql import register_sql
 from abacist.operators.scoring import parse_status, verify_equations
 
 CASES = [
