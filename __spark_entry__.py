@@ -148,7 +148,7 @@ def roundtrip_results(spark, sf_dir):
 def results_json(spark, sf_dir):
     path = scratch_path(spark, "results-json")
     rows, _ = sinks.write_results_json(
-        _scored(spark, sf_dir), metrics.eval_summary_tokens, path
+        _scored(spark, sf_dir), metrics.tokens_summary(), path
     )
     return rows.select("idx", "equation", "correct", "reason")
 
@@ -637,11 +637,46 @@ def score_chunk_summary(spark, sf_dir):
     """The summary a chunk's job writes, as read back."""
     path = scratch_path(spark, "chunk")
     inputs = puzzles.problems(spark, sf_dir), puzzles.responses(spark, sf_dir)
-    _, summary = jobs.score_chunk(*inputs, 1000, 5000, path, elapsed_s=12.5, model_id="teacher")
+    _, summary = jobs.score_chunk(*inputs, 1000, ALL_ROWS, path, elapsed_s=12.5, model_id="teacher")
     stored = spark.read.schema(summary.schema).json(f"{path}/summary")
     return stored.select(*summary.columns)
 
 
+def _stored_chunks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All chunks, the second at first with blank responses, which its second run mends."""
+    path = scratch_path(spark, "chunks")
+    problems, responses = puzzles.problems(spark, sf_dir), puzzles.responses(spark, sf_dir)
+    blank = F.when(F.col("chunk") == 1, F.lit("")).otherwise(F.col("response"))
+    jobs.score_chunks(problems, responses.withColumn("response", blank), 0, ALL_ROWS, path)
+    _, again = jobs.score_chunks(problems, responses, 1000, 1000, path)
+    summaries = ", ".join(f"{c} {t}" for c, t in again.dtypes if c != "chunk")
+    return readers.read_results(spark, f"{path}/rows"), readers.read_results(spark, f"{path}/summary", summaries)
+
+
+@query
+def results_by_chunk(spark, sf_dir):
+    rows, _ = _stored_chunks(spark, sf_dir)
+    return rows.select("chunk", "idx", "train_idx", "response", "equation", "correct", "reason")
+
+
+@query
+def summaries_by_chunk(spark, sf_dir):
+    _, summaries = _stored_chunks(spark, sf_dir)
+    return summaries
+
+
+@query
+def results_document(spark, sf_dir):
+    """Results files of one JSON document each, as other tools write them: one per chunk, read as rows."""
+    path = scratch_path(spark, "documents")
+    row = F.struct("idx", "equation", "correct", "reason")
+    counted = F.struct(F.count(F.lit(1)).alias("n_examples")).alias("summary")
+    files = _scored(spark, sf_dir).groupBy("chunk").agg(counted, F.collect_list(row).alias("per_example"))
+    files.repartition("chunk").write.partitionBy("chunk").option("maxRecordsPerFile", 1).json(path)
+    rows, _ = readers.read_results_json(spark, path, "idx bigint, equation string, correct boolean, reason string")
+    return rows
+
+
 @query
 def generate_chunk(spark, sf_dir):
     """A stand-in model answers, its responses are stored and scored."""

@@ -88,11 +88,18 @@ def curation_funnel(raw: DataFrame) -> DataFrame:
     )
 
 
-def funnel_of(raw: DataFrame, curated_rows: DataFrame) -> DataFrame:
-    """The same funnel where the curated rows are already stored: two counts, no shuffle."""
+def funnel_of(raw: DataFrame, n_after_dedup: int, chunk: str | None = None) -> DataFrame:
+    """The same funnel where the number of curated rows is known: counts alone, of two columns, no shuffle of rows.
+
+    With ``chunk``, the column of that name tells how many chunks were read (``chunks_used``).
+    """
     kept = F.col("correct") & F.col("equation").isNotNull()
-    n_kept = F.lit(curated_rows.count()).cast("bigint")
-    counts = raw.agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(kept).alias("n_correct"))
+    n_kept = F.lit(n_after_dedup).cast("bigint")
+    per = raw.groupBy(*([chunk] if chunk else [])).agg(
+        F.count(F.lit(1)).alias("n_raw"), F.count_if(kept).alias("n_correct")
+    )
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_raw", "n_correct")]
+    counts = per.agg(*sums, *([F.count(F.lit(1)).alias("chunks_used")] if chunk else []))
     share = F.try_divide(F.col("n_correct").cast("double"), F.col("n_raw").cast("double"))
     return counts.select(
         "n_raw",
@@ -100,6 +107,7 @@ def funnel_of(raw: DataFrame, curated_rows: DataFrame) -> DataFrame:
         n_kept.alias("n_after_dedup"),
         F.coalesce(share, F.lit(0.0)).alias("correct_share"),
         (F.col("n_correct") - n_kept).alias("n_removed"),
+        *(["chunks_used"] if chunk else []),
     )
 
 

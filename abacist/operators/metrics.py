@@ -23,19 +23,24 @@ def _correct() -> Column:
     return F.count_if(F.col("correct"))
 
 
-def eval_summary_chars(
-    df: DataFrame, dataset_len: int | None = None, text_col: str = "response"
-) -> DataFrame:
-    """Counts, rates and mean response length in characters, per ``dataset_len`` rows."""
+def chars_summary(dataset_len: int | None = None, text_col: str = "response") -> list[Column]:
+    """Aggregates: counts, rates and mean response length in characters, per ``dataset_len`` rows."""
     n = _rows() if dataset_len is None else F.lit(dataset_len).cast("bigint")
-    return df.agg(
+    return [
         n.alias("dataset_len"),
         F.count("equation").alias("equation_extracted"),
         _correct().alias("equation_correct"),
         _share(F.count("equation"), n).alias("extracted_rate"),
         _share(_correct(), n).alias("accuracy"),
         _share(F.sum(F.length(text_col)), n).alias("avg_response_chars"),
-    )
+    ]
+
+
+def eval_summary_chars(
+    df: DataFrame, dataset_len: int | None = None, text_col: str = "response"
+) -> DataFrame:
+    """Counts, rates and mean response length in characters, per ``dataset_len`` rows."""
+    return df.agg(*chars_summary(dataset_len, text_col))
 
 
 def _token_sums() -> list[Column]:
@@ -58,9 +63,19 @@ def _with_token_rates(sums: DataFrame) -> DataFrame:
     ).drop("_tokens")
 
 
+def tokens_summary() -> list[Column]:
+    """Aggregates: counts, rates and mean response length in tokens."""
+    return [
+        *_token_sums()[:-1],
+        _share(F.count("equation"), _rows()).alias("extracted_rate"),
+        _share(_correct(), _rows()).alias("accuracy"),
+        _share(F.sum("response_n_tokens"), _rows()).alias("avg_response_tokens"),
+    ]
+
+
 def eval_summary_tokens(df: DataFrame) -> DataFrame:
     """Counts, rates and mean response length in tokens."""
-    return _with_token_rates(df.agg(*_token_sums()))
+    return df.agg(*tokens_summary())
 
 
 def dev_metrics(df: DataFrame, elapsed_s: float | None = None) -> DataFrame:
@@ -72,19 +87,28 @@ def dev_metrics(df: DataFrame, elapsed_s: float | None = None) -> DataFrame:
     return out if elapsed_s is None else out.withColumn("dev_eval_time_s", F.round(F.lit(elapsed_s), 1))
 
 
-def chunk_rollup(df: DataFrame, chunk: str = "chunk", index: str = "idx") -> DataFrame:
-    """The token summary per chunk and over all (``is_total``), with index range.
-
-    Chunks are summed first, so the rollup doubles one row per chunk, not the data.
-    """
+def _chunk_sums(df: DataFrame, chunk: str, index: str) -> DataFrame:
     has_run = {"elapsed_s", "model_id"} <= set(df.columns)
     run = [F.max("elapsed_s").alias("elapsed_s"), F.max("model_id").alias("model_id")]
-    per_chunk = df.groupBy(chunk).agg(
+    return df.groupBy(chunk).agg(
         *_token_sums(),
         F.min(index).alias("start_idx"),
         (F.max(index) + 1).alias("end_idx"),
         *(run if has_run else []),
     )
+
+
+def chunk_summaries(df: DataFrame, chunk: str = "chunk", index: str = "idx") -> DataFrame:
+    """The token summary per chunk, with index range."""
+    return _with_token_rates(_chunk_sums(df, chunk, index))
+
+
+def chunk_rollup(df: DataFrame, chunk: str = "chunk", index: str = "idx") -> DataFrame:
+    """The token summary per chunk and over all (``is_total``), with index range.
+
+    Chunks are summed first, so the rollup doubles one row per chunk, not the data.
+    """
+    per_chunk = _chunk_sums(df, chunk, index)
     summed = ["n_examples", "equation_extracted", "equation_correct", "_tokens"]
     over_chunks = [F.sum("elapsed_s").alias("elapsed_s"), F.max("model_id").alias("model_id")]
     rolled = per_chunk.rollup(chunk).agg(
@@ -92,7 +116,7 @@ def chunk_rollup(df: DataFrame, chunk: str = "chunk", index: str = "idx") -> Dat
         F.min("start_idx").alias("start_idx"),
         F.max("end_idx").alias("end_idx"),
         F.grouping(chunk).cast("bigint").alias("is_total"),
-        *(over_chunks if has_run else []),
+        *(over_chunks if "model_id" in per_chunk.columns else []),
     )
     return _with_token_rates(rolled)
 

@@ -15,6 +15,8 @@ from abacist.session import settle
 _KEY = "_order_key"
 # Hex digits of the key that name a bucket: 65,536 buckets at most.
 _BUCKET_DIGITS = 4
+# Up to so many rows are taken from one pass in which each task keeps its smallest keys.
+_FEW = 10_000
 
 
 def seeded_key(seed: int, *keys: str | Column) -> Column:
@@ -31,11 +33,14 @@ def _boundary(df: DataFrame, n: int, seed: int, keys: list[str]):
     """``last``, the n-th smallest (seeded key, keys), with how many rows are ``tied`` there and ``need`` to be
     taken of them; None when there are at most n rows.
 
-    Rows are counted by the first digits of the key, which are spread evenly; the
+    A few rows are the smallest of each task's smallest, in one pass. For more, rows are
+    counted by the first digits of the key, which are spread evenly; the
     counts name the bucket that holds the n-th row and its place there, and only
     that bucket, one part in 65,536 of the table, is ordered.
     """
     keyed = df.select(*keys, seeded_key(seed, keys[0]).alias(_KEY))
+    if n <= _FEW:
+        return _boundary_of_few(keyed.select(F.struct(_KEY, *keys).alias("last")), n)
     counts = keyed.groupBy(_bucket_of(F.col(_KEY)).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
     # One row per bucket, never the data.
     upto = F.sum("_n").over(Window.orderBy("_bucket"))
@@ -54,6 +59,25 @@ def _boundary(df: DataFrame, n: int, seed: int, keys: list[str]):
     return {"last": at["last"], "tied": at["tied"], "need": place - at["_upto"] + at["tied"]}
 
 
+def _boundary_of_few(keyed: DataFrame, n: int):
+    """The same for a small ``n``: each task passes on n + 1 keys at most."""
+    held = F.array_sort(F.collect_list("last")).alias("held")
+    last = F.get("held", F.lit(n - 1))
+    found = (
+        keyed.orderBy("last").limit(n + 1).agg(held)
+        .select(
+            last.alias("last"),
+            (F.get("held", F.lit(n)) == last).alias("goes_on"),
+            F.size(F.filter(F.slice("held", 1, n), lambda x: x == last)).alias("need"),
+            (F.size("held") > n).alias("more"),
+        )
+        .first()
+    )
+    if not found["more"]:
+        return None
+    return {"last": found["last"], "tied": found["need"] + found["goes_on"], "need": found["need"]}
+
+
 def _place(df: DataFrame, last, seed: int, keys: list[str]) -> tuple[Column, Column]:
     """Where a row of ``df`` stands, and where the boundary does."""
     mine = F.struct(seeded_key(seed, keys[0]), *keys)

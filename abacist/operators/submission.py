@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abacist.functions import text as T
@@ -30,6 +30,12 @@ def check_inputs(
     return results.sparkSession.createDataFrame([row], counts.schema)
 
 
+def with_ids(results: DataFrame) -> DataFrame:
+    """``results``, which fail in the pass that reads them if a row has no id."""
+    missing = F.raise_error(F.lit("some results have no id")).cast(results.schema["id"].dataType)
+    return results.withColumn("id", F.when(F.col("id").isNull(), missing).otherwise(F.col("id")))
+
+
 def contract_counts(results: DataFrame) -> DataFrame:
     counts = [F.count(F.lit(1)).alias("n_results"), F.count_if(F.col("id").isNull()).alias("n_missing_id")]
     if "equation" in results.columns:
@@ -93,19 +99,24 @@ def build_submission(
     )
 
 
-def submission_stats(built: DataFrame) -> DataFrame:
-    """Counts over a built submission. A blank equation counts as extracted."""
+def stats_columns() -> list[Column]:
+    """Aggregates over a built submission. A blank equation counts as extracted."""
     n = F.count(F.lit(1))
 
     def share(part):
         return F.coalesce(F.try_divide(part.cast("double"), n.cast("double")), F.lit(0.0))
 
     extracted, valid = F.count_if("extracted"), F.count_if("valid")
-    return built.agg(
+    return [
         n.alias("n_total"),
         extracted.alias("n_extracted"),
         (n - extracted).alias("n_fallback"),
         share(extracted).alias("extracted_rate"),
         valid.alias("n_valid_by_local_validator"),
         share(valid).alias("expected_accuracy"),
-    )
+    ]
+
+
+def submission_stats(built: DataFrame) -> DataFrame:
+    """Counts over a built submission."""
+    return built.agg(*stats_columns())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import warnings
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,25 +102,48 @@ def score_chunk(
     """Score responses to puzzles ``[start, start + n)``; returns (rows, summary).
 
     Both inputs are cut by index before they meet. With ``path`` the rows are
-    written once and the summary is computed from what was written. The summary
+    written once and the summary is collected by the tasks that write them. The summary
     names the range, and the run's time and model where they are given.
     """
+    run = {"start_idx": start, "end_idx": start + n, "elapsed_s": elapsed_s, "model_id": model_id}
+    rows = teacher_records(_scored_range(problems, responses, start, n), start)
+    if path is None:
+        return rows, _with_run(metrics.eval_summary_tokens(rows), **run)
+    write = partial(sinks.write_results, path=f"{path}/rows")
+    seen = sinks.write_observed(rows.drop("reason_code"), write, metrics.tokens_summary())
+    summary = _with_run(seen, **run)
+    sinks.write_summary(summary, f"{path}/summary")
+    return problems.sparkSession.read.schema(TEACHER_CHUNK).parquet(f"{path}/rows"), summary
+
+
+def _scored_range(problems: DataFrame, responses: DataFrame, start: int, n: int) -> DataFrame:
     cut = ordering.chunk_slice(problems, start, n)
-    scored = score_responses(join_responses(cut, ordering.chunk_slice(responses, start, n)))
-    rows = teacher_records(scored, start)
-    if path is not None:
-        sinks.write_results(rows.drop("reason_code"), f"{path}/rows")
-        rows = problems.sparkSession.read.schema(TEACHER_CHUNK).parquet(f"{path}/rows")
-    summary = _with_run(
-        metrics.eval_summary_tokens(rows),
-        start_idx=start,
-        end_idx=start + n,
-        elapsed_s=elapsed_s,
-        model_id=model_id,
-    )
-    if path is not None:
-        sinks.write_summary(summary, f"{path}/summary")
-    return rows, summary
+    return score_responses(join_responses(cut, ordering.chunk_slice(responses, start, n)))
+
+
+def score_chunks(
+    problems: DataFrame, responses: DataFrame, start: int, n: int, path: str, chunk_rows: int = 1000
+) -> tuple[DataFrame, DataFrame]:
+    """Score all chunks of ``[start, start + n)`` into one table; returns (rows, summaries) of these chunks, as stored.
+
+    ``path/rows`` and ``path/summary`` have a folder per chunk of ``chunk_rows`` stored
+    indices. Scoring a chunk again replaces its folders and touches no other; a chunk
+    that has no response any more keeps what it had. The summaries are read
+    from the rows written, of whose columns they need three.
+    """
+    if start % chunk_rows or n % chunk_rows:
+        raise ValueError(f"[{start}, {start + n}) is not made of whole chunks of {chunk_rows}")
+    chunk = F.floor(F.col("train_idx") / chunk_rows)
+    rows = teacher_records(_scored_range(problems, responses, start, n)).drop("reason_code")
+    rows = rows.withColumn("idx", F.col("train_idx") % chunk_rows).withColumn("chunk", chunk)
+    sinks.write_chunks(rows, f"{path}/rows")
+    session, first, end = problems.sparkSession, start // chunk_rows, (start + n) // chunk_rows
+    here = (F.col("chunk") >= first) & (F.col("chunk") < end)
+    stored = readers.read_results(session, f"{path}/rows").filter(here)
+    summaries = metrics.chunk_summaries(stored, index="train_idx")
+    sinks.write_chunks(summaries, f"{path}/summary")
+    schema = ", ".join(f"{c} {t}" for c, t in summaries.dtypes if c != "chunk")
+    return stored, readers.read_results(session, f"{path}/summary", schema).filter(here)
 
 
 def generate_chunk(
@@ -152,13 +176,10 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """Score a model's responses; returns (rows, summary in characters)."""
     rows = eval_records(score_responses(join_responses(problems, responses)))
-
-    def summarize(df: DataFrame) -> DataFrame:
-        return metrics.eval_summary_chars(df, dataset_len, "model_output")
-
+    summary = metrics.chars_summary(dataset_len, "model_output")
     if path is None:
-        return rows, summarize(rows)
-    return sinks.write_results_json(rows, summarize, path)
+        return rows, rows.agg(*summary)
+    return sinks.write_results_json(rows, summary, path)
 
 
 def evaluate_steps(
@@ -191,32 +212,27 @@ def curate(
 ) -> dict[str, DataFrame]:
     """Build the training set from scored chunks and write it, sample and summaries.
 
-    The response text is never read. Statistics come from the written set.
+    The response text is never read. The number of rows and the example are collected
+    by the tasks that write the set, length statistics come from the written set.
     ``tokenizer`` names ``counter`` in the summary.
     """
     require_columns(chunks, {"nums", "target", "equation", "correct", *order_cols}, "the chunks")
     rows = curation.build_sft_rows(curation.curated(chunks, order_cols), order_cols, template, counter)
-    sinks.write_sft(rows, path, small_n, seed)
+    first = F.min(F.struct("train_idx", "completion"))["completion"].alias("example")
+    seen = sinks.write_sft(rows, path, small_n, seed, [F.count(F.lit(1)).alias("n"), first]).first()
     read = chunks.sparkSession.read
     full, small = (read.schema(SFT_TRAIN).parquet(f"{path}/{part}") for part in ("full", "small"))
     total = full.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
     stats = metrics.length_stats(total, ["prompt_tokens", "completion_tokens", "total_tokens"])
-    example = full.orderBy("train_idx", "completion").select("completion").first()
-    used = chunks.select("chunk_path").distinct().count() if "chunk_path" in chunks.columns else None
-    funnel = _with_run(
-        curation.funnel_of(chunks, full),
-        chunks_used=used,
-        tokenizer=tokenizer,
-        example_completion=example and example[0],
-    )
+    funnel = curation.funnel_of(chunks, seen["n"], "chunk_path" if "chunk_path" in chunks.columns else None)
+    funnel = _with_run(funnel, tokenizer=tokenizer, example_completion=seen["example"])
     sinks.write_summary(stats, f"{path}/length_stats")
     sinks.write_summary(funnel, f"{path}/funnel")
     return {"full": full, "small": small, "length_stats": stats, "funnel": funnel}
 
 
-def _stats_of(built: DataFrame, model_path: str | None, inference_time_s: float | None) -> DataFrame:
-    """Statistics of a submission, and a warning where rows had to fall back."""
-    stats = submission.submission_stats(built)
+def _stats_of(stats: DataFrame, model_path: str | None, inference_time_s: float | None) -> DataFrame:
+    """Statistics of a submission with its run, and a warning where rows had to fall back."""
     warning = submission.stats_warning(stats.first()["n_fallback"])
     if warning:
         warnings.warn(warning, stacklevel=3)
@@ -234,21 +250,25 @@ def make_submission(
     """Submission rows and their statistics from test puzzles and model responses.
 
     ``test`` and ``responses`` meet on ``id``; ``responses`` has ``idx`` for the
-    order of its records. Columns of ``test`` beside the puzzle are left out.
+    order of its records. Columns of ``test`` beside the puzzle are left out. With
+    ``path``, ``responses`` are read once: a row without an id fails that pass, and
+    the statistics are collected by the tasks that write the rows.
     """
     test = test.select("id", "nums", "target")
-    submission.check_inputs(template, responses, {"id", "idx", "response"})
-    results = student_records(responses.join(test, "id", "inner"))
+    require_columns(template, {"id", "equation"}, "the template")
+    require_columns(responses, {"id", "idx", "response"}, "the results")
+    results = student_records(submission.with_ids(responses).join(test, "id", "inner"))
     if path is None:
         built = submission.build_submission(template, results)
-        return built, _stats_of(built, model_path, inference_time_s)
+        return built, _stats_of(submission.submission_stats(built), model_path, inference_time_s)
     read = template.sparkSession.read
     sinks.write_results(results, f"{path}/raw")
     raw = read.schema(results.schema).parquet(f"{path}/raw")
     built = submission.build_submission(template, raw)
-    sinks.write_results(built, f"{path}/built")
+    write = partial(sinks.write_results, path=f"{path}/built")
+    seen = sinks.write_observed(built, write, submission.stats_columns())
     built = read.schema(built.schema).parquet(f"{path}/built")
-    stats = _stats_of(built, model_path, inference_time_s)
+    stats = _stats_of(seen, model_path, inference_time_s)
     order = [c for c in readers.FILE_ORDER if c in built.columns] or ["id"]
     sinks.write_submission(built, f"{path}/submission", order)
     sinks.write_summary(stats, f"{path}/stats")

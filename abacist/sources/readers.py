@@ -64,6 +64,24 @@ def read_chunks(
     )
 
 
+def read_results(
+    spark: SparkSession, path: str, schema: str = schemas.TEACHER_CHUNK, chunk: str = "chunk"
+) -> DataFrame:
+    """A table written by chunk; a filter on ``chunk`` opens the folders of those chunks only."""
+    return spark.read.schema(f"{schema}, {chunk} bigint").parquet(path)
+
+
+def read_results_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and summary of results files that are one JSON document each, ``{"summary": {...}, "per_example": [...]}``.
+
+    ``schema`` is that of a row; the fields of the summary are taken as they come, one
+    row per file. A file is one task's work, as a document can't be split.
+    """
+    typed = f"per_example array<{StructType.fromDDL(schema).simpleString()}>"
+    rows = spark.read.option("multiLine", True).schema(typed).json(path).select(F.inline("per_example"))
+    return rows, spark.read.option("multiLine", True).json(path).select("summary.*")
+
+
 def union_chunks(*frames: DataFrame) -> DataFrame:
     """Rows of all chunk tables, columns matched by name, missing ones NULL."""
     out = frames[0]

@@ -1,10 +1,12 @@
-"""Sinks. All overwrite the named folder and are written by the executors."""
+"""Sinks. All are written by the executors and overwrite the named folder, or of a table by chunk the chunks they bring."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 from abacist.operators.curation import SAVED
 from abacist.operators.ordering import sample_exact_n
@@ -21,23 +23,38 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_chunks(df: DataFrame, path: str, chunk: str = "chunk") -> None:
+    """Rows with a ``chunk`` column, one folder per chunk; folders of chunks that ``df`` has no rows of stay as they are.
+
+    Rows gather by chunk, so a chunk is few files, and adaptive execution splits a chunk
+    that is much larger than others. Writing the same rows again changes nothing.
+    """
+    by_chunk = df.hint("rebalance", F.col(chunk)).write.mode("overwrite").partitionBy(chunk)
+    by_chunk.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def write_observed(df: DataFrame, write: Callable[[DataFrame], None], summary: list[Column]) -> DataFrame:
+    """``write(df)``, and the one row of the aggregates ``summary`` over what was written, from the same pass.
+
+    The figures are collected by the tasks that write, and of each partition once, so
+    a lost executor or a repeated task counts nothing twice.
+    """
+    seen = Observation()
+    write(df.observe(seen, *summary))
+    found, schema = seen.get, df.agg(*summary).schema
+    return df.sparkSession.createDataFrame([tuple(found[name] for name in schema.names)], schema)
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """A summary of one row, or one per metric, as JSON."""
     summary.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_results_json(
-    df: DataFrame, summarize: Callable[[DataFrame], DataFrame], path: str
-) -> tuple[DataFrame, DataFrame]:
-    """``path/per_example`` as JSON lines and ``path/summary``; returns both as stored.
-
-    The summary is taken from the stored rows, so they are computed once.
-    """
-    df.write.mode("overwrite").json(f"{path}/per_example")
-    rows = df.sparkSession.read.schema(df.schema).json(f"{path}/per_example")
-    summary = summarize(rows)
-    write_summary(summary, f"{path}/summary")
-    return rows, summary
+def write_results_json(df: DataFrame, summary: list[Column], path: str) -> tuple[DataFrame, DataFrame]:
+    """``path/per_example`` as JSON lines and ``path/summary``, in one pass; returns both, the rows as stored."""
+    row = write_observed(df, lambda rows: rows.write.mode("overwrite").json(f"{path}/per_example"), summary)
+    write_summary(row, f"{path}/summary")
+    return df.sparkSession.read.schema(df.schema).json(f"{path}/per_example"), row
 
 
 def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "idx") -> None:
@@ -63,14 +80,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     writer.options(**blanks).csv(path)
 
 
-def write_sft(df: DataFrame, path: str, small_n: int = 2000, seed: int = 42) -> None:
-    """The full training set and an exact-size sample of it, same columns.
+def write_sft(
+    df: DataFrame, path: str, small_n: int = 2000, seed: int = 42, summary: list[Column] | None = None
+) -> DataFrame:
+    """The full training set and an exact-size sample of it, same columns; returns one row of ``summary`` of the set.
 
     The sample is drawn from the written table, so the rows are computed once.
     """
     full = f"{path}/full"
-    df.select(*SAVED).write.mode("overwrite").parquet(full)
+    write = partial(write_results, path=full)
+    seen = write_observed(df.select(*SAVED), write, summary or [F.count(F.lit(1)).alias("n")])
     stored = df.sparkSession.read.schema(SFT_TRAIN).parquet(full)
     # One puzzle may keep several equations, which the completion tells apart.
     small = sample_exact_n(stored, small_n, seed, key="train_idx", ties=("completion",))
     small.write.mode("overwrite").parquet(f"{path}/small")
+    return seen

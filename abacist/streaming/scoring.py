@@ -8,6 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from abacist.operators.scoring import score_responses
+from abacist.sources.sinks import write_chunks
+
+COUNTERS = "n_examples bigint, equation_extracted bigint, equation_correct bigint"
 
 
 def _arriving(spark: SparkSession, in_dir: str, schema: StructType | str) -> DataFrame:
@@ -36,12 +39,12 @@ def stream_counters(
     schema: StructType | str,
     chunk: str = "chunk",
 ) -> StreamingQuery:
-    """Running counts per chunk. State is one row per chunk.
+    """Running counts per chunk, as a table with one folder per chunk. State is one row per chunk.
 
-    Every batch writes the counts of all chunks, with as many tasks as hold the
-    state, in place of the batch before the last: two folders at any time, one of
-    them whole. Repeating a batch after a failure replaces its folder and counts
-    nothing twice.
+    A batch writes the chunks it has new rows of, with their counts so far, and
+    leaves the folders of all others alone. The counts of a batch come from the state
+    its checkpoint names, so repeating it after a failure writes the same
+    rows to the same folders.
     """
     counters = (
         score_responses(_arriving(spark, in_dir, schema))
@@ -52,22 +55,20 @@ def stream_counters(
             F.count_if("correct").alias("equation_correct"),
         )
     )
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        whole = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
-        whole.write.mode("overwrite").parquet(f"{table}/half={batch_id % 2}")
-
     return (
-        counters.writeStream.outputMode("complete")
-        .foreachBatch(store)
+        counters.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, _: upsert_counters(batch, table, chunk))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def read_counters(spark: SparkSession, table: str) -> DataFrame:
-    """The counts of every chunk after the last batch."""
-    stored = spark.read.parquet(table)
-    last = stored.agg(F.max("batch")).first()[0]
-    return stored.filter(F.col("batch") == F.lit(last)).drop("batch", "half")
+def upsert_counters(batch: DataFrame, table: str, chunk: str = "chunk") -> None:
+    """Put the counts of ``batch``, one row per chunk, in place of what ``table`` has of these chunks."""
+    write_chunks(batch, table, chunk)
+
+
+def read_counters(spark: SparkSession, table: str, chunk: str = "chunk") -> DataFrame:
+    """The counts of every chunk after the last batch; a filter on ``chunk`` opens its folder only."""
+    return spark.read.schema(f"{COUNTERS}, {chunk} bigint").parquet(table)

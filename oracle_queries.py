@@ -370,8 +370,13 @@ def statements() -> dict[str, str]:
         + """SELECT idx - 1000 AS idx, idx AS train_idx, equation, correct, reason FROM r
              WHERE idx >= 1000""",
         "score_chunk_summary": BASE
-        + f"""SELECT {_TOKENS}, 1000 AS start_idx, 6000 AS end_idx, CAST(12.5 AS DOUBLE) AS elapsed_s,
-              'teacher' AS model_id FROM r WHERE idx >= 1000 AND idx < 6000""",
+        + f"""SELECT {_TOKENS}, 1000 AS start_idx, 1000000000001000 AS end_idx, CAST(12.5 AS DOUBLE) AS elapsed_s,
+              'teacher' AS model_id FROM r WHERE idx >= 1000""",
+        "results_by_chunk": BASE
+        + "SELECT chunk, idx % 1000 AS idx, idx AS train_idx, response, equation, correct, reason FROM r",
+        "summaries_by_chunk": BASE
+        + f"""SELECT chunk, {_TOKENS}, min(idx) AS start_idx, max(idx) + 1 AS end_idx FROM r GROUP BY chunk""",
+        "results_document": scored,
         "generate_chunk": BASE
         + """SELECT idx - 1000 AS idx, idx AS train_idx, '<answer>' || sa || ' + ' || sa || '</answer>' AS response,
              sa || ' + ' || sa AS equation, FALSE AS correct,

@@ -15,8 +15,9 @@ def _key(seed, idx):
     return hashlib.md5(f"{seed}:{idx}".encode()).hexdigest(), idx
 
 
-@pytest.mark.parametrize("partitions", [1, 4, 64])
-def test_seeded_operators_ignore_partitioning(spark, partitions):
+@pytest.mark.parametrize("partitions, few", [(1, 0), (4, 10_000), (64, 0), (64, 10_000)])
+def test_seeded_operators_ignore_partitioning(spark, monkeypatch, partitions, few):
+    monkeypatch.setattr(ordering, "_FEW", few)
     n = 5000
     df = spark.range(n).withColumnRenamed("id", "idx").repartition(partitions)
     order = sorted(range(n), key=lambda i: _key(7, i))
@@ -30,7 +31,9 @@ def test_seeded_operators_ignore_partitioning(spark, partitions):
     assert [r.idx for r in ordering.seeded_shuffle(df, 7).collect()] == order
 
 
-def test_samples_and_splits_of_short_tables(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_samples_and_splits_of_short_tables(spark, monkeypatch, few):
+    monkeypatch.setattr(ordering, "_FEW", few)
     df = spark.range(5).withColumnRenamed("id", "idx")
     assert ordering.sample_exact_n(df, 10).count() == 5
     assert ordering.sample_exact_n(df, 0).count() == 0
@@ -39,9 +42,12 @@ def test_samples_and_splits_of_short_tables(spark):
     assert ordering.make_splits(df.filter("idx < 0"), 3).count() == 0
 
 
-def test_sample_size_is_exact_with_repeated_keys(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_sample_size_is_exact_with_repeated_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(ordering, "_FEW", few)
     df = spark.range(1000).select((F.col("id") % 3).alias("idx"), "id")
     assert ordering.sample_exact_n(df, 10).count() == 10
+    assert ordering.sample_exact_n(df, 700).count() == 700
 
 
 @pytest.mark.parametrize("partitions", [1, 16])
