@@ -5,10 +5,11 @@ by one to four places and padded with NULL where a phrase cannot go on. Only the
 windows are counted; Spark's ROLLUP sums them over ever shorter prefixes, which gives
 the count of every phrase and word and of all words of a language.
 
-A window goes on only while each next pair of words can be frequent. For this a first
-pass counts the pairs of all texts by a hash of ``bits`` bits; what goes back to the
-tasks is one bit for each value, 16 MB at any size of the input. A pair below the least
-count may share its value with others and stay, which costs time and changes nothing.
+A window goes on only while what it holds can be frequent. For this a first pass counts the
+words and pairs of all texts, and a second one the triples made of frequent pairs, by
+a hash of ``bits`` bits; what goes back to the tasks is one bit for each value, 16 MB a
+pass at any size of the input. What is below the least count may share its value
+with others and stay, which costs time and changes nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +29,23 @@ LEAST, LONGEST, TOP, COVERED = 100, 5, 2000, 100
 BITS = 27
 # The low bits of a pair's value; the others name the range whose bits one row holds.
 _LOW = 16
-# Pairs, and words, that a task combines before it sends them on.
-_PAIRS_HELD, _WORDS_HELD = 1 << 21, 1 << 20
+# Values, and words, that a task combines before it sends them on, and the most rows it sends at once.
+_VALUES_HELD, _WORDS_HELD, _ROWS = 1 << 21, 1 << 19, 1 << 16
+# Parts of a language, so that none gathers in one task.
+_SALTS = 32
 
 _CUTS, _BLANKS = b".,;:!?\n\v\f\r", b" \t"
 
 
 class _Reader:
-    """Words of texts, lower-cased, with the hash of each pair that stands in one piece."""
+    """Words of texts, lower-cased, with the values of the words, pairs and triples that start at each."""
 
     def __init__(self, bits: int):
         self.blank, self.cut, self.fold = B.table(_CUTS + _BLANKS), B.table(_CUTS), B.ascii_lower()
         self.hasher, self.bits = B.Hasher(), bits
 
     def read(self, batch: pa.RecordBatch) -> Iterator[tuple]:
-        """(words, their hashes, text of each, whether the next word follows in the same piece, value of that pair)."""
+        """(words, their hashes, text of each, whether the next word follows in the same piece, values of 1 to 3 words)."""
         langs = batch["lang_hash"].to_numpy().view(np.uint64)
         for at, texts in B.pieces(batch["text"]):
             words = B.find_words(texts, self.blank, self.fold)
@@ -50,32 +54,58 @@ class _Reader:
             np.cumsum(self.cut[words.buffer], out=cuts[1:])
             follows = (text_of[1:] == text_of[:-1]) & (cuts[words.starts[1:]] == cuts[words.ends[:-1]])
             follows = np.concatenate([follows, [False]])[: len(hashes)]
-            mixed = B.mix(hashes + langs[at + text_of])
-            value = B.mix(mixed[:-1] * np.uint64(B._ODD) + hashes[1:]) >> np.uint64(64 - self.bits)
-            yield words, hashes, at + text_of, follows, np.concatenate([value, value[:1]])[: len(hashes)]
+            mixed, values = B.mix(hashes + langs[at + text_of]), []
+            for k in range(3):
+                values.append((mixed >> np.uint64(64 - self.bits)).astype(np.int64))
+                mixed = B.mix(mixed * np.uint64(B._ODD) + _ahead(hashes, k + 1))
+            yield words, hashes, at + text_of, follows, values
+
+
+def _ahead(x: np.ndarray, k: int) -> np.ndarray:
+    """``x`` moved ``k`` places to the left, with zeros at the end."""
+    return np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
+
+
+class _Bits:
+    """Which values are frequent."""
+
+    def __init__(self, *bitmaps: bytes):
+        self.maps = [np.frombuffer(m, np.uint8) for m in bitmaps]
+
+    def of(self, number: int, values: np.ndarray) -> np.ndarray:
+        return (self.maps[number][values >> 3] >> (values & 7).astype(np.uint8)) & 1 > 0
+
+    def words_and_pairs(self, follows: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        words = self.of(0, values[0])
+        return words, follows & words & _ahead(words, 1) & self.of(0, values[1])
 
 
 def _packed(values: np.ndarray) -> pa.RecordBatch:
     """Distinct ``values`` with their counts, a row for each range."""
     found, counts = np.unique(values, return_counts=True)
-    part = (found >> np.uint64(_LOW)).astype(np.int32)
+    part = (found >> _LOW).astype(np.int32)
     at, starts = np.unique(part, return_index=True)
-    low = (found & np.uint64((1 << _LOW) - 1)).astype("<u2")
+    low = (found & ((1 << _LOW) - 1)).astype("<u2")
     ends = [*starts[1:], len(found)]
     rows = [low[a:b].tobytes() + counts[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(starts, ends)]
     return pa.RecordBatch.from_arrays([pa.array(at), pa.array(rows, pa.binary())], ["part", "data"])
 
 
-def _frequent(docs: DataFrame, least: int, bits: int) -> bytes:
-    """A bit for each value of a pair's hash: whether the pairs with it number ``least`` together."""
+def _frequent(docs: DataFrame, least: int, bits: int, known: Broadcast | None = None) -> Broadcast:
+    """A bit for each value: whether words and pairs with it, or once these are ``known`` triples, number ``least`` together."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, held, n = _Reader(bits), [], 0
+        frequent = known and _Bits(known.value)
         for batch in parts:
-            for _, _, _, follows, value in reader.read(batch):
-                held.append(value[follows])
-                n += len(held[-1])
-                if n >= _PAIRS_HELD:
+            for _, _, _, follows, values in reader.read(batch):
+                if frequent is None:
+                    held += [values[0], values[1][follows]]
+                else:
+                    _, pairs = frequent.words_and_pairs(follows, values)
+                    held.append(values[2][pairs & _ahead(pairs, 1)])
+                n += len(follows)
+                if n >= _VALUES_HELD:
                     yield _packed(np.concatenate(held))
                     held, n = [], 0
         if n:
@@ -101,7 +131,7 @@ def _frequent(docs: DataFrame, least: int, bits: int) -> bytes:
     bitmap = bytearray(max(size, 1 << (bits - 3)))
     for row in found.toLocalIterator():
         bitmap[row.part * size : (row.part + 1) * size] = row.data
-    return bytes(bitmap)
+    return docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
 
 
 class _Held:
@@ -111,20 +141,18 @@ class _Held:
         self.longest, self.numbers, self.spelled = longest, {}, []
         self.words, self.langs, self.reach, self.n = [], [], [], 0
 
-    def add(self, words: B.Words, hashes: np.ndarray, langs: np.ndarray, goes_on: np.ndarray) -> None:
-        known, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    def add(self, words: B.Words, hashes: np.ndarray, langs: np.ndarray, reach: np.ndarray) -> None:
+        """``reach`` is the number of words of each word's window, 0 where the word itself is not frequent."""
+        use = np.flatnonzero(reach)
+        known, first, at = np.unique(hashes[use], return_index=True, return_inverse=True)
         numbers, before = self.numbers, len(self.numbers)
         own = np.fromiter((numbers.setdefault(h, len(numbers)) for h in known.tolist()), np.int64, len(known))
-        fresh = own >= before
+        fresh = use[first[own >= before]]
         buffer = words.buffer.tobytes()
-        spans = zip(words.starts[first[fresh]].tolist(), words.ends[first[fresh]].tolist())
-        self.spelled += [buffer[a:b] for a, b in spans]
-        reach = np.ones(len(hashes), np.int8)
-        still = goes_on
-        for k in range(1, self.longest):
-            reach += still
-            still = still & np.concatenate([goes_on[k:], np.zeros(min(k, len(goes_on)), bool)])
-        for x, found in ((self.words, own[at]), (self.langs, langs), (self.reach, reach)):
+        self.spelled += [buffer[a:b] for a, b in zip(words.starts[fresh].tolist(), words.ends[fresh].tolist())]
+        number = np.zeros(len(hashes), np.int64)
+        number[use] = own[at]
+        for x, found in ((self.words, number), (self.langs, langs), (self.reach, reach)):
             x.append(found)
         self.n += len(hashes)
 
@@ -132,18 +160,19 @@ class _Held:
         """Distinct windows with their numbers of times; ``names`` are the languages."""
         words, langs, reach = map(np.concatenate, (self.words, self.langs, self.reach))
         spelled = pa.array(self.spelled, pa.binary()).cast(pa.string())
-        size, at = len(self.spelled), np.arange(len(words))
-        key = langs.astype(np.int64)
-        for k in range(1, self.longest + 1):
+        size, at, key = max(1, len(self.spelled)), np.arange(len(words)), langs
+        for k in range(self.longest + 1):
             # Windows that reach k words, by the number of what they say so far.
-            key = np.unique(key * size + words[at + k - 1], return_inverse=True)[1]
+            if k:
+                key = np.unique(key * size + words[at + k - 1], return_inverse=True)[1]
             ends = reach[at] == k
             _, first, n = np.unique(key[ends], return_index=True, return_counts=True)
-            start = at[ends][first]
-            columns = [names.take(pa.array(langs[start]))]
-            columns += [spelled.take(pa.array(words[start + j])) for j in range(k)]
-            columns += [pa.nulls(len(start), pa.string())] * (self.longest - k) + [pa.array(n)]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", *_columns(self.longest), "n"])
+            for i in range(0, len(n), _ROWS):
+                start, times = at[ends][first[i : i + _ROWS]], n[i : i + _ROWS]
+                columns = [names.take(pa.array(langs[start]))]
+                columns += [spelled.take(pa.array(words[start + j])) for j in range(k)]
+                columns += [pa.nulls(len(start), pa.string())] * (self.longest - k) + [pa.array(times)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", *_columns(self.longest), "n"])
             key, at = key[~ends], at[~ends]
 
 
@@ -151,22 +180,25 @@ def _columns(longest: int) -> list[str]:
     return [f"w{k}" for k in range(1, longest + 1)]
 
 
-def _windows(docs: DataFrame, bitmap: bytes, longest: int, bits: int) -> DataFrame:
+def _windows(docs: DataFrame, known: list[Broadcast], longest: int, bits: int) -> DataFrame:
     """``lang, w1 ... , n``: distinct longest windows of what a task held at once."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     schema = "lang string, " + ", ".join(f"{c} string" for c in _columns(longest)) + ", n long"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, bit = _Reader(bits), np.frombuffer(shared.value, np.uint8)
+        reader, frequent = _Reader(bits), _Bits(*[x.value for x in known])
         held, langs = _Held(longest), {}
         for batch in parts:
             own = batch["lang"].dictionary_encode()
             number = np.array([langs.setdefault(x, len(langs)) for x in own.dictionary.to_pylist()], np.int64)
             lang_of = number[own.indices.to_numpy()]
-            for words, hashes, text_of, follows, value in reader.read(batch):
-                value = value.astype(np.int64)
-                frequent = (bit[value >> 3] >> (value & 7).astype(np.uint8)) & 1 > 0
-                held.add(words, hashes, lang_of[text_of], follows & frequent)
+            for words, hashes, text_of, follows, values in reader.read(batch):
+                single, pairs = frequent.words_and_pairs(follows, values)
+                triples = pairs & _ahead(pairs, 1) & frequent.of(1, values[2])
+                reach, still = single.astype(np.int8) + pairs, triples
+                for k in range(3, longest + 1):
+                    reach += still
+                    still = still & _ahead(triples, k - 2)
+                held.add(words, hashes, lang_of[text_of], reach)
                 if held.n >= _WORDS_HELD:
                     yield from held.windows(pa.array(list(langs), pa.string()))
                     held = _Held(longest)
@@ -184,7 +216,9 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: i
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     docs = docs.withColumn("lang_hash", F.xxhash64("lang"))
     columns = _columns(longest)
-    windows = _windows(docs, _frequent(docs, least, bits), longest, bits)
+    known = [_frequent(docs, least, bits)]
+    known.append(_frequent(docs, least, bits, known[0]))
+    windows = _windows(docs, known, longest, bits)
     sums = windows.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("left_out"))
     # A prefix of k words leaves out the lowest longest - k columns; its last word is there.
     sums = sums.withColumn("size", longest - F.bit_count("left_out"))
@@ -225,7 +259,9 @@ def mine(
         counts = parts.select("lang", F.col("phrase").alias(side), F.col("f").alias(count))
         cuts = cuts.join(counts, ["lang", side]).drop(side)
     digits = lambda c, n=17: F.col(c).cast(f"decimal({n},0)")
-    cuts = cuts.join(totals, "lang").withColumns(
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)).cast("int").alias("salt")
+    totals = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    cuts = cuts.select("*", salt).join(totals, ["lang", "salt"]).withColumns(
         {"upper": F.lit(1000).cast("decimal(4,0)") * digits("a") * digits("n"), "lower": digits("l", 19) * digits("r", 19)}
     )
     cuts = cuts.withColumn("score", F.expr("upper div lower"))
@@ -241,6 +277,10 @@ def mine(
     free = scored.join(longer, ["lang", "phrase"], "left").filter(
         F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a"))
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    ranked = free.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = [F.desc("best.score"), F.desc("a"), "phrase"]
+    # The first of each part of a language, then of these, so no task gets more than the parts' reports.
+    ranked = free.select("*", salt)
+    for keys in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        ranked = ranked.withColumn("rank", rank).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long"), "phrase", "a", *[f"best.{c}" for c in ("l", "r", "n", "score")])
