@@ -16,12 +16,14 @@ OK, BAD, OTHER = "ok", "bad", "other"
 # Up to this many digits in all, no integer that + - * can produce leaves the
 # range in which doubles are exact.
 EXACT_DIGITS = 15
+# A literal of up to this many digits is a 64-bit integer.
+LITERAL_DIGITS = 18
 # Nesting up to this depth is checked natively; deeper ones are ``other``.
 NATIVE_DEPTH = 8
 
 # Numbers joined by binary operators, parentheses only where they may stand: one
 # match that settles nearly every real equation but for the balance.
-_NUMBER = r"(?:0|[1-9][0-9]{0,14}+)(?![0-9])"
+_NUMBER = rf"(?:0|[1-9][0-9]{{0,{LITERAL_DIGITS - 1}}}+)(?![0-9])"
 COMMON = (
     rf"^(?=.{{1,256}}$)[ \t(]*+{_NUMBER}[ \t)]*+(?:[-+*/][ \t(]*+{_NUMBER}[ \t)]*+)*+$"
 )
@@ -29,8 +31,8 @@ COMMON = (
 PLAIN = r"^[0-9+*/() \t-]{1,256}$"
 
 # Valid or not for reasons the local rules below do not cover: powers, floor
-# division, leading zeros, calls, empty groups and numbers of 16+ digits.
-UNUSUAL = r"[*]{2}|//|(?<![0-9])0[0-9]|[0-9)][ \t]*[(]|[(][ \t]*[)]|[0-9]{16}"
+# division, leading zeros, calls, empty groups and numbers of 19+ digits.
+UNUSUAL = rf"[*]{{2}}|//|(?<![0-9])0[0-9]|[0-9)][ \t]*[(]|[(][ \t]*[)]|[0-9]{{{LITERAL_DIGITS + 1}}}"
 
 # Two neighbouring tokens that no expression can contain, or a wrong first or
 # last token. With balanced parentheses, a string free of these is valid.
@@ -155,7 +157,10 @@ _FRAME = "struct<s:double,t:double,op:string,sign:double>"
 
 
 def evaluate_native(text: Column) -> Column:
-    """struct<value, zero_division> of an expression :func:`grammar_status` calls ``ok``."""
+    """struct<value, zero_division> of an expression :func:`grammar_status` calls ``ok``.
+
+    Exact for those :func:`exactly_evaluable`; :func:`evaluate_exact` takes longer ones.
+    """
     return F.when(text.contains("("), _evaluate_nested(text)).otherwise(_evaluate_flat(text))
 
 
@@ -210,6 +215,107 @@ def _evaluate_nested(text: Column) -> Column:
     return F.aggregate(_operands(text), start, step, _finished)
 
 
+_WHOLE = "decimal(38,0)"
+_NUMBER_TYPE = f"struct<i:{_WHOLE},d:double>"
+_EXACT_FRAME = f"struct<s:{_NUMBER_TYPE},t:{_NUMBER_TYPE},op:string,negative:boolean>"
+# Up to here the quotient of two integers, taken as doubles, is rounded once.
+_DOUBLE_RANGE = 1 << 53
+
+
+def _number(i: Column, d: Column) -> Column:
+    """An integer ``i`` or a float ``d``; neither where columns can't tell the value."""
+    return F.struct(i.cast(_WHOLE).alias("i"), d.cast("double").alias("d"))
+
+
+def _as_float(x: Column) -> Column:
+    return F.coalesce(x["d"], x["i"].cast("double"))
+
+
+def _joined(x: Column, y: Column, whole, floating) -> Column:
+    """Two integers give an integer, NULL beyond 38 digits; else both count as floats."""
+    both = x["i"].isNotNull() & y["i"].isNotNull()
+    return _number(
+        F.when(both, whole(x["i"], y["i"])), F.when(~both, floating(_as_float(x), _as_float(y)))
+    )
+
+
+def _sum(x: Column, y: Column) -> Column:
+    return _joined(x, y, F.try_add, lambda a, b: a + b)
+
+
+def _product(x: Column, y: Column) -> Column:
+    return _joined(x, y, F.try_multiply, lambda a, b: a * b)
+
+
+def _quotient(x: Column, y: Column) -> Column:
+    """Always a float; NULL for integers that doubles don't hold."""
+    small = (F.abs(x["i"]) <= _DOUBLE_RANGE) & (F.abs(y["i"]) <= _DOUBLE_RANGE)
+    known = x["d"].isNotNull() | y["d"].isNotNull() | small
+    return _number(F.lit(None), F.when(known, F.try_divide(_as_float(x), _as_float(y))))
+
+
+def _negative(x: Column) -> Column:
+    return _number(-x["i"], -x["d"])
+
+
+def _is_zero(x: Column) -> Column:
+    return F.coalesce(x["i"] == 0, x["d"] == 0.0, F.lit(False))
+
+
+def evaluate_exact(text: Column) -> Column:
+    """struct<value, zero_division, whole> of an ``ok`` expression of any number of digits, as the host evaluates it.
+
+    Integers stay integers of up to 38 digits until a division, from where on
+    values are floats. ``whole`` is the value where it is an integer. ``value`` is
+    NULL beside a division by zero and where columns can't tell: an integer
+    of more digits, or a quotient of integers beyond 2**53.
+    """
+
+    def state(stack, s, t, zero):
+        return F.struct(stack.alias("stack"), s.alias("s"), t.alias("t"), zero.alias("zero"))
+
+    nought = _number(F.lit(0), F.lit(None))
+
+    def combine(op, stack, s, t, v, zero):
+        return (
+            F.when(op == "*", state(stack, s, _product(t, v), zero))
+            .when(op == "/", state(stack, s, _quotient(t, v), zero | _is_zero(v)))
+            .when(op == "-", state(stack, _sum(s, t), _negative(v), zero))
+            .otherwise(state(stack, _sum(s, t), v, zero))
+        )
+
+    def step(acc, token):
+        lead = F.substring(token, 1, 1)
+        led = lead.isin("+", "-", "*", "/")
+        literal = F.when(led, F.substring(token, 2, LITERAL_DIGITS + 1)).otherwise(token)
+        frame = F.struct(
+            acc["s"].alias("s"), acc["t"].alias("t"),
+            F.when(led, lead).otherwise("+").alias("op"), token.rlike(r"^.-").alias("negative"),
+        )
+        top = F.get(acc["stack"], F.lit(0))
+        below = F.slice(acc["stack"], F.lit(2), F.size(acc["stack"]) - 1)
+        inside = _sum(acc["s"], acc["t"])
+        group = F.when(top["negative"], _negative(inside)).otherwise(inside)
+        opened = state(F.concat(F.array(frame), acc["stack"]), nought, nought, acc["zero"])
+        number = _number(literal, F.lit(None))
+        return (
+            F.when(token.endswith("("), opened)
+            .when(token == ")", combine(top["op"], below, top["s"], top["t"], group, acc["zero"]))
+            .otherwise(combine(lead, acc["stack"], acc["s"], acc["t"], number, acc["zero"]))
+        )
+
+    def finished(acc):
+        total = _sum(acc["s"], acc["t"])
+        return F.struct(
+            F.when(~acc["zero"], _as_float(total) + 0.0).alias("value"),
+            acc["zero"].alias("zero_division"),
+            F.when(~acc["zero"], total["i"]).alias("whole"),
+        )
+
+    start = state(F.array().cast(f"array<{_EXACT_FRAME}>"), nought, nought, F.lit(False))
+    return F.aggregate(_operands(text), start, step, finished)
+
+
 def number_match(equation_nums: Column, nums: Column) -> Column:
     """Same numbers, each the same number of times."""
     return F.sort_array(equation_nums) == F.sort_array(nums)

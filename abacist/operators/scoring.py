@@ -58,6 +58,20 @@ def _value_column(session: SparkSession) -> Column:
     return A.evaluate_native(F.col("_e"))
 
 
+@lru_cache(maxsize=4)
+def _exact_column(session: SparkSession) -> Column:
+    return A.evaluate_exact(F.col("_e"))
+
+
+def _with_exact(df: DataFrame) -> DataFrame:
+    """``_exact``: the value of plain expressions with more digits than a double holds; ``_beyond`` marks those of them
+    that columns can't tell."""
+    long = (F.col("_status") == A.OK) & ~A.exactly_evaluable(F.col("_e"))
+    exact = df.withColumn("_exact", F.when(long, _exact_column(df.sparkSession)))
+    unknown = F.col("_exact.value").isNull() & ~F.col("_exact.zero_division")
+    return exact.withColumn("_beyond", F.col("_exact").isNotNull() & unknown)
+
+
 def _with_pick(df: DataFrame, text_col: str) -> DataFrame:
     """``_pick``: the first candidate that is or may be an expression.
 
@@ -94,6 +108,7 @@ def _with_verdict(df: DataFrame, nums: Column, target: Column, tolerance: float)
     """
     asking = F.col("_rest").isNotNull()
     settled = ~asking & (F.col("_status") == A.OK)
+    short = settled & F.col("_exact").isNull()
     e = F.col("_e")
     # Costly columns come before the Arrow stage, which no filter is pushed
     # through, so a filter on the verdict does not evaluate them again. Taking
@@ -101,27 +116,30 @@ def _with_verdict(df: DataFrame, nums: Column, target: Column, tolerance: float)
     judged = (
         df.withColumns(
             {
-                "_value": F.when(settled, _value_column(df.sparkSession)),
+                "_value": F.when(short, _value_column(df.sparkSession)),
                 "_match": F.when(settled, A.number_match(A.equation_numbers(e), nums)),
             }
         )
         .withColumns(
             {
                 "_asked": residual_verdict(F.col("_rest"), nums, target, tolerance),
-                "_number": F.col("_value.value"),
-                "_zero": F.col("_value.zero_division"),
+                "_number": F.coalesce("_value.value", "_exact.value"),
+                "_zero": F.coalesce("_value.zero_division", "_exact.zero_division"),
+                "_whole": F.col("_exact.whole"),
             }
         )
-        .drop("_value")
+        .drop("_value", "_exact", "_beyond")
     )
     value = F.col("_number")
+    # Of a long integer the difference is taken before it is rounded.
+    gap = F.abs(F.try_subtract("_whole", target.cast("decimal(38,0)"))).cast("double") <= F.lit(tolerance)
     code = (
         F.when(asking, F.col("_asked.code"))
         .when(F.col("_status") == A.BAD, "syntax")
         .when(F.col("_status") != A.OK, F.col("_status"))
         .when(F.col("_zero"), "processing")
         .when(~F.coalesce("_match", F.lit(False)), "numbers")
-        .when(A.within_tolerance(value, target, tolerance), "ok")
+        .when(F.when(F.col("_whole").isNotNull(), gap).otherwise(A.within_tolerance(value, target, tolerance)), "ok")
         .otherwise("value")
     )
     judged = judged.withColumn("reason_code", code)
@@ -171,14 +189,12 @@ def verify_equations(
         status = status.otherwise(A.grammar_status(e))
     else:
         status = status.otherwise(A.OTHER)
-    staged = staged.withColumn("_status", status)
-    unsettled = (F.col("_status") == A.OTHER) | (
-        (F.col("_status") == A.OK) & ~A.exactly_evaluable(e)
-    )
+    staged = _with_exact(staged.withColumn("_status", status))
+    unsettled = (F.col("_status") == A.OTHER) | F.col("_beyond")
     staged = staged.withColumn("_rest", F.when(unsettled, F.array(e)))
     judged = _with_verdict(staged, F.col(nums), F.col(target), tolerance)
     return judged.withColumn("reason", _reason(e, F.col(target))).drop(
-        "_e", "_status", "_rest", "_asked", "_number", "_zero", "_match", "_detail"
+        "_e", "_status", "_rest", "_asked", "_number", "_zero", "_whole", "_match", "_detail"
     )
 
 
@@ -204,20 +220,14 @@ def score_responses(
     """
     picked = _with_pick(df, text_col)
     e = F.col("_e")
-    staged = (
+    staged = _with_exact(
         picked.withColumns(
             {
                 "_e": F.col("_pick.text"),
                 "_status": F.coalesce(F.col("_pick.status"), F.lit("not_extracted")),
             }
-        ).withColumn(
-            "_rest",
-            F.coalesce(
-                F.col("_rest"),
-                F.when((F.col("_status") == A.OK) & ~A.exactly_evaluable(e), F.array(e)),
-            ),
         )
-    )
+    ).withColumn("_rest", F.coalesce(F.col("_rest"), F.when(F.col("_beyond"), F.array(e))))
     judged = _with_verdict(staged, F.col(nums), F.col(target), tolerance)
     # A residual pick that the host grammar refuses was never an equation.
     refused = F.col("reason_code") == "syntax"
@@ -230,7 +240,7 @@ def score_responses(
     return (
         judged.withColumn("reason", _reason(F.col("equation"), F.col(target)))
         .withColumnRenamed("ok", "correct")
-        .drop("_space", "_pick", "_e", "_status", "_rest", "_asked", "_number", "_zero", "_match", "_detail")
+        .drop("_space", "_pick", "_e", "_status", "_rest", "_asked", "_number", "_zero", "_whole", "_match", "_detail")
     )
 
 

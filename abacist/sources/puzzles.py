@@ -142,12 +142,15 @@ def proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-HARD_KINDS = 15
+HARD_KINDS = 19
+# 17 and 18 digits: more than a double holds.
+LONG, LONGER, EVEN = 12345678901234567, 999999999999999999, 900719925474099300
 
 
 def hard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equations that the plain kinds leave out, with their puzzle: quotients that are not whole, values just
-    inside and outside the tolerance, signs, nesting, floats, names, blanks beyond ASCII, long broken texts."""
+    inside and outside the tolerance, signs, nesting, floats, names, blanks beyond ASCII, long broken texts, integers
+    beyond what a double, and beyond what 38 digits hold."""
     df = _numbers(_orders(spark, sf_dir)).withColumn("kind", F.col("idx") % HARD_KINDS)
     a, b, c = (F.col(x) for x in "abc")
     sa, sb, sc = (x.cast("string") for x in (a, b, c))
@@ -174,6 +177,10 @@ def hard(spark: SparkSession, sf_dir: str) -> DataFrame:
         (text("0", sa, " + ", sb), nums(a, b), a + b),
         (text(sa, " + 1 / 2000000"), nums(a, 1, 2000000), a),
         (text(sa, " + 1 / 500000"), nums(a, 1, 500000), a),
+        (text(f"{LONG} * ", sa, " + ", sb), nums(LONG, a, b), F.lit(LONG) * a + b),
+        (text(f"{LONG} * ", sa, " + ", sb), nums(LONG, a, b), F.lit(LONG) * a + b + 1),
+        (text(f"{LONGER} * {LONGER} * {LONGER} - ", sa), nums(LONGER, LONGER, LONGER, a), F.lit(0)),
+        (text(f"{EVEN} / ", sa, " * ", sb), nums(EVEN, a, b), F.lit(0)),
     ]
     chosen = [F.when(F.col("kind") == 0, cases[0][i]) for i in range(3)]
     for kind, case in enumerate(cases[1:], start=1):

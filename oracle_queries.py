@@ -152,20 +152,25 @@ _VERIFIED = BASE + _VERDICT.format(
 # Verdicts by kind of the equations that parsing and rounding make hard.
 _HARD = """
 WITH o AS (
-  SELECT o_orderkey AS idx, o_orderkey % 15 AS kind, 1 + o_custkey % 50 AS a, 1 + o_orderkey % 11 AS b,
+  SELECT o_orderkey AS idx, o_orderkey % 19 AS kind, 1 + o_custkey % 50 AS a, 1 + o_orderkey % 11 AS b,
          1 + o_orderkey % 7 AS c FROM orders),
 v AS (
   SELECT *, CASE kind WHEN 0 THEN a::DOUBLE / b / c WHEN 1 THEN a::DOUBLE / b * b WHEN 2 THEN 2.0 * a
       WHEN 4 THEN b - a - c WHEN 5 THEN a + c WHEN 9 THEN a::DOUBLE / 3 WHEN 10 THEN a + 1
-      WHEN 13 THEN a + 1 / 2000000.0::DOUBLE WHEN 14 THEN a + 1 / 500000.0::DOUBLE END AS value,
+      WHEN 13 THEN a + 1 / 2000000.0::DOUBLE WHEN 14 THEN a + 1 / 500000.0::DOUBLE
+      WHEN 15 THEN (12345678901234567 * a + b)::DOUBLE WHEN 16 THEN (12345678901234567 * a + b)::DOUBLE
+      WHEN 17 THEN 1e54::DOUBLE WHEN 18 THEN 900719925474099300::DOUBLE / a * b END AS value,
     CASE kind WHEN 0 THEN a // (b * c) WHEN 1 THEN a WHEN 2 THEN 2 * a WHEN 4 THEN b - a - c WHEN 5 THEN a + c
-      WHEN 9 THEN a // 3 WHEN 10 THEN a + 1 ELSE a END AS target,
+      WHEN 9 THEN a // 3 WHEN 10 THEN a + 1 WHEN 15 THEN 12345678901234567 * a + b
+      WHEN 16 THEN 12345678901234567 * a + b + 1 WHEN 17 THEN 0 WHEN 18 THEN 0 ELSE a END AS target,
     CASE kind WHEN 0 THEN a || ' / ' || b || ' / ' || c WHEN 9 THEN a || ' / 3'
-      WHEN 14 THEN a || ' + 1 / 500000' END AS equation
+      WHEN 14 THEN a || ' + 1 / 500000' WHEN 16 THEN '12345678901234567 * ' || a || ' + ' || b
+      WHEN 17 THEN '999999999999999999 * 999999999999999999 * 999999999999999999 - ' || a
+      WHEN 18 THEN '900719925474099300 / ' || a || ' * ' || b END AS equation
   FROM o),
 w AS (
   SELECT *, CASE WHEN kind IN (3, 6, 11) THEN 'processing' WHEN kind IN (7, 8, 12) THEN 'syntax'
-      WHEN abs(value - target) <= 1e-6 THEN 'ok' ELSE 'value' END AS reason_code FROM v)
+      WHEN kind <> 16 AND abs(value - target) <= 1e-6 THEN 'ok' ELSE 'value' END AS reason_code FROM v)
 SELECT idx, reason_code, reason_code = 'ok' AS ok,
   CASE reason_code WHEN 'ok' THEN 'All good' WHEN 'syntax' THEN 'SyntaxError=invalid syntax'
     WHEN 'value' THEN 'Equation ' || equation || ' != ' || target
@@ -344,11 +349,11 @@ def statements() -> dict[str, str]:
         "sql_view": BASE
         + """SELECT idx, CASE WHEN equation IS NULL THEN 'invalid' ELSE reason_code END AS code,
              correct AS ok, result FROM r""",
-        # Left to the host grammar: floats, nesting beyond eight, names, blanks beyond ASCII, long texts, // and 01.
+        # Left to the host grammar: floats, nesting beyond eight, names, blanks beyond ASCII, long texts, // and 01, long integers.
         "sql_verify_plain": _HARD.rsplit("SELECT idx", 1)[0]
-        + """SELECT idx, CASE WHEN kind IN (2, 3, 5, 6, 7, 8, 10, 11, 12) THEN 'other' ELSE reason_code END AS code,
-             kind NOT IN (2, 3, 5, 6, 7, 8, 10, 11, 12) AND reason_code = 'ok' AS ok,
-             CASE WHEN kind NOT IN (2, 3, 5, 6, 7, 8, 10, 11, 12) THEN round(value, 9) END AS result FROM w""",
+        + """SELECT idx, CASE WHEN kind IN (2, 3, 5, 6, 7, 8, 10, 11, 12, 15, 16, 17, 18) THEN 'other' ELSE reason_code END AS code,
+             kind NOT IN (2, 3, 5, 6, 7, 8, 10, 11, 12, 15, 16, 17, 18) AND reason_code = 'ok' AS ok,
+             CASE WHEN kind NOT IN (2, 3, 5, 6, 7, 8, 10, 11, 12, 15, 16, 17, 18) THEN round(value, 9) END AS result FROM w""",
         "sql_function": BASE
         + "SELECT idx, reason_code AS code, correct AS ok, result FROM r WHERE kind = 11",
         "parse_status": BASE + "SELECT idx, kind NOT IN (1, 4, 5, 10, 12) AS parses FROM r",

@@ -33,8 +33,8 @@ def test_scoring_has_one_python_stage_and_adds_no_shuffle(spark, sf):
         scoring.score_responses(answered).filter("correct and equation is not null"),
     ):
         assert len(PYTHON.findall(_plan(df))) == 1
-        # Each form of the evaluation, flat and nested, is in the plan once, also below a filter on its result.
-        assert len(re.findall(r"\baggregate\(", _plan(df))) == 2
+        # Each form of the evaluation, flat, nested and exact, is in the plan once, also below a filter on its result.
+        assert len(re.findall(r"\baggregate\(", _plan(df))) == 3
         assert _plan(df).count("Exchange") == _plan(answered).count("Exchange")
 
 

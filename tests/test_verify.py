@@ -2,6 +2,7 @@
 
 import ast
 import random
+import re
 import warnings
 
 import pytest
@@ -144,6 +145,57 @@ def test_native_grammar_and_value_agree_with_ast(spark):
     assert {("ok", True), ("bad", False), ("other", True), ("other", False)} <= seen
 
 
+def _long_expression(rng, depth):
+    pick = rng.random()
+    if depth == 0 or pick < 0.3:
+        return str(rng.choice([0, 1, 3, 7, rng.randrange(10**9), rng.randrange(10**18), 2**53 + 1, 10**18 - 1]))
+    if pick < 0.4:
+        return rng.choice("+-") + _long_expression(rng, depth - 1)
+    if pick < 0.6:
+        return "(" + _long_expression(rng, depth - 1) + ")"
+    return _long_expression(rng, depth - 1) + rng.choice("++--**/") + _long_expression(rng, depth - 1)
+
+
+def test_long_integers_agree_with_ast_to_the_bit(spark):
+    rng = random.Random(5)
+    texts = sorted({t for t in (_long_expression(rng, rng.randint(1, 4)) for _ in range(8000)) if len(t) <= 256})
+    df = spark.createDataFrame([(t,) for t in texts], "e string").repartition(8)
+    plain = df.filter(A.grammar_status(F.col("e")) == A.OK)
+    rows = plain.select("e", A.evaluate_exact(F.col("e")).alias("v"), A.exactly_evaluable(F.col("e")).alias("short")).collect()
+    told = 0
+    for r in rows:
+        try:
+            want = eval(compile(ast.parse(r.e, mode="eval"), "", "eval"))
+        except ZeroDivisionError:
+            assert r.v.zero_division or r.v.value is None, r.e
+            continue
+        assert not r.v.zero_division, r.e
+        if r.v.value is None:
+            assert not r.short, r.e
+            continue
+        told += 1
+        assert r.v.value == float(want), r.e
+        assert r.v.whole == (want if isinstance(want, int) else None), r.e
+    assert told > 0.75 * len(rows) and len(rows) > 3000
+
+
+def test_verdicts_on_long_integers(spark):
+    rng, rows = random.Random(6), []
+    for text in {_long_expression(rng, rng.randint(1, 3)) for _ in range(1500)}:
+        numbers = [int(d) for d in re.findall("[0-9]+", text)]
+        try:
+            value = eval(text)
+        except (ZeroDivisionError, SyntaxError):
+            value = 0
+        target = int(value) if abs(value) < 2**62 else 1
+        rows += [(len(rows) + k, text, numbers, target + k) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "idx long, equation string, nums array<bigint>, target bigint")
+    shown = ["idx", "ok", "reason_code", "reason", "result"]
+    native = sorted(verify_equations(df).select(*shown).collect())
+    assert native == sorted(verify_equations(df, native=False).select(*shown).collect())
+    assert len({r.reason_code for r in native}) >= 3
+
+
 def test_parse_status(spark):
     df = spark.createDataFrame(
         [("1+1", True), ("x y", False), ("x", True), (None, False), ("2(3)", True), ("1 +", False)],
