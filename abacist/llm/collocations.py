@@ -30,7 +30,7 @@ BITS = 27
 # The low bits of a pair's value; the others name the range whose bits one row holds.
 _LOW = 16
 # Values, and words, that a task combines before it sends them on, and the most rows it sends at once.
-_VALUES_HELD, _WORDS_HELD, _ROWS = 1 << 21, 1 << 19, 1 << 16
+_VALUES_HELD, _WORDS_HELD, _ROWS = 1 << 20, 1 << 21, 1 << 15
 # Parts of a language, so that none gathers in one task.
 _SALTS = 32
 
@@ -45,7 +45,7 @@ class _Reader:
         self.hasher, self.bits = B.Hasher(), bits
 
     def read(self, batch: pa.RecordBatch) -> Iterator[tuple]:
-        """(words, their hashes, text of each, whether the next word follows in the same piece, values of 1 to 3 words)."""
+        """(words, a key of each in its language, text of each, whether the next follows in the same piece, values of 1 to 3 words)."""
         langs = batch["lang_hash"].to_numpy().view(np.uint64)
         for at, texts in B.pieces(batch["text"]):
             words = B.find_words(texts, self.blank, self.fold)
@@ -54,11 +54,12 @@ class _Reader:
             np.cumsum(self.cut[words.buffer], out=cuts[1:])
             follows = (text_of[1:] == text_of[:-1]) & (cuts[words.starts[1:]] == cuts[words.ends[:-1]])
             follows = np.concatenate([follows, [False]])[: len(hashes)]
-            mixed, values = B.mix(hashes + langs[at + text_of]), []
+            keys = mixed = B.mix(hashes + langs[at + text_of])
+            values = []
             for k in range(3):
                 values.append((mixed >> np.uint64(64 - self.bits)).astype(np.int64))
                 mixed = B.mix(mixed * np.uint64(B._ODD) + _ahead(hashes, k + 1))
-            yield words, hashes, at + text_of, follows, values
+            yield words, keys, at + text_of, follows, values
 
 
 def _ahead(x: np.ndarray, k: int) -> np.ndarray:
@@ -135,44 +136,53 @@ def _frequent(docs: DataFrame, least: int, bits: int, known: Broadcast | None =
 
 
 class _Held:
-    """Words of neighbouring texts as numbers, and how far a window goes from each."""
+    """Words of neighbouring texts as numbers, one for each language and word, and how far a window goes from each."""
 
     def __init__(self, longest: int):
-        self.longest, self.numbers, self.spelled = longest, {}, []
-        self.words, self.langs, self.reach, self.n = [], [], [], 0
+        self.longest, self.numbers, self.spelled, self.lang_of = longest, {}, [], []
+        self.words, self.reach, self.n, self.rare = [], [], 0, {}
 
-    def add(self, words: B.Words, hashes: np.ndarray, langs: np.ndarray, reach: np.ndarray) -> None:
-        """``reach`` is the number of words of each word's window, 0 where the word itself is not frequent."""
+    def add(self, words: B.Words, keys: np.ndarray, langs: np.ndarray, reach: np.ndarray) -> None:
+        """``keys`` tell languages and words apart; ``reach`` is the number of words of each word's window, 0 for rare words."""
         use = np.flatnonzero(reach)
-        known, first, at = np.unique(hashes[use], return_index=True, return_inverse=True)
+        known, first, at = np.unique(keys[use], return_index=True, return_inverse=True)
         numbers, before = self.numbers, len(self.numbers)
-        own = np.fromiter((numbers.setdefault(h, len(numbers)) for h in known.tolist()), np.int64, len(known))
+        own = np.fromiter((numbers.setdefault(h, len(numbers)) for h in known.tolist()), np.int32, len(known))
         fresh = use[first[own >= before]]
         buffer = words.buffer.tobytes()
         self.spelled += [buffer[a:b] for a, b in zip(words.starts[fresh].tolist(), words.ends[fresh].tolist())]
-        number = np.zeros(len(hashes), np.int64)
+        self.lang_of += langs[fresh].tolist()
+        for lang, n in zip(*(x.tolist() for x in np.unique(langs[reach == 0], return_counts=True))):
+            self.rare[lang] = self.rare.get(lang, 0) + n
+        number = np.zeros(len(keys), np.int32)
         number[use] = own[at]
-        for x, found in ((self.words, number), (self.langs, langs), (self.reach, reach)):
-            x.append(found)
-        self.n += len(hashes)
+        self.words.append(number)
+        self.reach.append(reach)
+        self.n += len(keys)
 
     def windows(self, names: pa.Array) -> Iterator[pa.RecordBatch]:
         """Distinct windows with their numbers of times; ``names`` are the languages."""
-        words, langs, reach = map(np.concatenate, (self.words, self.langs, self.reach))
-        spelled = pa.array(self.spelled, pa.binary()).cast(pa.string())
-        size, at, key = max(1, len(self.spelled)), np.arange(len(words)), langs
-        for k in range(self.longest + 1):
+        words, reach = np.concatenate(self.words), np.concatenate(self.reach)
+        spelled, lang_of = pa.array(self.spelled, pa.binary()).cast(pa.string()), np.array(self.lang_of, np.int64)
+
+        def rows(lang: np.ndarray, said: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(n), _ROWS):
+                part = slice(i, i + _ROWS)
+                columns = [names.take(pa.array(lang[part])), *[spelled.take(pa.array(w[part])) for w in said]]
+                columns += [pa.nulls(len(n[part]), pa.string())] * (self.longest - len(said)) + [pa.array(n[part])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", *_columns(self.longest), "n"])
+
+        yield from rows(np.array([*self.rare], np.int64), [], np.array([*self.rare.values()], np.int64))
+        at = np.flatnonzero(reach)
+        key = words[at].astype(np.int64)
+        for k in range(1, self.longest + 1):
             # Windows that reach k words, by the number of what they say so far.
-            if k:
-                key = np.unique(key * size + words[at + k - 1], return_inverse=True)[1]
+            if k > 1:
+                key = np.unique(key * len(spelled) + words[at + k - 1], return_inverse=True)[1]
             ends = reach[at] == k
             _, first, n = np.unique(key[ends], return_index=True, return_counts=True)
-            for i in range(0, len(n), _ROWS):
-                start, times = at[ends][first[i : i + _ROWS]], n[i : i + _ROWS]
-                columns = [names.take(pa.array(langs[start]))]
-                columns += [spelled.take(pa.array(words[start + j])) for j in range(k)]
-                columns += [pa.nulls(len(start), pa.string())] * (self.longest - k) + [pa.array(times)]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", *_columns(self.longest), "n"])
+            start = at[ends][first]
+            yield from rows(lang_of[words[start]], [words[start + j] for j in range(k)], n)
             key, at = key[~ends], at[~ends]
 
 
@@ -191,14 +201,14 @@ def _windows(docs: DataFrame, known: list[Broadcast], longest: int, bits: int) -
             own = batch["lang"].dictionary_encode()
             number = np.array([langs.setdefault(x, len(langs)) for x in own.dictionary.to_pylist()], np.int64)
             lang_of = number[own.indices.to_numpy()]
-            for words, hashes, text_of, follows, values in reader.read(batch):
+            for words, keys, text_of, follows, values in reader.read(batch):
                 single, pairs = frequent.words_and_pairs(follows, values)
                 triples = pairs & _ahead(pairs, 1) & frequent.of(1, values[2])
                 reach, still = single.astype(np.int8) + pairs, triples
                 for k in range(3, longest + 1):
                     reach += still
                     still = still & _ahead(triples, k - 2)
-                held.add(words, hashes, lang_of[text_of], reach)
+                held.add(words, keys, lang_of[text_of], reach)
                 if held.n >= _WORDS_HELD:
                     yield from held.windows(pa.array(list(langs), pa.string()))
                     held = _Held(longest)
