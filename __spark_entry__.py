@@ -16,7 +16,7 @@ from abacist.functions import arithmetic as A
 from abacist.functions import prompts as P
 from abacist.functions import text as T
 from abacist.functions.sql import register_sql
-from abacist.operators import curation, dedup, metrics, ordering, scoring, submission
+from abacist.operators import curation, dedup, metrics, ordering, scoring, sketches, submission
 from abacist.operators.batchmap import join_responses
 from abacist.plans import jobs
 from abacist.session import scratch_path
@@ -377,6 +377,49 @@ def metrics_by_step(spark, sf_dir):
     return jobs.evaluate_steps(dev, eval_steps=50, eval_n_quick=100)
 
 
+@query
+def metrics_history(spark, sf_dir):
+    """Two runs over the stored predictions of a training run: the second adds the steps that came since."""
+    split = ordering.make_splits(puzzles.predictions(spark, sf_dir))
+    dev = split.filter("split = 'dev'").drop("split")
+    path = scratch_path(spark, "history")
+    jobs.evaluate_history(dev.filter("step <= 50"), path, eval_steps=25)
+    return jobs.evaluate_history(dev, path, eval_steps=25)
+
+
+@query
+def samples_by_step(spark, sf_dir):
+    return _nums_text(jobs.samples_by_step(scoring.score_responses(puzzles.predictions(spark, sf_dir)), 5))
+
+
+@query
+def lengths_by_chunk(spark, sf_dir):
+    """Lengths from merged sketches of chunks, and whether the percentiles are within the stated error."""
+    answered = puzzles.responses(spark, sf_dir)
+    merged = sketches.merged_lengths(sketches.length_sketches(answered, ["response_n_tokens"]))
+    tokens = answered.select(F.col("response_n_tokens").alias("v"))
+    ranked = tokens.join(merged).groupBy("metric", "n", "mean", "std", "min", "max", "p50", "p95").agg(
+        *[F.count_if(F.col("v") < F.col(p)).alias(f"below_{p}") for p in ("p50", "p95")],
+        *[F.count_if(F.col("v") <= F.col(p)).alias(f"upto_{p}") for p in ("p50", "p95")],
+    )
+    slack = sketches.RANK_ERROR * F.col("n")
+    near = [
+        ((F.col(f"below_{p}") - slack <= q * F.col("n")) & (q * F.col("n") <= F.col(f"upto_{p}") + slack)).alias(f"{p}_near")
+        for p, q in (("p50", 0.5), ("p95", 0.95))
+    ]
+    return _rounded(ranked.select("metric", "n", "mean", "std", "min", "max", *near))
+
+
+@query
+def funnel_by_chunk(spark, sf_dir):
+    """The funnel from merged sketches of chunks, and whether the number of examples is within the stated error."""
+    scored = _scored(spark, sf_dir)
+    merged = sketches.merged_funnel(sketches.key_sketches(scored))
+    exact = curation.curation_funnel(scored).select(F.col("n_after_dedup").alias("exact"))
+    near = F.abs(F.col("n_after_dedup") - F.col("exact")) <= 4 * sketches.DISTINCT_ERROR * F.col("exact")
+    return merged.join(exact).select("n_raw", "n_correct", "correct_share", near.alias("kept_near"))
+
+
 @query
 def reason_histogram(spark, sf_dir):
     return metrics.reason_histogram(_scored(spark, sf_dir))
@@ -779,6 +822,12 @@ def map_batches(spark, sf_dir):
     return jobs.generate(puzzles.problems(spark, sf_dir), _length_responder)
 
 
+@query
+def map_by_length(spark, sf_dir):
+    """Prompts in batches of like length under a budget of tokens."""
+    return jobs.generate(puzzles.problems(spark, sf_dir), _length_responder, token_budget=4096)
+
+
 # Operators for training corpora; the rest works without them.
 try:
     import corpus_pipeline

@@ -122,10 +122,14 @@ def sample_exact_n(
     return taken.orderBy(seeded_key(seed, key), *keys)
 
 
+def last_of_first(df: DataFrame, n: int, index: str = "idx"):
+    """The largest of the ``n`` smallest different values of ``index``; None without rows."""
+    return df.select(index).distinct().orderBy(index).limit(n).agg(F.max(index)).first()[0]
+
+
 def first_by_index(df: DataFrame, n: int, index: str = "idx") -> DataFrame:
     """Rows whose ``index`` is among the ``n`` smallest different ones of the table."""
-    last = df.select(index).distinct().orderBy(index).limit(n).agg(F.max(index)).first()[0]
-    return df.filter(F.col(index) <= F.lit(last))
+    return df.filter(F.col(index) <= F.lit(last_of_first(df, n, index)))
 
 
 def seeded_shuffle(
@@ -198,5 +202,11 @@ def chunk_slice(df: DataFrame, start: int, n: int, index: str = "idx") -> DataFr
     return df.filter((F.col(index) >= start) & (F.col(index) < start + n))
 
 
+def first_k_of_each(df: DataFrame, k: int, by: str, index: str = "idx") -> DataFrame:
+    """The first ``k`` rows by ``index`` for each value of ``by``; a task passes on no more than that of each."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(index))
+    return df.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+
+
 def first_k(df: DataFrame, k: int, index: str = "idx") -> DataFrame:
     return df.orderBy(index).limit(k)

@@ -7,19 +7,24 @@ import warnings
 from collections.abc import Callable
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abacist.functions import prompts as P
 from abacist.functions import text as T
 from abacist.operators import curation, metrics, ordering, submission
-from abacist.operators.batchmap import join_responses, map_batches
+from abacist.operators.batchmap import join_responses, map_batches, map_by_length
 from abacist.operators.scoring import extract_equation, score_responses
 from abacist.sources import readers, sinks
 from abacist.sources.schemas import SFT_TRAIN, TEACHER_CHUNK, require_columns
 
 RESULT = ["idx", "nums", "target", "response", "response_n_tokens", "equation"]
 TEACHER = [*RESULT, "correct", "reason"]
+HISTORY = (
+    "run bigint, step bigint, dev_accuracy double, dev_extracted_rate double, n_dev bigint, "
+    "n_quick bigint, last_idx bigint"
+)
 
 
 def prepare_splits(
@@ -51,9 +56,12 @@ def generate(
     template: P.ChatTemplate = P.ChatTemplate(),
     batch_size: int = 8,
     enable_thinking: bool = True,
+    token_budget: int | None = None,
 ) -> DataFrame:
-    """Responses of a model to every puzzle, by index."""
+    """Responses of a model to every puzzle, by index; with ``token_budget`` in batches of prompts of like length."""
     ready = with_prompts(problems, prompt_builder, template, enable_thinking)
+    if token_budget:
+        return map_by_length(ready, make_responder, token_budget, prompt="prompt_text").select("idx", "response")
     return map_batches(ready, make_responder, batch_size, prompt="prompt_text")
 
 
@@ -190,6 +198,61 @@ def evaluate_steps(
     return metrics.metrics_by_step(score_responses(due))
 
 
+def evaluate_history(
+    predictions: DataFrame, path: str, eval_steps: int, eval_n_quick: int | None = None, again: tuple[int, ...] = ()
+) -> DataFrame:
+    """Dev metrics of the steps that the table ``path`` lacks, added to it; returns the history (:func:`read_history`).
+
+    Later runs read and score only predictions of steps not yet in the table, or
+    named in ``again``: the steps known become a filter that reaches the scan. Which dev
+    rows are the first ``eval_n_quick`` is found by the first run and kept in the table,
+    so all steps are measured on the same rows. The table is only ever
+    appended to; a run that failed has added nothing, or all its steps.
+    """
+    spark = predictions.sparkSession
+    # One row per step and run.
+    known = spark.read.schema(HISTORY).parquet(path).collect() if _exists(spark, path) else []
+    done = sorted({r["step"] for r in known} - set(again))
+    last = next((r["last_idx"] for r in known if r["n_quick"] == eval_n_quick), None)
+    if eval_n_quick and last is None:
+        last = ordering.last_of_first(predictions, eval_n_quick)
+    new = metrics.due_steps(predictions, eval_steps)
+    if done:
+        new = new.filter(~F.col("step").isin(done))
+    if eval_n_quick:
+        new = new.filter(F.col("idx") <= F.lit(last))
+    rows = metrics.metrics_by_step(score_responses(new))
+    run = max((r["run"] for r in known), default=0) + 1
+    tags = {"run": F.lit(run), "n_quick": F.lit(eval_n_quick), "last_idx": F.lit(last)}
+    kept = [F.col(c).cast(t) for c, t in (x.split() for x in HISTORY.split(", "))]
+    rows.withColumns(tags).select(*kept).coalesce(1).write.mode("append").parquet(path)
+    return read_history(spark, path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema(HISTORY).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Dev metrics by step of all runs; of a step measured more than once, those of the latest run."""
+    found = ["run", "dev_accuracy", "dev_extracted_rate", "n_dev"]
+    latest = F.max_by(F.struct(*found), "run").alias("latest")
+    table = spark.read.schema(HISTORY).parquet(path)
+    return table.groupBy("step").agg(latest).select("step", *[f"latest.{c}" for c in found])
+
+
+def samples_by_step(scored: DataFrame, n: int = 3) -> DataFrame:
+    """The first responses of every step, cut for reading."""
+    shown = scored.select("step", "idx", "nums", "target", T.sample_text(F.col("response")).alias("response"), "equation")
+    return ordering.first_k_of_each(shown, n, "step")
+
+
 def dev_samples(scored: DataFrame, n: int = 3) -> DataFrame:
     """The first responses, cut for reading."""
     return ordering.first_k(

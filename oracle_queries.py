@@ -290,6 +290,20 @@ def statements() -> dict[str, str]:
         + f""", d AS (SELECT * FROM (SELECT *, {_SPLIT} FROM r) WHERE split = 'dev' ORDER BY idx LIMIT 100)
               SELECT step, {_DEV} FROM (SELECT *, 25 * (idx % 5) AS step FROM d)
               WHERE step IN (50, 100) GROUP BY step""",
+        "metrics_history": BASE
+        + f""", d AS (SELECT *, 25 * (idx % 5) AS step FROM (SELECT *, {_SPLIT} FROM r) WHERE split = 'dev')
+              SELECT step, {_DEV}, CAST(CASE WHEN step <= 50 THEN 1 ELSE 2 END AS BIGINT) AS run
+              FROM d WHERE step > 0 GROUP BY step""",
+        "samples_by_step": BASE
+        + """SELECT 25 * (idx % 5) AS step, idx, nums, target, left(response, 300) AS response, equation FROM r
+             QUALIFY row_number() OVER (PARTITION BY idx % 5 ORDER BY idx) <= 5""",
+        "lengths_by_chunk": BASE
+        + """SELECT 'response_n_tokens' AS metric, CAST(count(*) AS BIGINT) AS n, round(avg(response_n_tokens), 6) AS mean,
+             round(stddev_samp(response_n_tokens), 6) AS std, min(response_n_tokens) AS "min",
+             max(response_n_tokens) AS "max", TRUE AS p50_near, TRUE AS p95_near FROM r""",
+        "funnel_by_chunk": BASE
+        + """SELECT CAST(count(*) AS BIGINT) AS n_raw, CAST(count_if(correct) AS BIGINT) AS n_correct,
+             CAST(count_if(correct) AS DOUBLE) / count(*) AS correct_share, TRUE AS kept_near FROM r""",
         "reason_histogram": BASE
         + """SELECT reason_code, CAST(count(*) AS BIGINT) AS n,
              CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM r) AS share FROM r GROUP BY reason_code""",
@@ -417,4 +431,5 @@ def statements() -> dict[str, str]:
         "stream_counters": BASE
         + f"SELECT chunk, CAST(count(*) AS BIGINT) AS n_examples, {_COUNTS} FROM r GROUP BY chunk",
         "map_batches": BASE + f"SELECT idx, CAST(length({_PROMPT}) AS VARCHAR) AS response FROM r",
+        "map_by_length": BASE + f"SELECT idx, CAST(length({_PROMPT}) AS VARCHAR) AS response FROM r",
     }
