@@ -20,6 +20,8 @@ BITS, BYTES = 64, 8
 # split by further bytes, and then by flipped bits.
 BUCKET = 4096
 _LAST = (1 << 63) - 1
+# Three of the first four bytes or of the last four.
+_FIRST = [s for half in (range(4), range(4, 8)) for s in combinations(half, 3)]
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -42,16 +44,18 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` for every row; ``fp`` is the fingerprint as a signed long."""
+    """``doc_id, tag, fp`` for every row; ``tag`` is a hash of the text, ``fp`` the fingerprint as a signed long."""
+    names = ["doc_id", "tag", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter(
                 (fingerprint(t.as_py(), shingle) for t in batch["text"].cast(pa.binary())), np.uint64, len(batch)
             )
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tag"], pa.array(found.view(np.int64))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text")
+    return docs.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def _byte(fp: Column, i: int) -> Column:
@@ -59,16 +63,30 @@ def _byte(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * (BYTES - 1 - i)).bitwiseAND(F.lit(0xFF))
 
 
-def _index(values: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
-    """Inverted index of positional bytes: a row for each value and each set of byte positions."""
-    fp = F.col("fp")
+def _keys(sets: list[tuple[int, ...]]) -> Column:
+    """The keys of a value: for each of ``sets`` its number and the bytes at those positions."""
     keys = []
     for n, positions in enumerate(sets):
         key = F.lit(n).cast("long")
         for i in positions:
-            key = F.shiftleft(key, 8).bitwiseOR(_byte(fp, i))
+            key = F.shiftleft(key, 8).bitwiseOR(_byte(F.col("fp"), i))
         keys.append(key)
-    return values.select(*values.columns, F.explode(F.array(*keys)).alias("next"))
+    return F.array(*keys)
+
+
+def _index(values: DataFrame) -> DataFrame:
+    """Inverted index of positional bytes: a row for each value and each set of byte positions."""
+    return values.select("fp", F.explode(_keys(_FIRST)).alias("key"))
+
+
+def _finer(large: DataFrame) -> DataFrame:
+    """The values of large buckets, by each two bytes that the bucket's key lacks."""
+    number = F.shiftright("key", 24)
+    keys = F.lit(None).cast("array<long>")
+    for n, positions in enumerate(_FIRST):
+        others = [i for i in range(BYTES) if i not in positions]
+        keys = F.when(number == n, _keys(list(combinations(others, 2)))).otherwise(keys)
+    return large.select("key", "fp", F.explode(keys).alias("next"))
 
 
 def _forest(values: np.ndarray, distance: int, shared: int) -> list[tuple[int, int]]:
@@ -155,13 +173,11 @@ def near_links(values: DataFrame, distance: int = 3, bucket: int = BUCKET) -> Da
     """
     if distance != 3:
         raise ValueError("the index keys are laid out for three differing bits")
-    first = [s for half in (range(4), range(4, 8)) for s in combinations(half, 3)]
-    index = _index(values.select("fp"), first).withColumnRenamed("next", "key")
+    index = _index(values)
     index = settle(index.join(_sizes(index, ["key"]), "key"), "simhash-index")
     small = _within(index.filter(F.col("size") <= bucket), ["key"], distance)
     large = index.filter(F.col("size") > bucket).select("key", "fp")
-    pairs = list(combinations(range(BYTES), 2))
-    finer = _index(large, pairs)
+    finer = _finer(large)
     finer = finer.join(_sizes(finer, ["key", "next"]), ["key", "next"])
     middle = _within(finer.filter(F.col("size") <= bucket), ["key", "next"], distance)
     rest = _flipped(finer.filter(F.col("size") > bucket), distance)
@@ -178,6 +194,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, bucket
     returned too; it counts as the largest id, and its component is NULL when no
     other row has one. Rows that repeat an id are separate documents.
     """
+    known, ids = _grouped(docs, shingle, distance, bucket)
+    return known.join(ids, "fp").select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.when(F.col("least_id") < _LAST, F.col("least_id")).alias("component_id"),
+    )
+
+
+def _grouped(docs: DataFrame, shingle: int, distance: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with their fingerprints, and of each fingerprint its group and the smallest id there."""
     known = settle(fingerprints(docs, shingle), "fingerprints")
     values = known.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("first_id"))
     values = settle(values, "fingerprint-values")
@@ -185,29 +211,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, bucket
     parts = settle(components(near_links(values, distance, bucket)), "fingerprint-components")
     joined = values.join(parts, values["fp"] == parts["node"]).select("fp", "component", "first_id")
     least = joined.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    linked = joined.join(least, "component").select("fp", "least_id")
+    linked = joined.join(least, "component").select("fp", "component", "least_id")
     # Stored, so that the last join is of two plain tables and a hot fingerprint can be split in it.
-    ids = settle(
-        values.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("least_id")),
-        "fingerprint-ids",
-    )
-    return known.join(ids, "fp").select(
-        "doc_id",
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("least_id") < _LAST, F.col("least_id")).alias("component_id"),
-    )
+    group, least_id = F.coalesce("component", "fp").alias("group"), F.coalesce("least_id", "first_id").alias("least_id")
+    return known, settle(values.join(linked, "fp", "left").select("fp", group, least_id), "fingerprint-ids")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, all columns as they were.
 
-    The row with the group's smallest id stays; of rows that repeat that id, one
-    does. A row without an id cannot be named as a group's member and stays.
+    The row with the group's smallest id stays; of rows of the group that repeat that
+    id, the one with the smallest hash of its text. Rows of other groups with the same
+    id are other documents, whose groups keep a row of their own. A row without an id
+    cannot be named as a group's member and stays.
     """
-    groups = near_duplicates(docs, shingle, distance)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    known, ids = _grouped(docs, shingle, distance, BUCKET)
+    first = known.join(ids, "fp").filter(F.col("doc_id") == F.col("least_id"))
+    kept = first.groupBy("group").agg(F.min("tag").alias("tag"), F.min("doc_id").alias("id")).drop("group")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("id", F.col("row.doc_id").cast("long"))
-    order = Window.partitionBy("id").orderBy(F.xxhash64("row"))
-    named = rows.join(kept, "id", "left_semi").withColumn("rank", F.row_number().over(order))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("tag"))
+    order = Window.partitionBy("id", "tag").orderBy(F.xxhash64("row"))
+    named = rows.join(kept, ["id", "tag"], "left_semi").withColumn("rank", F.row_number().over(order))
     return named.filter("rank = 1").select("row.*").union(rows.filter("id is null").select("row.*"))

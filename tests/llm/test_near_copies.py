@@ -82,10 +82,43 @@ def test_simhash_of_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 7, 8, 9, 10, 11]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 2, 3, 4, 7, 8, 9, 10, 11]
     assert simhash.keep_one(no_docs).count() == 0
 
 
+def test_rows_with_one_id_are_documents_of_their_own(spark):
+    """Two unrelated texts under one id both stay, each for its group; a copy under another id goes."""
+    rng = random.Random(9)
+    one, two, three = (" ".join(str(rng.random()) for _ in range(80)) for _ in range(3))
+    rows = [(5, one), (5, two), (5, two), (7, one), (8, two), (9, three), (3, three), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert kept == Counter([(5, one), (5, two), (3, three), (None, one)])
+
+
+def test_large_buckets_of_far_values_are_split_by_their_other_bytes(spark, monkeypatch):
+    seen, flipped = [], simhash._flipped
+
+    def watching(values, distance):
+        seen.append(values.count())
+        return flipped(values, distance)
+
+    monkeypatch.setattr(simhash, "_flipped", watching)
+    rng = random.Random(2)
+    values = {0xABCDEF << 40 | rng.getrandbits(40) for _ in range(3000)}
+    values |= {v ^ 1 << rng.randrange(64) for v in rng.sample(sorted(values), 40)}
+    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    got = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in simhash.near_links(frame, 3, 64).collect()}
+    assert seen == [0]
+    array = np.array(sorted(values), np.uint64)
+    near = {
+        frozenset((int(v), int(w)))
+        for i, v in enumerate(array)
+        for w in array[i + 1 :][np.bitwise_count(array[i + 1 :] ^ v) <= 3]
+    }
+    assert got <= near and slow_components([sorted(x) for x in got], values) == slow_components([sorted(x) for x in near], values)
+
+
 def slow_removal(rows, length=20):
     """Flags of the words of each (id, text), by a table of all windows."""
     first = {}
