@@ -8,7 +8,6 @@ at these places, so equal stretches share one encoding, for some time also over
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Callable
 
@@ -36,23 +35,24 @@ class ByteEncoder:
     """Ids of texts by a byte-level tokenizer without a normalizer whose only special token is ``mark``."""
 
     def __init__(self, definition: str, mark: str = "<|endoftext|>"):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         # Spark's tasks are the parallel part.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole, self.mark = Tokenizer.from_str(definition), mark
-        self.mark_id = self.whole.token_to_id(mark)
-        parts = json.loads(definition)
-        steps = [{"type": "WhitespaceSplit"}]
-        steps.append({"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False})
-        self.led = Tokenizer.from_str(json.dumps(parts | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}))
-        self.leads = np.zeros(self.whole.get_vocab_size(), bool)
+        self.tokenizer, self.mark = Tokenizer.from_str(definition), mark
+        self.mark_id = self.tokenizer.token_to_id(mark)
+        self.own = self.tokenizer.pre_tokenizer
+        led = pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)
+        self.led = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), led])
         self.kept, self.kept_ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
-        self.leads[[i for piece, i in parts["model"]["vocab"].items() if piece.startswith(_SPACE)]] = True
-
-    @staticmethod
-    def _joined(tokenizer, texts: list[str]) -> np.ndarray:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(len(vocabulary), bool)
+        self.leads[[i for piece, i in vocabulary.items() if piece.startswith(_SPACE)]] = True
+
+    def _joined(self, cut, texts: list[str]) -> np.ndarray:
+        """Ids of ``texts`` in one array, cut by the pre-tokenizer ``cut``."""
+        self.tokenizer.pre_tokenizer = cut
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return np.concatenate([np.zeros(0, "<u4"), *[np.array(e.ids, "<u4") for e in found]])
 
     def _distinct(self, stretches: pa.StringArray) -> pa.ListArray:
@@ -63,7 +63,7 @@ class ByteEncoder:
         words = self._joined(self.led, ["".join(words[i : i + _AT_ONCE]) for i in range(0, len(words), _AT_ONCE)])
         starts = np.flatnonzero(self.leads[words])
         blocks = (others[i : i + _AT_ONCE] for i in range(0, len(others), _AT_ONCE))
-        found = self._joined(self.whole, [self.mark.join([*b, ""]) for b in blocks])
+        found = self._joined(self.own, [self.mark.join([*b, ""]) for b in blocks])
         ends = np.flatnonzero(found == self.mark_id)
         sizes = np.concatenate([np.diff(starts, append=len(words)), np.diff(ends, prepend=-1) - 1])
         both = _lists(sizes, np.concatenate([words, np.delete(found, ends)]))
@@ -104,7 +104,7 @@ class ByteEncoder:
         odd = pc.or_(pc.match_substring(texts, self.mark), pc.match_substring_regex(texts, f"{_BLANK} (?:{_BLANK}|$)"))
         odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(odd):
-            alone = {i: self._joined(self.whole, [texts[i].as_py()]) for i in odd.tolist()}
+            alone = {i: self._joined(self.own, [texts[i].as_py()]) for i in odd.tolist()}
             texts = pc.if_else(pa.array(np.isin(np.arange(len(texts)), odd)), "", texts)
         lists = pc.split_pattern(texts, " ")
         counts = lists.value_lengths().to_numpy().astype(np.int64)
