@@ -232,6 +232,56 @@ def test_embeddings_of_repeated_rows(spark):
     assert got == sorted([(1, 3, 1)] * 3 + [(2, 3, 1), (None, 0, None), (3, 0, 3)], key=str)
 
 
+def test_one_id_under_several_labels_and_with_vectors_that_cannot_link(spark):
+    """Each row has the links of its own label and vector, and no row is lost."""
+    near = [1.0, 0.01, 0.0]
+    rows = [
+        (1, [1.0, 0.0, 0.0], "a"), (1, [1.0, 0.0, 0.0], "b"), (2, near, "a"), (3, near, "b"), (3, [0.0, 1.0, 0.0], "b"),
+        (1, None, "a"), (2, [0.0, 0.0, 0.0], "a"), (3, [float("nan"), 1.0, 0.0], "b"), (1, near, None), (4, [1.0, 0.0], "a"),
+        (5, [1.0, None, 0.0], "a"), (6, [float("inf"), 0.0, 0.0], "a"), (None, near, "a"), (0, [0.0, 1.0, 0.001], "b"),
+    ]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(frame).collect())
+    assert got == Counter(
+        [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 0, False), (0, 1, 0, True)]
+        + [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (1, 0, 1, True), (4, 0, 4, True), (5, 0, 5, True)]
+        + [(6, 0, 6, True), (None, 0, None, True)]
+    )
+
+
+@pytest.mark.parametrize("n, planted", [(5_000, 400), (24_000, 1_500)])
+def test_planted_links_are_found_across_shards(spark, n, planted):
+    """Recall of at least 0.99 of planted near copies, in one label of several shards."""
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n, 32))
+    copies = base[:planted] + rng.normal(size=(planted, 32)) * 0.02
+    vectors = np.concatenate([base, copies]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    rows = {r.vec_id: r for r in hnsw.near_duplicates(frame.repartition(8)).collect()}
+    exact = vectors.astype(np.float64)
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    true = np.zeros(len(exact), np.int64)
+    for at in range(0, len(exact), 2000):
+        true[at : at + 2000] = (exact[at : at + 2000] @ exact.T >= 0.98).sum(axis=1) - 1
+    found = np.array([rows[i].n_links for i in range(len(exact))])
+    assert true.sum() >= 1.9 * planted and (found <= true).all()
+    assert found.sum() >= 0.99 * true.sum()
+    joined = [rows[n + i].component_id == i for i in range(planted) if true[n + i] == 1 and true[i] == 1]
+    assert sum(joined) >= 0.99 * len(joined) and len(joined) > planted / 2
+
+
+def test_an_audit_counts_links_between_different_vectors():
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(500, 16))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    own = np.arange(500)
+    asked, true = hnsw.audit(hnsw.Graph(vectors), vectors, 0.999, own)
+    assert len(asked) == 500 and sum(map(len, true)) == 0
+    close = np.concatenate([vectors, vectors[:300]])
+    asked, true = hnsw.audit(hnsw.Graph(close), close, 0.999, np.arange(800))
+    assert hnsw.LINKS_SEEN <= sum(map(len, true)) < 600 and len(asked) < 800
+
+
 def test_graph_finds_what_a_scan_finds():
     rng = np.random.default_rng(3)
     base = rng.normal(size=(600, 32))
