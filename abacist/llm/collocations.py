@@ -6,10 +6,11 @@ windows are counted; Spark's ROLLUP sums them over ever shorter prefixes, which
 the count of every phrase and word and of all words of a language.
 
 A window goes on only while what it holds can be frequent. For this a first pass counts the
-words and pairs of all texts, and a second one the triples made of frequent pairs, by
-a hash of ``bits`` bits; what goes back to the tasks is one bit for each value, 16 MB a
-pass at any size of the input. What is below the least count may share its value
-with others and stay, which costs time and changes nothing.
+words and pairs of all texts, a second one the triples made of frequent pairs, and a third
+the fours made of frequent triples, by a hash of ``bits`` bits; what goes back to the
+tasks is one bit for each value, 16 MB a pass at any size of the input. What is
+below the least count may share its value with others and stay, which costs time
+and changes nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ BITS = 27
 # The low bits of a pair's value; the others name the range whose bits one row holds.
 _LOW = 16
 # Values, and words, that a task combines before it sends them on, and the most rows it sends at once.
-_VALUES_HELD, _WORDS_HELD, _ROWS = 1 << 20, 1 << 21, 1 << 15
+_VALUES_HELD, _WORDS_HELD, _ROWS = 1 << 20, 1 << 22, 1 << 15
+# Longest phrases that are counted by their hash beforehand.
+_COUNTED = 4
 # Parts of a language, so that none gathers in one task.
 _SALTS = 32
 
@@ -38,14 +41,14 @@ _CUTS, _BLANKS = b".,;:!?\n\v\f\r", b" \t"
 
 
 class _Reader:
-    """Words of texts, lower-cased, with the values of the words, pairs and triples that start at each."""
+    """Words of texts, lower-cased, with the values of the phrases of up to four words that start at each."""
 
     def __init__(self, bits: int):
         self.blank, self.cut, self.fold = B.table(_CUTS + _BLANKS), B.table(_CUTS), B.ascii_lower()
         self.hasher, self.bits = B.Hasher(), bits
 
     def read(self, batch: pa.RecordBatch) -> Iterator[tuple]:
-        """(words, a key of each in its language, text of each, whether the next follows in the same piece, values of 1 to 3 words)."""
+        """(words, a key of each in its language, text of each, whether the next follows in the same piece, values of phrases of each size)."""
         langs = batch["lang_hash"].to_numpy().view(np.uint64)
         for at, texts in B.pieces(batch["text"]):
             words = B.find_words(texts, self.blank, self.fold)
@@ -56,7 +59,7 @@ class _Reader:
             follows = np.concatenate([follows, [False]])[: len(hashes)]
             keys = mixed = B.mix(hashes + langs[at + text_of])
             values = []
-            for k in range(3):
+            for k in range(_COUNTED):
                 values.append((mixed >> np.uint64(64 - self.bits)).astype(np.int64))
                 mixed = B.mix(mixed * np.uint64(B._ODD) + _ahead(hashes, k + 1))
             yield words, keys, at + text_of, follows, values
@@ -76,9 +79,17 @@ class _Bits:
     def of(self, number: int, values: np.ndarray) -> np.ndarray:
         return (self.maps[number][values >> 3] >> (values & 7).astype(np.uint8)) & 1 > 0
 
-    def words_and_pairs(self, follows: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        words = self.of(0, values[0])
-        return words, follows & words & _ahead(words, 1) & self.of(0, values[1])
+    def spans(self, follows: np.ndarray, values: list[np.ndarray], longest: int) -> Iterator[np.ndarray]:
+        """For each size from 1 to ``longest``, where a phrase starts that can be frequent as far as is known."""
+        here = self.of(0, values[0])
+        yield here
+        here = follows & here & _ahead(here, 1) & self.of(0, values[1])
+        yield here
+        for k in range(3, longest + 1):
+            here = here & _ahead(here, 1)
+            if k - 2 < len(self.maps):
+                here &= self.of(k - 2, values[k - 1])
+            yield here
 
 
 def _packed(values: np.ndarray) -> pa.RecordBatch:
@@ -92,19 +103,23 @@ def _packed(values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at), pa.array(rows, pa.binary())], ["part", "data"])
 
 
-def _frequent(docs: DataFrame, least: int, bits: int, known: Broadcast | None = None) -> Broadcast:
-    """A bit for each value: whether words and pairs with it, or once these are ``known`` triples, number ``least`` together."""
+def _frequent(docs: DataFrame, least: int, bits: int, known: list[Broadcast]) -> Broadcast:
+    """A bit for each value: whether phrases with it number ``least`` together.
+
+    Without ``known`` these are words and pairs, else phrases of one word more than
+    what is known, made of such that can be frequent.
+    """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, held, n = _Reader(bits), [], 0
-        frequent = known and _Bits(known.value)
+        frequent, size = _Bits(*[x.value for x in known]), len(known) + 2
         for batch in parts:
             for _, _, _, follows, values in reader.read(batch):
-                if frequent is None:
+                if size == 2:
                     held += [values[0], values[1][follows]]
                 else:
-                    _, pairs = frequent.words_and_pairs(follows, values)
-                    held.append(values[2][pairs & _ahead(pairs, 1)])
+                    *_, there = frequent.spans(follows, values, size)
+                    held.append(values[size - 1][there])
                 n += len(follows)
                 if n >= _VALUES_HELD:
                     yield _packed(np.concatenate(held))
@@ -173,12 +188,14 @@ class _Held:
                 yield pa.RecordBatch.from_arrays(columns, ["lang", *_columns(self.longest), "n"])
 
         yield from rows(np.array([*self.rare], np.int64), [], np.array([*self.rare.values()], np.int64))
-        at = np.flatnonzero(reach)
+        single = np.bincount(words[reach == 1], minlength=len(spelled))
+        alone = np.flatnonzero(single)
+        yield from rows(lang_of[alone], [alone], single[alone])
+        at = np.flatnonzero(reach > 1)
         key = words[at].astype(np.int64)
-        for k in range(1, self.longest + 1):
+        for k in range(2, self.longest + 1):
             # Windows that reach k words, by the number of what they say so far.
-            if k > 1:
-                key = np.unique(key * len(spelled) + words[at + k - 1], return_inverse=True)[1]
+            key = np.unique(key * len(spelled) + words[at + k - 1], return_inverse=True)[1]
             ends = reach[at] == k
             _, first, n = np.unique(key[ends], return_index=True, return_counts=True)
             start = at[ends][first]
@@ -202,12 +219,9 @@ def _windows(docs: DataFrame, known: list[Broadcast], longest: int, bits: int) -
             number = np.array([langs.setdefault(x, len(langs)) for x in own.dictionary.to_pylist()], np.int64)
             lang_of = number[own.indices.to_numpy()]
             for words, keys, text_of, follows, values in reader.read(batch):
-                single, pairs = frequent.words_and_pairs(follows, values)
-                triples = pairs & _ahead(pairs, 1) & frequent.of(1, values[2])
-                reach, still = single.astype(np.int8) + pairs, triples
-                for k in range(3, longest + 1):
-                    reach += still
-                    still = still & _ahead(triples, k - 2)
+                reach = np.zeros(len(follows), np.int8)
+                for there in frequent.spans(follows, values, longest):
+                    reach += there
                 held.add(words, keys, lang_of[text_of], reach)
                 if held.n >= _WORDS_HELD:
                     yield from held.windows(pa.array(list(langs), pa.string()))
@@ -226,8 +240,9 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: i
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     docs = docs.withColumn("lang_hash", F.xxhash64("lang"))
     columns = _columns(longest)
-    known = [_frequent(docs, least, bits)]
-    known.append(_frequent(docs, least, bits, known[0]))
+    known = []
+    for _ in range(2, min(longest, _COUNTED) + 1):
+        known.append(_frequent(docs, least, bits, known))
     windows = _windows(docs, known, longest, bits)
     sums = windows.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("left_out"))
     # A prefix of k words leaves out the lowest longest - k columns; its last word is there.
