@@ -1,20 +1,24 @@
 """Cross-entropy difference: how much likelier a text is under a target model than under a background one.
 
-Both models are interpolated bigram models over all words of the corpus, smoothed
-alike (absolute discounting down to an even spread), so a text's score compares
-only what the two corpora say about its words.
+Both models are bigram models over all words of the corpus. A pair's share of its context
+is smoothed towards the share of the word, and that towards an even spread; the
+background's counts are scaled to the target's number of words, so both lean on
+their counts alike. A text's own counts are left out of the target model, so a text
+of the target is scored as one that the target lacks. They stay in the background,
+where every text has its own: without them there, a text of words that
+nothing else has would be as unlikely under both models and look neutral.
 
 Neither model is ever in one place. Texts are packed into blocks of some megabytes;
-a block sends each of its different pairs once to the bucket of the pair's hash,
+a block sends each of its different words and pairs once to the bucket of its hash,
 where counts are summed over all blocks, and gets them back in the order it sent
-them. Words go the same way. A block and a bucket have a bounded size; their number
-grows with the input.
+them. A block and a bucket have a bounded size; their number grows with the input.
 """
 
 from __future__ import annotations
 
 import pickle
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,55 +29,48 @@ from pyspark.sql import functions as F
 from abacist.llm import batches as B
 from abacist.session import settle
 
-# The even spread is over so many words, or over all different ones where there are more.
-VOCABULARY = 1 << 20
-DISCOUNT = 0.75
+# Parameters of the models: words of the even spread and what each counts for, and the
+# number of words that a context's own counts are weighed against.
+VOCABULARY, EVEN = 1 << 20, 0.5
+PRIOR = 200.0
 BLOCK_BYTES = 1 << 21
 # Words of all texts for each bucket, which bounds the rows it gets.
 BUCKET = 1 << 20
+# Ids of target documents that every task may hold: 8 MB. More are joined by a shuffle.
+IDS_HELD = 1 << 20
 
 _EDGE = np.array([0x5DEECE66D], np.uint64)  # stands for what precedes a text's first word
-_ROWS = "block long, kind int, bucket int, data binary, counts binary"
-_BLOCK, _PAIRS, _WORDS = range(3)
+_SENT = "block long, kind int, bucket int, hashes binary, counts binary"
+_COUNTED = "block long, kind int, bucket int, counts binary"
+_PAIRS, _WORDS = 1, 2
+# Bytes of a hash that are sent; its bucket is known besides.
+_HASH = 6
 
 
-def _word_hashes(texts: list[bytes], blank: np.ndarray, fold: np.ndarray, hasher: B.Hasher):
-    words = B.find_words(texts, blank, fold)
-    return words, hasher.words(words)
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bytes of 64-bit values, byte by byte, so that what small ones have in common lies together."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of all different words; for looking at small tables, scores are made without it."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blank, fold, hasher = B.table(B.BLANKS), B.ascii_lower(), B.Hasher()
-        for batch in parts:
-            for _, texts in B.pieces(batch["text"]):
-                word = np.unique(_word_hashes(texts, blank, fold, hasher)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64))], ["word"])
-
-    found = docs.select("text").mapInArrow(run, "word long").distinct().toArrow()["word"].to_numpy()
-    return np.sort(found.view(np.uint64))
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """64-bit values, first bytes first, so that what small ones have in common lies together."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _of_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+def _of_planes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view(np.int64).ravel()
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs (doc_id, text, target)`` and the number of words in each."""
+    """Blocks of ``docs (doc_id, text, target)``, with their numbers of words and of texts that have any, in all and in the target."""
+    names = ["block", "data", "words", "target_words", "texts", "target_texts"]
 
     def packed(ids: list, target: list, sizes: list, hashes: list) -> pa.RecordBatch:
         known, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        data = pickle.dumps((ids, np.concatenate(target), bounds, known, place.astype(np.uint32)))
-        row = ((uuid.uuid4().int >> 65, pa.int64()), (data, pa.binary()), (len(place), pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], ["block", "data", "n"])
+        target, sizes = np.concatenate(target), np.concatenate(sizes)
+        places = zlib.compress(_planes(place.astype(np.int64), 4), 1)
+        data = pickle.dumps((ids, target, sizes.astype(np.int32), known, places))
+        some = sizes > 0
+        figures = [sizes.sum(), sizes[target].sum(), some.sum(), (some & target).sum()]
+        row = [(uuid.uuid4().int >> 65, pa.int64()), (data, pa.binary()), *[(int(x), pa.int64()) for x in figures]]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank, fold, hasher = B.table(B.BLANKS), B.ascii_lower(), B.Hasher()
@@ -81,9 +78,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
         for batch in parts:
             flags = batch["target"].to_numpy(zero_copy_only=False)
             for at, texts in B.pieces(batch["text"]):
-                words, hashes = _word_hashes(texts, blank, fold, hasher)
+                words = B.find_words(texts, blank, fold)
                 held[0].extend(batch["doc_id"][at : at + len(texts)].to_pylist())
-                for x, found in zip(held[1:], (flags[at : at + len(texts)], np.diff(words.bounds), hashes)):
+                for x, found in zip(held[1:], (flags[at : at + len(texts)], np.diff(words.bounds), hasher.words(words))):
                     x.append(found)
                 used += len(words.buffer)
                 if used >= BLOCK_BYTES:
@@ -92,189 +89,157 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if held[0]:
             yield packed(*held)
 
-    return docs.mapInArrow(run, "block long, data binary, n long")
+    schema = "block long, data binary, words long, target_words long, texts long, target_texts long"
+    return docs.mapInArrow(run, schema)
 
 
 class _Block:
     """A block's texts as places in its own sorted words, and its different pairs ordered by their hash."""
 
     def __init__(self, data: bytes):
-        self.ids, target, self.bounds, known, place = pickle.loads(data)
-        self.place, self.known = place.astype(np.int64), np.concatenate([known, _EDGE])
-        edge, sizes = len(known), np.diff(self.bounds)
+        self.ids, target, self.sizes, self.known, places = pickle.loads(data)
+        self.bounds = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        self.place = _of_planes(zlib.decompress(places), 4)
+        edge, self.firsts = len(self.known), self.bounds[:-1][self.sizes > 0]
         before = np.concatenate([[edge], self.place[:-1]])[: len(self.place)]
-        before[self.bounds[:-1][sizes > 0]] = edge
-        self.before, self.target = before, np.repeat(target, sizes)
+        before[self.firsts] = edge
+        self.before, self.target = before, np.repeat(target, self.sizes)
         code, which = np.unique(before * (edge + 1) + self.place, return_inverse=True)
-        context, word = code // (edge + 1), code % (edge + 1)
-        hashes = B.mix(B.mix(self.known[context]) * np.uint64(B._ODD) + self.known[word])
+        known = np.concatenate([self.known, _EDGE])
+        hashes = B.mix(B.mix(known[code // (edge + 1)]) * np.uint64(B._ODD) + self.known[code % (edge + 1)])
         order = np.argsort(hashes, kind="stable")
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
-        self.hashes, self.context, self.which = hashes[order], context[order], back[which]
+        self.hashes, self.which = hashes[order], back[which]
 
-    def sums(self, at: np.ndarray, weights: np.ndarray | None = None, size: int | None = None) -> np.ndarray:
-        return np.bincount(at, weights, len(self.known) if size is None else size).astype(np.int64)
+    def counts(self, at: np.ndarray, size: int) -> list[np.ndarray]:
+        """How often each of ``size`` numbers is in ``at``, in all texts and in those of the target."""
+        return [np.bincount(at, minlength=size), np.bincount(at[self.target], minlength=size)]
 
-    def pairs(self) -> list[np.ndarray]:
-        n = len(self.hashes)
-        return [self.sums(self.which, None, n), self.sums(self.which, self.target, n)]
+    def own(self, at: np.ndarray, size: int) -> np.ndarray:
+        """How often each entry of ``at`` is there in its own text."""
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        _, where, n = np.unique(text * size + at, return_inverse=True, return_counts=True)
+        return n[where]
 
-    def words(self, counts: list[np.ndarray]) -> list[np.ndarray]:
-        """Of each word and the edge: number, number before another, kinds that follow; each in all texts and the target."""
-        owned = counts[2]
-        return [
-            self.sums(self.place), self.sums(self.place, self.target),
-            self.sums(self.before), self.sums(self.before, self.target),
-            self.sums(self.context, owned & 1), self.sums(self.context, owned >> 1),
-        ]
 
-
-def _sent(block: int, kind: int, hashes: np.ndarray, counts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+def _rows(block: int, kind: int, hashes: np.ndarray, counts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """Rows for the buckets of ``hashes``, which are sorted."""
     bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     to, starts = np.unique(bucket, return_index=True)
     cuts = list(zip(starts, [*starts[1:], len(hashes)]))
-    return _rows(
-        [block] * len(to), kind, to.astype(np.int32), [_planes(hashes[a:b]) for a, b in cuts],
-        [_planes(np.concatenate([c[a:b] for c in counts])) for a, b in cuts],
-    )
-
-
-def _rows(block, kind: int, bucket, data, counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(block, pa.int64()), pa.array([kind] * len(block), pa.int32()), pa.array(bucket, pa.int32()),
-         pa.array(data, pa.binary()), pa.array(counts, pa.binary())],
-        ["block", "kind", "bucket", "data", "counts"],
-    )
-
+    columns = [
+        pa.array([block] * len(to), pa.int64()), pa.array([kind] * len(to), pa.int32()), pa.array(to.astype(np.int32)),
+        pa.array([_planes(hashes[a:b], _HASH) for a, b in cuts], pa.binary()),
+        pa.array([_planes(np.concatenate([c[a:b] for c in counts]), 4) for a, b in cuts], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["block", "kind", "bucket", "hashes", "counts"])
 
-def _counts(rows: pa.Table, columns: int) -> tuple[list[int], list[np.ndarray]]:
-    """Number of entries of each row, and the columns of all rows one after the other."""
-    found = [_of_planes(c).reshape(columns, -1) for c in rows["counts"].to_pylist()]
-    return [f.shape[1] for f in found], list(np.concatenate([np.zeros((columns, 0), np.int64), *found], axis=1))
 
+def _sent(blocks: DataFrame, buckets: int) -> DataFrame:
+    """The different pairs and words of each block with their counts there, a row for each bucket."""
 
-def _pairs_sent(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for block, data in zip(batch["block"].to_pylist(), batch["data"]):
                 x = _Block(data.as_py())
-                yield _sent(block, _PAIRS, x.hashes, x.pairs(), buckets)
+                yield _rows(block, _PAIRS, x.hashes, x.counts(x.which, len(x.hashes)), buckets)
+                yield _rows(block, _WORDS, x.known, x.counts(x.place, len(x.known)), buckets)
 
-    return blocks.select("block", "data").mapInArrow(run, _ROWS)
+    return blocks.select("block", "data").mapInArrow(run, _SENT)
 
 
-def _summed(sent: DataFrame, columns: int) -> DataFrame:
-    """Counts of all blocks for each entry that was sent, in that order.
-
-    Pairs have a further column: 1 in one of the rows with a pair, plus 2 in one of
-    those whose block has it in the target, so blocks can count kinds. The first row
-    of a bucket has in ``totals`` words and different words of it, in all and in the target.
-    """
+def _summed(sent: DataFrame) -> DataFrame:
+    """Counts of all blocks for each entry that was sent, in that order."""
 
     def run(rows: pa.Table) -> pa.Table:
-        sizes, counts = _counts(rows, columns)
-        hashes = np.concatenate([_of_planes(d) for d in rows["data"].to_pylist()])
-        _, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-        sums = [np.bincount(at, c, len(first)).astype(np.int64) for c in counts]
-        totals = [int(f(s)) for f in (np.sum, np.count_nonzero) for s in sums[:2]]
-        out = [s[at] for s in sums]
-        kind = rows["kind"][0].as_py()
-        if kind == _PAIRS:
-            owned = np.zeros(len(hashes), np.int64)
-            owned[first] = 1
-            inside = np.flatnonzero(counts[1])
-            owned[inside[np.unique(at[inside], return_index=True)[1]]] += 2
-            out.append(owned)
+        hashes = [_of_planes(d, _HASH) for d in rows["hashes"].to_pylist()]
+        sizes = [len(h) for h in hashes]
+        first, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = [_of_planes(c, 4).reshape(2, -1) for c in rows["counts"].to_pylist()]
+        sums = [np.bincount(at, np.concatenate([c[k] for c in counts]), len(first)).astype(np.int64) for k in range(2)]
         ends = np.cumsum(sizes)
-        packed = [_planes(np.concatenate([c[b - n : b] for c in out])) for n, b in zip(sizes, ends)]
-        back = _rows(rows["block"].to_pylist(), kind, rows["bucket"].to_pylist(), [None] * len(sizes), packed)
-        held = pa.array([totals] + [None] * (len(sizes) - 1), pa.list_(pa.int64()))
-        return pa.table({**{c: back[c] for c in back.schema.names}, "totals": held})
-
-    return sent.groupBy("bucket").applyInArrow(run, f"{_ROWS}, totals array<long>")
-
+        back = [_planes(np.concatenate([s[at[b - n : b]] for s in sums]), 8) for n, b in zip(sizes, ends)]
+        columns = [rows["block"], rows["kind"], rows["bucket"], pa.array(back, pa.binary())]
+        return pa.table(columns, ["block", "kind", "bucket", "counts"])
 
-def _gathered(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
-    """A block's own row and all answers to it, in groups by ``block``."""
-    rows = blocks.select(
-        "block", F.lit(_BLOCK).alias("kind"), F.lit(0).alias("bucket"), "data", F.lit(None).cast("binary").alias("counts")
-    )
-    for found in answers:
-        rows = rows.union(found.select(*rows.columns))
-    return rows.groupBy("block")
+    return sent.groupBy("kind", "bucket").applyInArrow(run, _COUNTED)
 
 
-def _opened(rows: pa.Table) -> tuple[_Block, list[np.ndarray], list[np.ndarray]]:
-    """A block, the counts of its pairs and those of its words in the order they were sent."""
-    rows = rows.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-    kind = rows["kind"].to_numpy()
-    pairs, words = (_counts(rows.filter(pa.array(kind == k)), n)[1] for k, n in ((_PAIRS, 3), (_WORDS, 6)))
-    return _Block(rows["data"][0].as_py()), pairs, words
+def _losses(x: _Block, n: np.ndarray, words: np.ndarray, totals: tuple[int, int], mine: np.ndarray, scale: float) -> np.ndarray:
+    """Negative log probability of each word of a block after the one before it.
 
-
-def _words_sent(blocks: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
-    def run(rows: pa.Table) -> pa.Table:
-        block, counts, _ = _opened(rows)
-        order = np.argsort(block.known)
-        found = [c[order] for c in block.words(counts)]
-        return pa.Table.from_batches([_sent(rows["block"][0].as_py(), _WORDS, block.known[order], found, buckets)])
-
-    return _gathered(blocks, pairs).applyInArrow(run, _ROWS)
-
-
-def _losses(x: _Block, n, word, context, kinds, total: int, different: int, size: int) -> np.ndarray:
-    """Negative log probability of each word of a block after the one before it."""
-    spread = DISCOUNT * different / total if total else 1.0
-    single = np.maximum(word - DISCOUNT, 0) / max(total, 1) + spread / size
-    per = np.maximum(context, 1)
-    left = np.where(context > 0, DISCOUNT * kinds / per, 1.0)
-    seen = np.maximum(n[x.which] - DISCOUNT, 0) / per[x.before]
-    return -np.log(seen + left[x.before] * single[x.place])
-
-
-def _score(blocks: DataFrame, pairs: DataFrame, words: DataFrame, totals: list[int], size: int) -> DataFrame:
-    def run(rows: pa.Table) -> pa.Table:
-        x, n, found = _opened(rows)
-        back = np.empty(len(x.known), np.int64)
-        back[np.argsort(x.known)] = np.arange(len(x.known))
-        found = [c[back] for c in found]
-        sizes, means = np.diff(x.bounds), []
-        for k in (1, 0):  # the target, then all
-            loss = _losses(x, n[k], found[k], found[2 + k], found[4 + k], totals[k], totals[2 + k], size)
+    ``n`` and ``words`` count the model's pairs and words, ``totals`` all its words and its
+    texts; ``mine`` says of each word whether its own text's counts are left out.
+    """
+    of_word = np.concatenate([words, [totals[1]]])
+    own_pair, own_word = x.own(x.which, len(x.hashes)), x.own(x.place, len(words))
+    own_context = np.concatenate([[1], own_word[:-1]])[: len(own_word)]
+    own_context[x.firsts] = 1
+    length = np.repeat(x.sizes, x.sizes)
+    word = scale * (of_word[x.place] - mine * own_word) + EVEN
+    share = word / (scale * (totals[0] - mine * length) + EVEN * VOCABULARY)
+    pair = scale * (n[x.which] - mine * own_pair)
+    context = scale * (of_word[x.before] - mine * own_context)
+    return -np.log((pair + PRIOR * share) / (context + PRIOR))
+
+
+def _score(blocks: DataFrame, counted: DataFrame, sums: dict[str, int]) -> DataFrame:
+    # As much evidence in the background as in the target.
+    scale = sums["target_words"] / sums["words"] if sums["target_words"] else 1.0
+    models = ((1, sums["target_words"], sums["target_texts"], 1.0), (0, sums["words"], sums["texts"], scale))
+
+    def run(block: pa.Table, rows: pa.Table) -> pa.Table:
+        x = _Block(block["data"][0].as_py())
+        rows = rows.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        kind, found = rows["kind"].to_numpy(), [_of_planes(c, 8).reshape(2, -1) for c in rows["counts"].to_pylist()]
+        nothing = [np.zeros((2, 0), np.int64)]
+        pairs, words = (np.concatenate(nothing + [f for f, k in zip(found, kind) if k == of], axis=1) for of in (_PAIRS, _WORDS))
+        means, some = [], x.sizes > 0
+        for k, total, texts, by in models:
+            mine = x.target if k else np.zeros(len(x.place), bool)
+            loss = _losses(x, pairs[k], words[k], (total, texts), mine, by)
             # Summed text by text, so equal texts score the same wherever they stand.
-            sums = np.zeros(len(sizes))
-            sums[sizes > 0] = np.add.reduceat(loss, x.bounds[:-1][sizes > 0]) if len(loss) else 0.0
-            means.append(sums / np.maximum(sizes, 1))
+            sums = np.zeros(len(x.sizes))
+            sums[some] = np.add.reduceat(loss, x.firsts) if len(loss) else 0.0
+            means.append(sums / np.maximum(x.sizes, 1))
         return pa.table(
-            [pa.array(x.ids, pa.int64()), pa.array(sizes), *map(pa.array, means), pa.array(means[0] - means[1])],
+            [pa.array(x.ids, pa.int64()), pa.array(x.sizes.astype(np.int64)), *map(pa.array, means), pa.array(means[0] - means[1])],
             ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
         )
 
     schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    return _gathered(blocks, pairs, words).applyInArrow(run, schema)
+    own = blocks.select("block", "data").groupBy("block")
+    return own.cogroup(counted.groupBy("block")).applyInArrow(run, schema)
+
+
+def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """``doc_id, text, target``. So few ids that every task may hold them meet the texts where these are."""
+    wanted = target_ids.select(F.col("doc_id").cast("long").alias("target_id")).dropna().distinct()
+    wanted = settle(wanted, "target-ids")
+    wanted = F.broadcast(wanted) if wanted.count() <= IDS_HELD else wanted.hint("merge")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    marked = docs.join(wanted, F.col("doc_id") == F.col("target_id"), "left")
+    return marked.select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
 
 
-def score_documents(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` for every row of ``docs (doc_id, text)``.
 
     The target model counts the documents that ``target_ids (doc_id)`` names, the
-    background model counts all of them. Losses are nats per word, and ``score``
-    is their difference: the lower, the more like the target. An empty or NULL
-    text has no words and scores 0. With no target document its model is an even
-    spread. Ids that repeat or are NULL in ``target_ids`` count once or not at all.
-
-    Every word and every pair counts, however rare; the even spread is over ``size``
-    words at least. What goes through the driver are four sums.
+    background model counts all of them; a document of the target is scored without
+    its own counts there, as all others are. Losses are nats per word, and ``score`` is their difference: the
+    lower, the more like the target. An empty or NULL text has no words and scores
+    0. With no target document its model is an even spread. Ids that repeat or
+    are NULL in ``target_ids`` count once or not at all; rows that repeat an id or a text are
+    documents of their own, and a copy elsewhere counts.
+
+    Every word and every pair counts, however rare. What goes through the driver
+    are four sums, and the number of target documents.
     """
-    wanted = target_ids.select(F.col("doc_id").cast("long").alias("target_id")).dropna().distinct()
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    marked = docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("target_id"), "left")
-    blocks = settle(_blocks(marked.select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))), "word-blocks")
-    buckets = max(1, (blocks.agg(F.sum("n")).first()[0] or 0) // BUCKET)
-    pairs = settle(_summed(_pairs_sent(blocks, buckets), 2), "word-pairs")
-    words = settle(_summed(_words_sent(blocks, pairs, buckets), 6), "words")
-    sums = words.agg(*[F.sum(F.col("totals")[k]) for k in range(4)]).first()
-    totals = [x or 0 for x in sums]
-    return _score(blocks, pairs, words, totals, max(size, totals[2]) + 1)
+    blocks = settle(_blocks(_marked(docs, target_ids)), "word-blocks")
+    names = ["words", "target_words", "texts", "target_texts"]
+    row = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    sums = row.asDict()
+    buckets = max(1, sums["words"] // BUCKET)
+    return _score(blocks, _summed(_sent(blocks, buckets)), sums)

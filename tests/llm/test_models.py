@@ -12,55 +12,64 @@ from abacist.llm import lm_scoring, ngrams, quality
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def slow_pair_model(texts, vocabulary):
-    """p(word | word before) with absolute discounting; words outside the vocabulary are None."""
-    pairs = Counter()
-    for words in texts:
-        ids = [w if w in vocabulary else None for w in words]
-        pairs.update(zip(["<edge>", *ids], ids))
-    words, contexts, kinds = Counter(), Counter(), Counter()
-    for (a, b), n in pairs.items():
-        words[b] += n
-        contexts[a] += n
-        kinds[a] += 1
-    total, base, d = sum(words.values()), lm_scoring.VOCABULARY + 1, lm_scoring.DISCOUNT
-
-    def p(a, b):
-        low = max(words[b] - d, 0) / max(total, 1) + (d * len(words) / total if total else 1.0) / base
-        if not contexts[a]:
-            return low
-        return max(pairs[a, b] - d, 0) / contexts[a] + d * kinds[a] / contexts[a] * low
-
-    return p
-
-
-def test_cross_entropy_difference(spark, documents):
+def slow_losses(texts, members, scale, without):
+    """Mean loss of each text by the model of the texts ``members`` names; of texts ``without`` their own counts are left out."""
+    every = [Counter(), Counter(), Counter()]
+    own = {}
+    for i, words in texts.items():
+        pairs = Counter(zip(["<edge>", *words], words))
+        own[i] = pairs, Counter(words), Counter({"<edge>": 1} if words else {})
+        if i in members:
+            for total, part in zip(every, own[i]):
+                total.update(part)
+    out = {}
+    for i, words in texts.items():
+        pairs, singles, edges = ({k: n - (p[k] if i in without else 0) for k, n in t.items()} for t, p in zip(every, own[i]))
+        total = sum(singles.values())
+
+        def p(a, b):
+            share = (scale * singles.get(b, 0) + lm_scoring.EVEN) / (scale * total + lm_scoring.EVEN * lm_scoring.VOCABULARY)
+            context = edges.get(a, 0) if a == "<edge>" else singles.get(a, 0)
+            return (scale * pairs.get((a, b), 0) + lm_scoring.PRIOR * share) / (scale * context + lm_scoring.PRIOR)
+
+        out[i] = -sum(math.log(p(a, b)) for a, b in zip(["<edge>", *words], words)) / max(1, len(words))
+    return out
+
+
+@pytest.mark.parametrize("held", [lm_scoring.IDS_HELD, 0])
+def test_cross_entropy_difference(spark, documents, monkeypatch, held):
+    monkeypatch.setattr(lm_scoring, "IDS_HELD", held)
+    monkeypatch.setattr(lm_scoring, "BUCKET", 20_000)
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").filter("quality = 1")
-    got = {r.doc_id: r for r in lm_scoring.score_documents(documents, labels).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score_documents(documents.repartition(3), labels).collect()}
     texts = {r.doc_id: WORD.findall(r.text.translate({c: c + 32 for c in range(65, 91)})) for r in documents.collect()}
-    good = {r.doc_id for r in labels.collect()}
-    counts = Counter(w for words in texts.values() for w in words)
-    # Ties at the end of the vocabulary are cut by hash, so this holds where it takes all words of some count.
-    top = counts.most_common(lm_scoring.VOCABULARY - 1)
-    floor = top[-1][1]
-    known = lm_scoring.vocabulary(documents)
-    assert len(known) == len(top)
-    hasher, table = lm_scoring.B.Hasher(), {}
-    found = lm_scoring.B.find_words([w.encode() for w in counts], lm_scoring.B.table(lm_scoring.B.BLANKS))
-    for w, h in zip(counts, hasher.words(found)):
-        table[w] = h
-    vocabulary = {w for w in counts if table[w] in set(known.tolist())}
-    assert {w for w, n in counts.items() if n > floor} <= vocabulary <= {w for w, n in counts.items() if n >= floor}
-    target = slow_pair_model([w for i, w in texts.items() if i in good], vocabulary)
-    background = slow_pair_model(texts.values(), vocabulary)
+    good = {r.doc_id for r in labels.collect()} & set(texts)
+    scale = sum(len(texts[i]) for i in good) / sum(map(len, texts.values()))
+    target, background = slow_losses(texts, good, 1.0, good), slow_losses(texts, set(texts), scale, ())
     for i, words in texts.items():
-        ids = [w if w in vocabulary else None for w in words]
-        n = max(1, len(words))
-        losses = [-sum(math.log(m(a, b)) for a, b in zip(["<edge>", *ids], ids)) / n for m in (target, background)]
         assert got[i].n_tokens == len(words)
-        assert got[i].target_loss == pytest.approx(losses[0], rel=1e-4)
-        assert got[i].background_loss == pytest.approx(losses[1], rel=1e-4)
-        assert got[i].score == pytest.approx(losses[0] - losses[1], abs=1e-3)
+        assert got[i].target_loss == pytest.approx(target[i], rel=1e-9)
+        assert got[i].background_loss == pytest.approx(background[i], rel=1e-9)
+        assert got[i].score == pytest.approx(target[i] - background[i], abs=1e-9)
+
+
+def area(low, high):
+    """Share of pairs in which the one of ``low`` is the lower."""
+    return sum((a < b) + 0.5 * (a == b) for a in low for b in high) / (len(low) * len(high))
+
+
+def test_texts_of_the_target_score_like_others_of_their_kind(spark):
+    """Half of the good documents as the target: the other half scores alike, bad ones do not."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    good = sorted(i for i, q in labels.items() if q == 1)
+    ids = spark.createDataFrame([(i,) for i in good[::2]], "doc_id long")
+    score = {r.doc_id: r.score for r in lm_scoring.score_documents(documents, ids).collect() if r.n_tokens >= 20}
+    mine, held = ([score[i] for i in part if i in score] for part in (good[::2], good[1::2]))
+    bad = [score[i] for i, q in labels.items() if q == 0 and i in score]
+    assert min(map(len, (mine, held, bad))) >= 10
+    assert 0.4 < area(mine, held) < 0.6
+    assert area(held, bad) > 0.9
 
 
 def test_score_prefers_texts_like_the_target(spark):
