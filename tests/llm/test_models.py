@@ -118,6 +118,43 @@ def test_base_figures(documents):
     base_of(documents)
 
 
+def test_verdicts_by_hand(spark):
+    """``kept`` from the figures: quartiles and the lowest texts of each language's different texts."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = [(10**6 + i, t, "xx") for i, t in enumerate(["word " * 3, " ".join(map(str, range(90))), " ".join(map(str, range(90)))])]
+    docs = documents.select("doc_id", "text", "lang").union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    texts = {r.doc_id: (r.lang, r.text) for r in docs.collect()}
+    rows = quality.judge_quality(docs).collect()
+    of = {}
+    for r in rows:
+        if not r.base_failed:
+            of.setdefault(texts[r.doc_id][0], {})[texts[r.doc_id][1]] = round(r.log_perplexity, 3)
+    bands = {}
+    for lang, found in of.items():
+        values = sorted(found.values())
+        low, high = np.percentile(values, [25, 75])
+        lowest = max(v for v in values if sum(w < v for w in values) <= quality.LOW_SHARE * len(values))
+        bands[lang] = lowest, high + quality.ABOVE * max(high - low, 0.01)
+    below = Counter()
+    for r in rows:
+        lang = texts[r.doc_id][0]
+        low, high = bands.get(lang, (-math.inf, math.inf))
+        assert r.kept == (not r.base_failed and low <= round(r.log_perplexity, 3) <= high)
+        below[lang] += not r.base_failed and round(r.log_perplexity, 3) < low
+    assert set(bands) > {"xx", "en"} and not any(r.kept for r in rows if r.doc_id == 10**6)
+    assert all(r.kept for r in rows if r.doc_id > 10**6)
+    assert sum(not r.kept and not r.base_failed for r in rows) > 3
+
+
+def test_the_lower_band_rejects_its_share(spark):
+    rows = [("en", i, i / 1000) for i in range(5000)] + [("fr", i, 2.0) for i in range(9000)] + [("de", i, i / 10) for i in range(40)]
+    names = "language string, text_hash long, log_perplexity double"
+    scores = spark.createDataFrame(rows, names).selectExpr("*", "100L AS n_words", "0L AS n_repeat_words")
+    scores = scores.union(scores.filter("language = 'en' and text_hash < 100"))
+    low = {r.language: r.low for r in quality.bands(scores).collect()}
+    assert low == {"en": 0.005, "fr": 2.0, "de": 0.0}
+
+
 def test_base_figures_of_odd_rows(odd_docs, no_docs):
     rows = base_of(odd_docs)
     assert all(math.isfinite(r.log_perplexity) for r in rows)
