@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,6 +31,8 @@ _TAG_BITS, _COUNT_BITS = 20, 11
 _COUNT = (1 << _COUNT_BITS) - 1
 _TAG = (1 << _TAG_BITS) - 1
 _LAST = (1 << 63) - 1
+# Numbers for rows without an id: the last 2**40.
+_UNNAMED = (1 << 40) - 1
 _ROW = "k1 long, k2 long, id long, place long, sure boolean"
 _FOUND = "id long, place long, repeat boolean"
 
@@ -304,6 +306,12 @@ def _cut(text: bytes, starts: list[int], ends: list[int], gone: list[bool]) -> b
     return b"".join(kept)
 
 
+def document_id(docs: DataFrame) -> Column:
+    """``doc_id``; where it is NULL a number of the text among the largest ones, so that such rows share no key."""
+    unnamed = F.lit(_LAST) - F.xxhash64("text").bitwiseAND(F.lit(_UNNAMED))
+    return F.coalesce(F.col("doc_id").cast("long"), unnamed)
+
+
 def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     """``docs`` with ``text`` cut and ``n_words, n_removed`` added: all words that no repeated window covers.
 
@@ -311,14 +319,15 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     in a smaller ``doc_id``, or in the same document further up. Windows are
     judged on the texts as given. Blanks before a removed word go with it; a
     text that loses nothing stays as it is, to the byte. A NULL text has no
-    words and stays NULL. A row without ``doc_id`` counts as the largest id.
+    words and stays NULL. Rows without ``doc_id`` come after all others, in an order of
+    their texts' hashes; equal ones are one document.
     Rows that repeat an id are placed by it alone, so of equal texts with one id
     none is earlier. A text that loses all its words becomes empty; its row stays.
     An ``n_words`` or ``n_removed`` that ``docs`` has already is replaced.
     """
     added = ("n_words", "n_removed")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (*added, "text")]).alias("row")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text", row)
+    keyed = docs.select(document_id(docs).alias("id"), "text", row)
     found = _with_places(keyed, repeats(keyed.select("id", "text"), length))
     out = StructType().add("row", keyed.schema["row"].dataType).add("text", "string")
     out = out.add("n_words", "long").add("n_removed", "long")
