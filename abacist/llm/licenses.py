@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from importlib import resources
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,12 +50,28 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
         "option) any later version.",
     ),
+    "GPL-1.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 1, or (at your option) any later "
+        "version.",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version.",
     ),
+    "LGPL-2.0": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library "
+        "General Public License as published by the Free Software Foundation; either version 2 of the License, or (at "
+        "your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version.",
+    ),
     "LGPL-3.0": (
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
@@ -97,7 +114,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 
 
 def full_texts() -> dict[str, str]:
-    """Whole licence texts, by licence; under 200 kB together, so they travel with the job."""
+    """Whole licence texts, by licence; under 300 kB together, so they travel with the job."""
     found = resources.files("abacist.llm").joinpath("license_texts").iterdir()
     return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in found if f.name.endswith(".txt")}
 
@@ -121,6 +138,21 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * (a & b).total() / total if total else 0.0
 
 
+class Hit(NamedTuple):
+    """A place in a text, from word ``start`` to before ``end``, that resembles a template of ``size`` bigrams."""
+
+    score: float
+    size: int
+    start: int
+    end: int
+    name: str
+
+    def covers(self, other: Hit) -> bool:
+        """Whether more than half of the shorter place is in both."""
+        both = min(self.end, other.end) - max(self.start, other.start)
+        return 2 * both > min(self.end - self.start, other.end - other.start)
+
+
 class Matcher:
     """Templates by size and by bigram; whole licence texts are compared with whole texts and windows only."""
 
@@ -141,25 +173,23 @@ class Matcher:
         sizes = [bag.total() for _, bag in self.bags]
         self.least, self.most = min(sizes) * self.ratio, max(sizes) / self.ratio
 
-    def best(self, words: list[str]) -> dict[str, float]:
-        """Licences whose template reaches the threshold, with the highest coefficient."""
+    def best(self, words: list[str], start: int) -> Iterator[Hit]:
+        """Templates that ``words``, which begin at ``start``, resemble to the threshold."""
         size = len(words) - 1
         if not self.least <= size <= self.most:
-            return {}
-        bag, found = bigrams(words), {}
-        candidates = {i for pair in bag for i in self.having.get(pair, ())}
-        for i in candidates:
+            return
+        bag = bigrams(words)
+        for i in {i for pair in bag for i in self.having.get(pair, ())}:
             name, other = self.bags[i]
             n = other.total()
             if min(n, size) < self.ratio * max(n, size):
                 continue
             score = dice(bag, other)
-            if score >= self.threshold and score > found.get(name, 0.0):
-                found[name] = score
-        return found
+            if score >= self.threshold:
+                yield Hit(score, n, start, start + len(words), name)
 
-    def windows(self, words: list[str]) -> dict[str, float]:
-        """Licences of which a template or text stands anywhere in ``words``, or fills them.
+    def windows(self, words: list[str]) -> Iterator[Hit]:
+        """Templates and texts that stand anywhere in ``words``, or fill them.
 
         A window of a template's length slides over its bigrams. Only where all
         of the text has enough of them, which no window can exceed.
@@ -170,24 +200,22 @@ class Matcher:
         for pair, n in Counter(pair for _, pair in hits).items():
             for i in self.all_having[pair]:
                 common[i] += min(n, self.all_bags[i][1][pair])
-        found: dict[str, float] = {}
         for i, most in common.items():
             name, bag = self.all_bags[i]
             size = bag.total()
             whole = 2 * most / (size + len(pairs))
-            if whole >= self.threshold and whole > found.get(name, 0.0):
-                found[name] = whole
+            if whole >= self.threshold:
+                yield Hit(whole, size, 0, len(words), name)
             if most / size >= self.threshold and size <= len(pairs):
-                score = self._slide([h for h in hits if h[1] in bag], bag, size) / size
-                if score >= self.threshold and score > found.get(name, 0.0):
-                    found[name] = score
-        return found
+                score, last = self._slide([h for h in hits if h[1] in bag], bag, size)
+                if score / size >= self.threshold:
+                    yield Hit(score / size, size, max(0, last - size + 1), last + 2, name)
 
     @staticmethod
-    def _slide(hits: list[tuple[int, tuple[str, str]]], bag: Counter, size: int) -> int:
-        """The most bigrams that any ``size`` neighbouring ones have in common with ``bag``."""
+    def _slide(hits: list[tuple[int, tuple[str, str]]], bag: Counter, size: int) -> tuple[int, int]:
+        """The most bigrams that any ``size`` neighbouring ones have in common with ``bag``, and the last of the first such."""
         held: Counter = Counter()
-        most = now = first = 0
+        most = now = first = last = 0
         for at, pair in hits:
             while hits[first][0] <= at - size:
                 gone = hits[first][1]
@@ -196,45 +224,59 @@ class Matcher:
                 first += 1
             held[pair] += 1
             now += held[pair] <= bag[pair]
-            most = max(most, now)
-        return most
+            if now > most:
+                most, last = now, at
+        return most, last
 
-    def scan(self, text: str) -> dict[str, float]:
-        """Licences of a text: of its lines, of their sentences, of its paragraphs, of the whole, and of windows.
+    def hits(self, text: str) -> list[Hit]:
+        """All places that resemble a template: lines, their sentences, paragraphs, the whole, and windows.
 
         Longer units are looked at only where a line of theirs has a bigram of a
         template, or a template's bigram may stand across a line break.
         """
-        found: dict[str, float] = {}
-        touched, paragraph, every = False, [], []
-
-        def take(words: list[str]) -> None:
-            for name, score in self.best(words).items():
-                found[name] = max(score, found.get(name, 0.0))
-
-        having, whole = self.having, []
+        found: list[Hit] = []
+        touched, paragraph, every, begin = False, [], [], 0
+        having = self.having
         for line in [*text.split("\n"), ""]:
             words = normal_words(line)
             if not words:
                 if len(paragraph) > 1 and touched:
-                    take([w for part in paragraph for w in part])
-                whole += paragraph
+                    found += self.best([w for part in paragraph for w in part], begin)
                 paragraph = []
                 continue
+            if not paragraph:
+                begin = len(every)
             paragraph.append(words)
+            at = len(every)
             every += words
             edge = len(paragraph) > 1 and (paragraph[-2][-1], words[0]) in having
             if edge or any(pair in having for pair in zip(words, words[1:])):
                 touched = True
-                take(words)
+                found += self.best(words, at)
                 sentences = _SENTENCE.split(line)
                 if len(sentences) > 1:
                     for sentence in sentences:
-                        take(normal_words(sentence))
-        if touched and sum(map(len, whole)) <= self.most + 1:
-            take([w for part in whole for w in part])
-        for name, score in self.windows(every).items():
-            found[name] = max(score, found.get(name, 0.0))
+                        part = normal_words(sentence)
+                        found += self.best(part, at)
+                        at += len(part)
+        if touched and len(every) <= self.most + 1:
+            found += self.best(every, 0)
+        return found + list(self.windows(every))
+
+    def scan(self, text: str) -> dict[str, float]:
+        """Licences of a text with their highest coefficients.
+
+        Of places that overlap by more than half of the shorter one, the best alone
+        counts: notices of one family differ in few words, and the name or number that
+        differs is what lowers the coefficient of the others.
+        """
+        kept: list[Hit] = []
+        for hit in sorted(self.hits(text), key=lambda h: (-h.score, -h.size, h.name, h.start)):
+            if not any(h.name != hit.name and h.covers(hit) for h in kept):
+                kept.append(hit)
+        found: dict[str, float] = {}
+        for hit in kept:
+            found.setdefault(hit.name, hit.score)
         return found
 
 
@@ -248,7 +290,7 @@ def scan_licenses(
     a text without notice, a NULL text among them. Units of a text that are
     compared: lines, sentences of lines, paragraphs, the whole, and windows of
     each template's length over all words, so a notice inside prose is found
-    however its lines break. Rows without ``doc_id`` and rows that repeat one are
+    however its lines break. Of overlapping notices the best one counts. Rows without ``doc_id`` and rows that repeat one are
     scanned like any other.
     """
 
