@@ -124,9 +124,10 @@ WITH pieces AS (
 ), totals AS (
   SELECT lang, sum(len(w)) AS n FROM lists GROUP BY lang
 ), cuts AS (
-  SELECT lang, words, c.f AS a, k, l.f AS l, r.f AS r, n, 1000::HUGEINT * c.f * n // (l.f::HUGEINT * r.f) AS score
+  SELECT c.lang, c.words, c.f AS a, c.k, l.f AS l, r.f AS r, totals.n,
+         1000::HUGEINT * c.f * totals.n // (l.f::HUGEINT * r.f) AS score
   FROM (SELECT *, unnest(range(1, len(words))) AS k FROM counts WHERE len(words) > 1) AS c
-  JOIN totals USING (lang)
+  JOIN totals ON totals.lang = c.lang
   JOIN counts AS l ON l.lang = c.lang AND l.words = c.words[1 : k]
   JOIN counts AS r ON r.lang = c.lang AND r.words = c.words[k + 1 :]
 ), best AS (
