@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.llm import batches as B
-from abacist.session import settle
+from abacist.session import scratch_path, settle
 
 # Parameters of the models: words of the even spread and what each counts for, and the
 # number of words that a context's own counts are weighed against.
@@ -43,8 +43,9 @@ _EDGE = np.array([0x5DEECE66D], np.uint64)  # stands for what precedes a text's
 _SENT = "block long, kind int, bucket int, hashes binary, counts binary"
 _COUNTED = "block long, kind int, bucket int, counts binary"
 _PAIRS, _WORDS = 1, 2
-# Bytes of a hash that are sent; its bucket is known besides.
-_HASH = 6
+# Bits of a hash that are sent beside its bucket, as steps from the one before.
+_HASH_BITS = 48
+_HASH = _HASH_BITS // 8
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -66,7 +67,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
         known, place = np.unique(np.concatenate(hashes), return_inverse=True)
         target, sizes = np.concatenate(target), np.concatenate(sizes)
         places = zlib.compress(_planes(place.astype(np.int64), 4), 1)
-        data = pickle.dumps((ids, target, sizes.astype(np.int32), known, places))
+        steps = zlib.compress(_planes(np.diff(known, prepend=np.uint64(0)), 8), 1)
+        data = pickle.dumps((ids, target, sizes.astype(np.int32), steps, places))
         some = sizes > 0
         figures = [sizes.sum(), sizes[target].sum(), some.sum(), (some & target).sum()]
         row = [(uuid.uuid4().int >> 65, pa.int64()), (data, pa.binary()), *[(int(x), pa.int64()) for x in figures]]
@@ -93,11 +95,27 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _settled(blocks: DataFrame) -> DataFrame:
+    """``blocks`` written once, in buckets by their number, so that what comes back to them is all that moves.
+
+    The table's name is dropped again, its files stay in the scratch folder.
+    """
+    spark = blocks.sparkSession
+    name = f"abacist_blocks_{uuid.uuid4().hex}"
+    writer = blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+    writer.option("path", scratch_path(spark, "word-blocks")).saveAsTable(name)
+    table = spark.table(name)
+    assert table.columns == blocks.columns  # resolved, while the name is there
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 class _Block:
     """A block's texts as places in its own sorted words, and its different pairs ordered by their hash."""
 
     def __init__(self, data: bytes):
-        self.ids, target, self.sizes, self.known, places = pickle.loads(data)
+        self.ids, target, self.sizes, steps, places = pickle.loads(data)
+        self.known = np.cumsum(_of_planes(zlib.decompress(steps), 8).view(np.uint64))
         self.bounds = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
         self.place = _of_planes(zlib.decompress(places), 4)
         edge, self.firsts = len(self.known), self.bounds[:-1][self.sizes > 0]
@@ -125,12 +143,14 @@ class _Block:
 
 def _rows(block: int, kind: int, hashes: np.ndarray, counts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """Rows for the buckets of ``hashes``, which are sorted."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    width = -(-(1 << 64) // buckets)
+    bucket = hashes // np.uint64(width)
+    inside = (hashes - bucket * np.uint64(width)) >> np.uint64(max(0, width.bit_length() - _HASH_BITS))
     to, starts = np.unique(bucket, return_index=True)
     cuts = list(zip(starts, [*starts[1:], len(hashes)]))
     columns = [
         pa.array([block] * len(to), pa.int64()), pa.array([kind] * len(to), pa.int32()), pa.array(to.astype(np.int32)),
-        pa.array([_planes(hashes[a:b], _HASH) for a, b in cuts], pa.binary()),
+        pa.array([_planes(np.diff(inside[a:b], prepend=np.uint64(0)), _HASH) for a, b in cuts], pa.binary()),
         pa.array([_planes(np.concatenate([c[a:b] for c in counts]), 4) for a, b in cuts], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(columns, ["block", "kind", "bucket", "hashes", "counts"])
@@ -153,7 +173,7 @@ def _summed(sent: DataFrame) -> DataFrame:
     """Counts of all blocks for each entry that was sent, in that order."""
 
     def run(rows: pa.Table) -> pa.Table:
-        hashes = [_of_planes(d, _HASH) for d in rows["hashes"].to_pylist()]
+        hashes = [np.cumsum(_of_planes(d, _HASH)) for d in rows["hashes"].to_pylist()]
         sizes = [len(h) for h in hashes]
         first, at = np.unique(np.concatenate(hashes), return_inverse=True)
         counts = [_of_planes(c, 4).reshape(2, -1) for c in rows["counts"].to_pylist()]
@@ -237,9 +257,9 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     Every word and every pair counts, however rare. What goes through the driver
     are four sums, and the number of target documents.
     """
-    blocks = settle(_blocks(_marked(docs, target_ids)), "word-blocks")
+    blocks = _settled(_blocks(_marked(docs, target_ids)))
     names = ["words", "target_words", "texts", "target_texts"]
     row = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
     sums = row.asDict()
-    buckets = max(1, sums["words"] // BUCKET)
+    buckets = max(2, sums["words"] // BUCKET)
     return _score(blocks, _summed(_sent(blocks, buckets)), sums)

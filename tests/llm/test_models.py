@@ -53,6 +53,14 @@ def test_cross_entropy_difference(spark, documents, monkeypatch, held):
         assert got[i].score == pytest.approx(target[i] - background[i], abs=1e-9)
 
 
+def test_blocks_stay_where_they_are(spark, documents):
+    """One shuffle of what is sent and one of what comes back; no name is left in the catalog."""
+    ids = documents.select("doc_id").limit(9)
+    plan = lm_scoring.score_documents(documents, ids)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("abacist_blocks")]
+
+
 def area(low, high):
     """Share of pairs in which the one of ``low`` is the lower."""
     return sum((a < b) + 0.5 * (a == b) for a in low for b in high) / (len(low) * len(high))
