@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from abacist.session import setting
 from abacist.sources import schemas
 
 # Where a row of a text file stands: columns to order by.
 FILE_ORDER = ["_file", "_block", "_line"]
 # Where a row of a parquet chunk stands.
 CHUNK_ORDER = ["chunk_path", "chunk_row"]
+# Tasks a core that list the folders of a table by chunk.
+LISTING = 4
 
 
 def read_problems(
@@ -67,8 +70,13 @@ def read_chunks(
 def read_results(
     spark: SparkSession, path: str, schema: str = schemas.TEACHER_CHUNK, chunk: str = "chunk"
 ) -> DataFrame:
-    """A table written by chunk; a filter on ``chunk`` opens the folders of those chunks only."""
-    return spark.read.schema(f"{schema}, {chunk} bigint").parquet(path)
+    """A table written by chunk; a filter on ``chunk`` opens the folders of those chunks only.
+
+    Folders are listed by a few tasks a core, each many of them, and not by one task each.
+    """
+    tasks = str(LISTING * spark.sparkContext.defaultParallelism)
+    with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", tasks):
+        return spark.read.schema(f"{schema}, {chunk} bigint").parquet(path)
 
 
 def read_results_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from abacist.operators.curation import SAVED
 from abacist.operators.ordering import sample_exact_n
+from abacist.session import setting
 from abacist.sources.readers import FILE_ORDER
 from abacist.sources.schemas import SFT_TRAIN
 
@@ -27,10 +28,13 @@ def write_chunks(df: DataFrame, path: str, chunk: str = "chunk") -> None:
     """Rows with a ``chunk`` column, one folder per chunk; folders of chunks that ``df`` has no rows of stay as they are.
 
     Rows gather by chunk, so a chunk is few files, and adaptive execution splits a chunk
-    that is much larger than others. Writing the same rows again changes nothing.
+    that is much larger than others. It does not merge tasks with few bytes: their work is
+    the number of folders, also where a chunk is one row. Writing the same rows again
+    changes nothing.
     """
     by_chunk = df.hint("rebalance", F.col(chunk)).write.mode("overwrite").partitionBy(chunk)
-    by_chunk.option("partitionOverwriteMode", "dynamic").parquet(path)
+    with setting(df.sparkSession, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        by_chunk.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_observed(df: DataFrame, write: Callable[[DataFrame], None], summary: list[Column]) -> DataFrame:

@@ -89,6 +89,21 @@ def test_a_large_chunk_is_split(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}").count() == 400_000
 
 
+def test_many_small_chunks_are_the_work_of_many_tasks(spark, tmp_path):
+    """Folders are what writing and listing them costs, however few rows they hold."""
+    df = spark.range(400).selectExpr("id chunk", "id a")
+    sinks.write_chunks(df, f"{tmp_path}")
+    assert len({f.name.split("-")[1] for f in tmp_path.rglob("part-*")}) > 1
+    spark.sparkContext.setJobGroup("listing", "")
+    table = readers.read_results(spark, f"{tmp_path}", "a bigint")
+    spark.sparkContext.setJobGroup("", "")
+    track = spark.sparkContext.statusTracker()
+    stages = [i for job in track.getJobIdsForGroup("listing") for i in track.getJobInfo(job).stageIds]
+    limit = readers.LISTING * spark.sparkContext.defaultParallelism
+    assert limit < 400 and 0 < sum(track.getStageInfo(i).numTasks for i in stages) <= limit
+    assert table.filter("a = chunk").count() == 400
+
+
 def test_summaries_come_from_the_pass_that_writes(spark, inputs, tmp_path):
     problems, responses = inputs
     seen = spark.sparkContext.accumulator(0)
