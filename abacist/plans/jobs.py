@@ -134,10 +134,11 @@ def score_chunks(
 ) -> tuple[DataFrame, DataFrame]:
     """Score all chunks of ``[start, start + n)`` into one table; returns (rows, summaries) of these chunks, as stored.
 
-    ``path/rows`` and ``path/summary`` have a folder per chunk of ``chunk_rows`` stored
-    indices. Scoring a chunk again replaces its folders and touches no other; a chunk
-    that has no response any more keeps what it had. The summaries are read
-    from the rows written, of whose columns they need three.
+    ``path/rows`` has a folder per chunk of ``chunk_rows`` stored indices. Scoring a chunk
+    again replaces its folder and touches no other; a chunk that has no response any
+    more keeps what it had. The summaries are read from the rows written, of whose columns
+    they need three. They are a row each, so ``path/summary`` has a folder per range that
+    was asked for, and of each chunk the row written last counts.
     """
     if start % chunk_rows or n % chunk_rows:
         raise ValueError(f"[{start}, {start + n}) is not made of whole chunks of {chunk_rows}")
@@ -149,9 +150,9 @@ def score_chunks(
     here = (F.col("chunk") >= first) & (F.col("chunk") < end)
     stored = readers.read_results(session, f"{path}/rows").filter(here)
     summaries = metrics.chunk_summaries(stored, index="train_idx")
-    sinks.write_chunks(summaries, f"{path}/summary")
+    sinks.write_summaries(summaries, f"{path}/summary", first, end - first)
     schema = ", ".join(f"{c} {t}" for c, t in summaries.dtypes if c != "chunk")
-    return stored, readers.read_results(session, f"{path}/summary", schema).filter(here)
+    return stored, readers.read_summaries(session, f"{path}/summary", schema).filter(here)
 
 
 def generate_chunk(

@@ -79,6 +79,14 @@ def read_results(
         return spark.read.schema(f"{schema}, {chunk} bigint").parquet(path)
 
 
+def read_summaries(spark: SparkSession, path: str, schema: str, chunk: str = "chunk") -> DataFrame:
+    """The summaries of chunks that :func:`sinks.write_summaries` wrote, of each chunk the last."""
+    table = spark.read.schema(f"{chunk} bigint, {schema}, written bigint, first_chunk bigint, n_chunks bigint").parquet(path)
+    columns = [c for c in table.columns if c not in (chunk, "written", "first_chunk", "n_chunks")]
+    last = F.max_by(F.struct(*columns), "written").alias("last")
+    return table.groupBy(chunk).agg(last).select(*[f"last.{c}" for c in columns], chunk)
+
+
 def read_results_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows and summary of results files that are one JSON document each, ``{"summary": {...}, "per_example": [...]}``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import partial
 
@@ -37,6 +38,18 @@ def write_chunks(df: DataFrame, path: str, chunk: str = "chunk") -> None:
         by_chunk.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def write_summaries(df: DataFrame, path: str, first_chunk: int, n_chunks: int) -> None:
+    """Rows with a ``chunk`` column, one per chunk, in one folder for the range of chunks they were asked for.
+
+    The same range replaces its folder, another one gets its own and touches none.
+    ``written`` says which row of a chunk is the last.
+    """
+    named = {"written": time.time_ns(), "first_chunk": first_chunk, "n_chunks": n_chunks}
+    of_range = df.withColumns({c: F.lit(v).cast("bigint") for c, v in named.items()}).write.mode("overwrite")
+    of_range = of_range.partitionBy("first_chunk", "n_chunks").option("partitionOverwriteMode", "dynamic")
+    of_range.parquet(path)
+
+
 def write_observed(df: DataFrame, write: Callable[[DataFrame], None], summary: list[Column]) -> DataFrame:
     """``write(df)``, and the one row of the aggregates ``summary`` over what was written, from the same pass.
 

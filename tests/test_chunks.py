@@ -104,6 +104,20 @@ def test_many_small_chunks_are_the_work_of_many_tasks(spark, tmp_path):
     assert table.filter("a = chunk").count() == 400
 
 
+def test_summaries_are_a_folder_per_range(spark, inputs, tmp_path):
+    problems, responses = inputs
+    blank = responses.withColumn("response", F.lit(""))
+    jobs.score_chunks(problems, blank, 0, 2000, f"{tmp_path}")
+    jobs.score_chunks(problems, responses, 1000, 1000, f"{tmp_path}")
+    _, own = jobs.score_chunks(problems, responses, 1000, 1000, f"{tmp_path}")
+    assert len(list((tmp_path / "summary").rglob("part-*"))) == 2
+    schema = ", ".join(f"{c} {t}" for c, t in own.dtypes if c != "chunk")
+    last = {r.chunk: r for r in readers.read_summaries(spark, f"{tmp_path}/summary", schema).collect()}
+    rows = readers.read_results(spark, f"{tmp_path}/rows")
+    assert last == {r.chunk: r for r in metrics.chunk_summaries(rows, index="train_idx").select(own.columns).collect()}
+    assert last[0].equation_correct == 0 < last[1].equation_correct and [r.chunk for r in own.collect()] == [1]
+
+
 def test_summaries_come_from_the_pass_that_writes(spark, inputs, tmp_path):
     problems, responses = inputs
     seen = spark.sparkContext.accumulator(0)
