@@ -2,8 +2,10 @@
 
 Each word of a text opens one window of up to five words, made of columns that lead
 by one to four places and padded with NULL where a phrase cannot go on. Only these
-windows are counted; Spark's ROLLUP sums them over ever shorter prefixes, which gives
-the count of every phrase and word and of all words of a language.
+windows are counted, and dealt by their first word, so that whoever gets them can sum them
+over ever shorter prefixes, which gives the count of every phrase and word and of all words
+of a language. What a task counted travels as one row of columns for each language and
+group of first words.
 
 A window goes on only while what it holds can be frequent. For this a first pass counts the
 words and pairs of all texts, a second one the triples made of frequent pairs, and a third
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +33,10 @@ LEAST, LONGEST, TOP, COVERED = 100, 5, 2000, 100
 BITS = 27
 # The low bits of a pair's value; the others name the range whose bits one row holds.
 _LOW = 16
-# Values, and words, that a task combines before it sends them on, and the most rows it sends at once.
-_VALUES_HELD, _WORDS_HELD, _ROWS = 1 << 20, 1 << 22, 1 << 15
+# Values, and words, that a task combines before it sends them on, and windows that it gathers before it sums them.
+_VALUES_HELD, _WORDS_HELD, _WINDOWS_HELD = 1 << 20, 1 << 22, 1 << 19
+# Groups of first words.
+_GROUPS = 256
 # Longest phrases that are counted by their hash beforehand.
 _COUNTED = 4
 # Parts of a language, so that none gathers in one task.
@@ -175,22 +180,22 @@ class _Held:
         self.reach.append(reach)
         self.n += len(keys)
 
-    def windows(self, names: pa.Array) -> Iterator[pa.RecordBatch]:
-        """Distinct windows with their numbers of times; ``names`` are the languages."""
+    def windows(self, names: pa.Array) -> pa.RecordBatch:
+        """Distinct windows with their numbers of times, in a row for each language and group; ``names`` are the languages."""
         words, reach = np.concatenate(self.words), np.concatenate(self.reach)
         spelled, lang_of = pa.array(self.spelled, pa.binary()).cast(pa.string()), np.array(self.lang_of, np.int64)
+        group_of = np.fromiter(self.numbers, np.uint64, len(self.numbers)).astype(np.int64) & (_GROUPS - 1)
+        rows = []  # language, group, words (-1 where there is none), times
 
-        def rows(lang: np.ndarray, said: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(n), _ROWS):
-                part = slice(i, i + _ROWS)
-                columns = [names.take(pa.array(lang[part])), *[spelled.take(pa.array(w[part])) for w in said]]
-                columns += [pa.nulls(len(n[part]), pa.string())] * (self.longest - len(said)) + [pa.array(n[part])]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", *_columns(self.longest), "n"])
+        def add(lang: np.ndarray, group: np.ndarray, said: list[np.ndarray], n: np.ndarray) -> None:
+            none = [np.full(len(n), -1, np.int32)] * (self.longest - len(said))
+            rows.append([lang, group, *said, *none, n])
 
-        yield from rows(np.array([*self.rare], np.int64), [], np.array([*self.rare.values()], np.int64))
+        rare = np.array([*self.rare], np.int64)
+        add(rare, np.zeros(len(rare), np.int64), [], np.array([*self.rare.values()], np.int64))
         single = np.bincount(words[reach == 1], minlength=len(spelled))
         alone = np.flatnonzero(single)
-        yield from rows(lang_of[alone], [alone], single[alone])
+        add(lang_of[alone], group_of[alone], [alone.astype(np.int32)], single[alone])
         at = np.flatnonzero(reach > 1)
         key = words[at].astype(np.int64)
         for k in range(2, self.longest + 1):
@@ -199,8 +204,17 @@ class _Held:
             ends = reach[at] == k
             _, first, n = np.unique(key[ends], return_index=True, return_counts=True)
             start = at[ends][first]
-            yield from rows(lang_of[words[start]], [words[start + j] for j in range(k)], n)
+            add(lang_of[words[start]], group_of[words[start]], [words[start + j] for j in range(k)], n)
             key, at = key[~ends], at[~ends]
+        lang, group, *said, n = map(np.concatenate, zip(*rows))
+        order = np.argsort(lang * _GROUPS + group, kind="stable")
+        place = (lang * _GROUPS + group)[order]
+        found, starts = np.unique(place, return_index=True)
+        offsets = pa.array(np.append(starts, len(place)), pa.int32())
+        columns = [spelled.take(pa.array(w[order], mask=w[order] < 0)) for w in said] + [pa.array(n[order].astype(np.int64))]
+        columns = [pa.ListArray.from_arrays(offsets, c) for c in columns]
+        at = [names.take(pa.array(found // _GROUPS)), pa.array((found % _GROUPS).astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*at, *columns], ["lang", "part", *_columns(self.longest), "n"])
 
 
 def _columns(longest: int) -> list[str]:
@@ -208,8 +222,8 @@ def _columns(longest: int) -> list[str]:
 
 
 def _windows(docs: DataFrame, known: list[Broadcast], longest: int, bits: int) -> DataFrame:
-    """``lang, w1 ... , n``: distinct longest windows of what a task held at once."""
-    schema = "lang string, " + ", ".join(f"{c} string" for c in _columns(longest)) + ", n long"
+    """``lang, part, w1 ... , n``: distinct longest windows of what a task held at once, in arrays of equal length."""
+    schema = "lang string, part int, " + ", ".join(f"{c} array<string>" for c in _columns(longest)) + ", n array<long>"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, frequent = _Reader(bits), _Bits(*[x.value for x in known])
@@ -224,14 +238,48 @@ def _windows(docs: DataFrame, known: list[Broadcast], longest: int, bits: int) -
                     reach += there
                 held.add(words, keys, lang_of[text_of], reach)
                 if held.n >= _WORDS_HELD:
-                    yield from held.windows(pa.array(list(langs), pa.string()))
+                    yield held.windows(pa.array(list(langs), pa.string()))
                     held = _Held(longest)
         if held.n:
-            yield from held.windows(pa.array(list(langs), pa.string()))
+            yield held.windows(pa.array(list(langs), pa.string()))
 
     return docs.mapInArrow(run, schema)
 
 
+def _summed(tables: list[pa.Table], by: list[str]) -> pa.Table:
+    sums = pa.concat_tables(tables).group_by(by, use_threads=False).aggregate([("n", "sum")])
+    return sums.rename_columns([*by, "n"])
+
+
+def _prefixes(windows: DataFrame, least: int, longest: int) -> DataFrame:
+    """``lang, phrase, f``: of ``windows`` dealt by ``part`` every prefix that is there ``least`` times, and how often the empty one is in each task."""
+    columns = _columns(longest)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, _WINDOWS_HELD
+        for batch in parts:
+            table = {c: batch[c].flatten() for c in [*columns, "n"]}
+            table["lang"] = batch["lang"].take(batch["n"].value_parent_indices())
+            held.append(pa.table(table))
+            n += len(table["n"])
+            if n >= most:
+                held = [_summed(held, ["lang", *columns])]
+                n = len(held[0])
+                most = max(_WINDOWS_HELD, 2 * n)
+        for size in range(longest, -1, -1) if held else ():
+            by = columns[:size]
+            held = [_summed(held, ["lang", *by])]
+            there = pc.greater_equal(held[0]["n"], least) if size else pc.is_valid(held[0]["n"])
+            if size:
+                there = pc.and_(there, pc.is_valid(held[0][by[-1]]))
+            found = held[0].filter(there)
+            for rows in found.to_batches():
+                phrase = pc.binary_join_element_wise(*[rows[c] for c in by], " ") if size else pa.array([""] * len(rows))
+                yield pa.RecordBatch.from_arrays([rows["lang"], phrase, rows["n"]], ["lang", "phrase", "f"])
+
+    return windows.repartition("part").mapInArrow(run, "lang string, phrase string, f long")
+
+
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = BITS) -> DataFrame:
     """``lang, words, phrase, f``: every phrase of up to ``longest`` words found ``least`` times, and a row of no words with the count of all.
 
@@ -243,14 +291,11 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: i
     known = []
     for _ in range(2, min(longest, _COUNTED) + 1):
         known.append(_frequent(docs, least, bits, known))
-    windows = _windows(docs, known, longest, bits)
-    sums = windows.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("left_out"))
-    # A prefix of k words leaves out the lowest longest - k columns; its last word is there.
-    sums = sums.withColumn("size", longest - F.bit_count("left_out"))
-    whole = F.size(F.array_compact(F.array(*columns))) == F.col("size")
-    sums = sums.filter(F.col("size") >= 0).filter(whole & ((F.col("size") == 0) | (F.col("f") >= least)))
-    words = F.array_compact(F.array(*columns)).alias("words")
-    return sums.select("lang", words, F.array_join(words, " ").alias("phrase"), "f")
+    found = _prefixes(_windows(docs, known, longest, bits), least, longest)
+    # A phrase comes from one task, the number of all words from each.
+    sums = found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    words = F.when(F.col("phrase") == "", F.array().cast("array<string>")).otherwise(F.split("phrase", " ")).alias("words")
+    return sums.select("lang", words, "phrase", "f")
 
 
 def mine(

@@ -71,3 +71,19 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert rows_of(collocations.mine(short, least=2, bits=20)) == slow_mine(rows, 2, 5, 2000, 100)
     assert collocations.mine(odd_docs, bits=20).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert collocations.mine(no_docs).count() == 0
+
+
+def test_what_a_task_hands_on_is_a_row_for_each_language_and_group(spark):
+    """However many windows it counted."""
+    rows = [(lang, " ".join(f"w{(i * k) % 1501}" for i in range(1500))) for lang in ("en", "fr") for k in range(1, 9)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    docs = docs.selectExpr("lang", "text", "xxhash64(lang) lang_hash")
+    known = []
+    for _ in range(2, 5):
+        known.append(collocations._frequent(docs, 1, 18, known))
+    windows = collocations._windows(docs, known, 5, 18)
+    sent = windows.selectExpr("lang", "part", "size(n) size").collect()
+    assert len({(r.lang, r.part) for r in sent}) == len(sent) <= 2 * collocations._GROUPS
+    assert sum(r["size"] for r in sent) > 20_000
+    heads = windows.selectExpr("lang", "part", "inline(arrays_zip(w1, n))").filter("w1 is not null").select("lang", "part", "w1")
+    assert heads.distinct().count() == heads.select("lang", "w1").distinct().count()
