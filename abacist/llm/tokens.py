@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,15 +100,21 @@ class WordEncoder:
         return ids, places[np.concatenate([[0], np.cumsum(counts)])]
 
 
+@lru_cache(maxsize=2)
+def _worker_encoder(definition: str) -> WordEncoder:
+    """A Python worker's encoder, kept from task to task: each one made and dropped leaves some 4 MB behind."""
+    return WordEncoder(definition)
+
+
 def word_encoder(spark: SparkSession, path: str) -> Callable[[], WordEncoder]:
-    """A maker of encoders for use inside tasks.
+    """A maker of encoders for use inside tasks; the tasks of a worker share one.
 
     ``path`` is a vocabulary file. It is read on the driver and travels as a
     broadcast: its size is that of the vocabulary.
     """
     with open(path, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())
-    return lambda: WordEncoder(shared.value)
+    return lambda: _worker_encoder(shared.value)
 
 
 def slices(texts: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, pa.Array]]:

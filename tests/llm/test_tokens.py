@@ -1,18 +1,21 @@
 """Tokenizers, token files and packing against the libraries and brute force."""
 
 import bisect
+import os
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from abacist.llm import packing, sentencepieces, token_files
+from abacist.llm import packing, sentencepieces, token_files, tokens
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -100,6 +103,45 @@ def test_sentencepiece_of_odd_rows(odd_docs, no_docs):
     assert sentencepieces.decode(sentencepieces.encode(no_docs, PIECES), PIECES).count() == 0
 
 
+MAKERS = pytest.mark.parametrize("maker, path", [(tokens.word_encoder, WORDS)])
+
+
+@MAKERS
+def test_tasks_of_a_worker_share_an_encoder(spark, maker, path):
+    make = maker(spark, path)
+
+    def run(batches):
+        for _ in batches:
+            pass
+        encoder = make()
+        encoder.tasks = getattr(encoder, "tasks", 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([encoder.tasks])], ["process", "tasks"])
+
+    rows = spark.range(40).repartition(40).mapInArrow(run, "process long, tasks long").collect()
+    assert len(rows) == 40
+    most = defaultdict(int)
+    for r in rows:
+        most[r.process] = max(most[r.process], r.tasks)
+    assert sum(most.values()) == 40 and len(most) < 40
+
+
+@MAKERS
+def test_encoders_of_many_tasks_take_the_memory_of_one(spark, documents, maker, path):
+    make = maker(spark, path)
+    some = pa.array([r.text for r in documents.collect()])
+
+    def held():
+        with open("/proc/self/smaps_rollup") as file:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", file.read())[1]) / 1024
+
+    for _ in range(3):
+        make().texts(some)
+    before = held()
+    for _ in range(12):
+        make().texts(some)
+    assert held() - before < 20
+
+
 def test_token_files(spark, texts, word_ids):
     folder = token_files.token_folder(spark)
     files = token_files.write_tokens(texts, folder, WORDS, 2, 49_408, length=64)
