@@ -3,13 +3,14 @@
 Such a tokenizer first cuts a text into runs of letters, digits, marks and blanks,
 where one space may lead a run. Before a space there is a cut unless blanks stand on
 both its sides; between a letter and one of ``.,;:!?`` there always is. Texts are cut
-at these places, so equal stretches share one encoding, for some time also over batches.
+at these places, so equal stretches share one encoding, for some time also over batches and tasks.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -124,8 +125,14 @@ class ByteEncoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+@lru_cache(maxsize=2)
+def _worker_encoder(definition: str) -> ByteEncoder:
+    """A Python worker's encoder, kept from task to task: each one made and dropped leaves some 4 MB behind."""
+    return ByteEncoder(definition)
+
+
 def byte_encoder(spark: SparkSession, path: str) -> Callable[[], ByteEncoder]:
-    """A maker of encoders for tasks; the vocabulary file ``path`` travels as a broadcast of its own size."""
+    """A maker of encoders, one for the tasks of a worker; the vocabulary file ``path`` travels as a broadcast of its own size."""
     with open(path, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())
-    return lambda: ByteEncoder(shared.value)
+    return lambda: _worker_encoder(shared.value)

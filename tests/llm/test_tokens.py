@@ -15,9 +15,10 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from abacist.llm import packing, sentencepieces, token_files, tokens
+from abacist.llm import byte_tokens, packing, sentencepieces, token_files, tokens
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
     "", " ", "  a  b\tc\n", "x<|endoftext|>y", "don't STOP'S", "naïve café é ΑΣ ΣΆΣ. İi", "a\x1cb\x85c\xa0d e",
@@ -103,7 +104,7 @@ def test_sentencepiece_of_odd_rows(odd_docs, no_docs):
     assert sentencepieces.decode(sentencepieces.encode(no_docs, PIECES), PIECES).count() == 0
 
 
-MAKERS = pytest.mark.parametrize("maker, path", [(tokens.word_encoder, WORDS)])
+MAKERS = pytest.mark.parametrize("maker, path", [(tokens.word_encoder, WORDS), (byte_tokens.byte_encoder, BYTES)])
 
 
 @MAKERS
