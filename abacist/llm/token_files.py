@@ -124,7 +124,8 @@ def write_tokens(
     wanted = docs.select(F.col("doc_id").cast("long"), "text")
     wanted = wanted.withColumn("tie", F.xxhash64("text"))
     ordered = wanted.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return settle(ordered.mapInArrow(run, _WRITTEN), "token-files")
+    # A few numbers for each file, in one table file: for each that Spark writes, a JVM may start processes.
+    return settle(ordered.mapInArrow(run, _WRITTEN).repartition(1), "token-files")
 
 
 class TokenFile:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from abacist.llm import byte_tokens, packing, sentencepieces, token_files, tokens
+from abacist.session import setting
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -167,6 +168,12 @@ def test_token_files(spark, texts, word_ids):
     assert joined == first
 
 
+def test_the_table_of_files_is_one_file(spark, texts):
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        files = token_files.write_tokens(texts, token_files.token_folder(spark), WORDS, 2, 49_408)
+    assert files.count() > 1 and len(files.inputFiles()) == 1
+
+
 def test_token_files_of_odd_rows(odd_docs, no_docs):
     rows = token_files.encode_documents(odd_docs, WORDS, 2, 49_408).collect()
     assert len(rows) == odd_docs.count()
