@@ -258,10 +258,10 @@ def _prefixes(windows: DataFrame, least: int, longest: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, most = [], 0, _WINDOWS_HELD
         for batch in parts:
-            table = {c: batch[c].flatten() for c in [*columns, "n"]}
-            table["lang"] = batch["lang"].take(batch["n"].value_parent_indices())
-            held.append(pa.table(table))
-            n += len(table["n"])
+            # Columns in the order in which sums have them.
+            lang = batch["lang"].take(batch["n"].value_parent_indices())
+            held.append(pa.table({"lang": lang} | {c: batch[c].flatten() for c in [*columns, "n"]}))
+            n += len(lang)
             if n >= most:
                 held = [_summed(held, ["lang", *columns])]
                 n = len(held[0])

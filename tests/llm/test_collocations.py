@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from abacist.llm import collocations
+from abacist.session import setting
 
 
 def slow_mine(rows, least, longest, top, covered):
@@ -87,3 +88,14 @@ def test_what_a_task_hands_on_is_a_row_for_each_language_and_group(spark):
     assert sum(r["size"] for r in sent) > 20_000
     heads = windows.selectExpr("lang", "part", "inline(arrays_zip(w1, n))").filter("w1 is not null").select("lang", "part", "w1")
     assert heads.distinct().count() == heads.select("lang", "w1").distinct().count()
+
+
+def test_windows_that_arrive_after_a_sum_are_added_to_it(spark, monkeypatch):
+    """A task sums its windows whenever it holds many; more batches follow."""
+    monkeypatch.setattr(collocations, "_WINDOWS_HELD", 20)
+    rng = random.Random(5)
+    rows = [(rng.choice(["en", "fr", None]), " ".join(rng.choice("abcdefgh") for _ in range(80))) for _ in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(7)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):
+        got = rows_of(collocations.mine(docs, 5, 5, 50, 100, bits=18))
+    assert got == slow_mine(rows, 5, 5, 50, 100) and got
